@@ -200,19 +200,19 @@ LINES_PER_FILE = 40
 def csv_records(d: Dialect) -> str:
     """Conversation turns as CSV records with damage, grouped into files by conversation.
 
-    File number modulo 4: 0 is clean, 1 has an unclosed quote near its end, 2 a record with too many fields,
-    3 both.
+    File number modulo 4: 0 is clean, 1 ends in a record cut off inside its quotes, 2 has a record with too many fields,
+    3 has both.
     """
-    quoted = "concat('\"', text, '\"')"
-    row = f"concat(cast(conv_id as string), ',', cast(turn as string), ',', role, ',', {quoted})"
-    open_quote = "file_no % 4 IN (1, 3) AND conv_id % 40 = 38 AND turn = 0"
-    extra = "file_no % 4 IN (2, 3) AND conv_id % 40 = 21 AND turn = 1"
+    row = "concat(cast(conv_id as string), ',', cast(turn as string), ',', role, ',\"', text, '\"')"
+    surplus = "file_no % 4 IN (2, 3) AND conv_id % 40 = 21 AND turn = 1"
+    number = "conv_id div 40" if d.spark else "conv_id // 40"
+    torn = f"concat('9,0,user,\"torn', {d.newline}, 'off', {d.newline}, 'here')"
     return f"""
-    SELECT file_no, conv_id, turn,
-      CASE WHEN {open_quote} THEN concat(cast(conv_id as string), ',0,\"broken,', role)
-           WHEN {extra} THEN concat({row}, ',surplus') ELSE {row} END AS record
-    FROM (SELECT *, conv_id div 40 AS file_no FROM {d.table("conversations")}) c
-    """.replace(" div ", " div " if d.spark else " // ")
+    SELECT file_no, conv_id, turn, CASE WHEN {surplus} THEN concat({row}, ',surplus') ELSE {row} END AS record
+    FROM (SELECT *, {number} AS file_no FROM {d.table("conversations")}) c
+    UNION ALL
+    SELECT DISTINCT {number}, cast(1000000000 as bigint), cast(0 as bigint), {torn}
+    FROM {d.table("conversations")} WHERE {number} % 4 IN (1, 3)"""
 
 
 def chunk_log(d: Dialect) -> str:
@@ -249,7 +249,7 @@ def listings(d: Dialect) -> str:
     return f"""
     SELECT p_partkey AS row_id, cast({shape} % 4 as int) AS shape,
       CASE cast({shape} % 4 as int)
-        WHEN 0 THEN concat('{{', fields, '}}') WHEN 1 THEN concat('found ', fields, ' and that is all')
+        WHEN 0 THEN concat('{{', fields, '}}') WHEN 1 THEN concat('found {{', fields, ' approx.}} and that is all')
         WHEN 2 THEN concat('{{', fields, ', "name": null, oops') ELSE 'nothing listed' END AS output_text
     FROM (SELECT *, {fields} AS fields FROM {d.table("part")}) x"""
 
