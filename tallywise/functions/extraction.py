@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.functions.schemas import Field, get_schema, struct_type, violations
+from tallywise.functions.schemas import Field, get_schema, struct_type
 from tallywise.functions.text import is_blank, strip
 
 STAGES = ("empty", "direct", "isolated", "lenient", "repaired", "field_regex", "default")
@@ -26,21 +26,26 @@ _END_MARK = "__end__"
 _HEX_MARK = "#hex:"
 
 
-def _one_object(text: Column, options: dict[str, str]) -> Column:
-    """The entries of ``text`` if it is exactly one JSON object, else null.
+def _wrapped(text: Column) -> Column:
+    """``text`` in an array in front of an end mark.
 
-    ``from_json`` stops after the first value and ignores what follows, so the text is put in an array in front of
-    an end mark: trailing text breaks the array, a second object changes its size.
+    ``from_json`` stops after the first value and ignores what follows. In the array, trailing text is a syntax error and
+    a second object changes the size.
     """
-    wrapped = F.concat(F.lit("["), text, F.lit('\n,{"%s":"1"}]' % _END_MARK))
-    parsed = F.from_json(wrapped, "array<map<string,string>>", options)
-    closed = F.try_element_at(F.get(parsed, F.lit(1)), F.lit(_END_MARK)) == "1"
-    return F.when((F.size(parsed) == 2) & closed, F.map_entries(F.get(parsed, F.lit(0))))
+    return F.concat(F.lit("["), text, F.lit('\n,{"%s":"1"}]' % _END_MARK))
 
 
-def _last_value(entries: Column, name: str) -> Column:
-    """Value of the last entry called ``name``, as an array of at most one element."""
-    return F.slice(F.reverse(F.filter(entries, lambda e: e["key"] == name)), 1, 1)
+def _one_object(text: Column, fields, options: dict[str, str]) -> Column:
+    """The named fields as text (the last of equal keys) if ``text`` is exactly one JSON object, else null."""
+    members = ",".join(f"`{name}`:string" for name in [*(f.name for f in fields), _END_MARK])
+    parsed = F.from_json(_wrapped(text), f"array<struct<{members}>>", options)
+    return F.when((F.size(parsed) == 2) & (F.get(parsed, F.lit(1))[_END_MARK] == "1"), F.get(parsed, F.lit(0)))
+
+
+def _has_key(text: Column, name: str, options: dict[str, str]) -> Column:
+    """Whether the object in ``text`` has the key at all; tells an explicit null from an absent field."""
+    parsed = F.from_json(_wrapped(text), "array<map<string,string>>", options)
+    return F.map_contains_key(F.get(parsed, F.lit(0)), name)
 
 
 def _unquoted(text: Column, name: str, literal: str) -> Column:
@@ -55,10 +60,9 @@ def _to_float(value: Column) -> Column:
 
 
 def _to_int(value: Column) -> Column:
-    trimmed = strip(value)
     number = _to_float(value)
-    whole = (number % 1 == 0) & (F.abs(number) < 2.0**63)
-    return F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("bigint")).when(whole, number.try_cast("bigint"))
+    whole = F.when((number % 1 == 0) & (F.abs(number) < 2.0**63), number.try_cast("bigint"))
+    return F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value.try_cast("bigint")).otherwise(whole)
 
 
 def _to_items(value: Column, item) -> Column:
@@ -89,28 +93,36 @@ def _coerce(field: Field, value: Column, text: Column) -> Column:
 
 
 def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, lenient: bool) -> DataFrame:
-    """Add column ``out``: the record parsed from ``text`` for rows with ``when``, null if any field is refused."""
-    source, entries, found = f"{out}_text", f"{out}_entries", f"{out}_found"
+    """Add column ``out``: the record parsed from ``text`` for rows with ``when``, null if any field is refused.
+
+    ``{out}_seen`` tells whether the text was one JSON object at all.
+
+    Each intermediate is a column of its own: the optimizer keeps a projection whose results are used several times, so
+    nothing is parsed twice.
+    """
+    options = _LENIENT if lenient else _STRICT
+    source, given, typed = f"{out}_text", f"{out}_given", f"{out}_typed"
     df = df.withColumn(source, F.when(when, text))
-    df = df.withColumn(entries, _one_object(F.col(source), _LENIENT if lenient else _STRICT))
+    df = df.withColumn(given, _one_object(F.col(source), fields, options))
 
-    def typed(field: Field) -> Column:
-        hits = _last_value(F.col(entries), field.name)
-        value = F.get(hits, F.lit(0))["value"]
-        return F.struct(
-            (F.size(hits) > 0).alias("present"),
-            F.when(value.isNotNull(), _coerce(field, value, F.col(source))).alias("value"),
-        ).alias(field.name)
+    def value_of(field: Field) -> Column:
+        value = F.col(given)[field.name]
+        return F.when(value.isNotNull(), _coerce(field, value, F.col(source))).alias(field.name)
 
-    df = df.withColumn(found, F.when(F.col(entries).isNotNull(), F.struct(*[typed(f) for f in fields])))
+    df = df.withColumn(typed, F.when(F.col(given).isNotNull(), F.struct(*[value_of(f) for f in fields])))
     accepted, values = F.lit(True), []
     for field in fields:
-        present, value = F.col(found)[field.name]["present"], F.col(found)[field.name]["value"]
-        accepted = accepted & F.when(present, field.violation(value).isNull()).otherwise(F.lit(not field.required))
-        values.append(F.when(present, value).otherwise(field.default_column()).alias(field.name))
+        value, missing = F.col(typed)[field.name], F.col(given)[field.name].isNull()
+        if field.required:
+            absent = F.lit(False)
+        else:
+            absent = F.when(missing, ~_has_key(F.col(source), field.name, options)).otherwise(False)
+        accepted = accepted & F.when(missing, absent).otherwise(field.violation(value).isNull())
+        values.append(F.when(missing, field.default_column()).otherwise(value).alias(field.name))
     record = F.struct(*values).cast(struct_type(fields))
-    df = df.withColumn(out, F.when(F.col(found).isNotNull() & accepted, record))
-    return df.drop(source, entries, found)
+    df = df.withColumn(out, F.when(F.col(given).isNotNull() & accepted, record))
+    df = df.withColumn(f"{out}_seen", F.col(given).isNotNull())
+    return df.drop(source, given, typed)
 
 
 def isolate_block(text: Column) -> Column:
@@ -213,18 +225,21 @@ def extract_structured(
     out = _parse_stage(out, "_direct", stripped, looks_like_object, fields, lenient=False)
     out = out.withColumn("_block", F.when(~F.col("_empty") & open_after("_direct"), isolate_block(raw)))
     block = F.col("_block")
-    out = _parse_stage(out, "_isolated", block, block.startswith("{"), fields, lenient=False)
-    is_object = strip(block).startswith("{")
-    lenient_when = open_after("_direct", "_isolated") & is_object
-    out = _parse_stage(out, "_lenient", relax(block), lenient_when, fields, lenient=True)
-    still_open = open_after("_direct", "_isolated", "_lenient") & is_object
+    # a block that is the whole answer was parsed already
+    isolated_when = block.startswith("{") & (block != stripped)
+    out = _parse_stage(out, "_isolated", block, isolated_when, fields, lenient=False)
+    # a block that is sound JSON but breaks a rule breaks it in every later parse too: on to the field patterns
+    sound = F.when(block == stripped, F.col("_direct_seen")).otherwise(F.col("_isolated_seen"))
+    is_object = open_after("_direct", "_isolated") & strip(block).startswith("{") & ~sound
+    out = _parse_stage(out, "_lenient", relax(block), is_object, fields, lenient=True)
+    still_open = is_object & open_after("_lenient") & ~F.col("_lenient_seen")
     out = _parse_stage(out, "_repaired", repair_truncated(block), still_open, fields, lenient=False)
     unparsed = ~F.col("_empty") & open_after(*stages)
     found = F.struct(*[field_from_text(f, block).alias(f.name) for f in fields])
     out = out.withColumn("_fields", F.when(unparsed, found))
     values = [F.col("_fields")[f.name] for f in fields]
     merged = F.struct(*[F.coalesce(v, f.default_column()).alias(f.name) for f, v in zip(fields, values)])
-    any_found = F.exists(F.array(*[v.isNotNull() for v in values]), lambda x: x)
+    any_found = F.coalesce(*[v.cast("string") for v in values]).isNotNull()
     out = out.withColumn(
         status,
         F.when(F.col("_empty"), F.lit("empty"))
@@ -237,9 +252,10 @@ def extract_structured(
     )
     out = out.withColumn(record, F.coalesce(*[F.col(s) for s in stages], merged.cast(struct_type(fields))))
     parsed = F.col(status).isin("direct", "isolated", "lenient", "repaired")
-    regex_valid = (F.col(status) == "field_regex") & (F.size(violations(fields, F.col(record))) == 0)
+    kept_rules = [f.violation(F.col(record)[f.name]) for f in fields]
+    regex_valid = (F.col(status) == "field_regex") & F.coalesce(*kept_rules).isNull()
     out = out.withColumn(valid, parsed | regex_valid)
-    return out.drop("_empty", "_block", "_fields", *stages)
+    return out.drop("_empty", "_block", "_fields", *stages, *[f"{s}_seen" for s in stages])
 
 
 def status_counts(extracted: DataFrame, status_col: str = "status") -> DataFrame:

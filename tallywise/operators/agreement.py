@@ -7,14 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.operators.prepare import broad_class, drop_incomplete
+from tallywise.operators.prepare import broad_class
 from tallywise.operators.scoring import accuracy_metrics, cells, class_scores, joint_counts, quadratic_kappa
 
 
-def against_expert(df: DataFrame, expert: str, raters: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``(keep…, rater, y, p)``: the expert's score beside each rater's, from one scan."""
-    pairs = [F.struct(F.lit(r).alias("rater"), F.col(expert).alias("y"), F.col(r).alias("p")) for r in raters]
-    return df.select(*keep, F.inline(F.array(*pairs)))
+def against_expert(
+    df: DataFrame, expert: str, raters: Sequence[str], keep: Sequence[str] = (), complete_only: bool = False
+) -> DataFrame:
+    """``(keep…, rater, y, p)``: the expert's score beside each rater's, from one scan.
+
+    ``complete_only`` leaves out rows where the expert or any rater has no score.
+    """
+    pairs = F.array(
+        *[F.struct(F.lit(r).alias("rater"), F.col(expert).alias("y"), F.col(r).alias("p")) for r in raters]
+    )
+    if complete_only:
+        missing = F.greatest(*[F.col(c).isNull() for c in (expert, *raters)])
+        pairs = F.when(~missing, pairs)
+    return df.select(*keep, F.inline(pairs))
 
 
 def rater_cells(df: DataFrame, expert: str, raters: Sequence[str]) -> DataFrame:
@@ -57,8 +67,8 @@ def self_cells(
 
 def broad_class_cells(df: DataFrame, expert: str, raters: Sequence[str]) -> DataFrame:
     """Cells over the broad classes, for rows where the expert and every rater have a score."""
-    complete = joint_counts(drop_incomplete(df, [expert, *raters]), [expert, *raters])
-    pairs = against_expert(complete, expert, raters, ["n"])
+    counted = joint_counts(df, [expert, *raters])
+    pairs = against_expert(counted, expert, raters, ["n"], complete_only=True)
     mapped = pairs.select("rater", "n", broad_class(F.col("y")).alias("y"), broad_class(F.col("p")).alias("p"))
     return cells(mapped, "y", "p", ["rater"], weight="n")
 

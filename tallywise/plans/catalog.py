@@ -328,10 +328,8 @@ def rater_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qwk_gap(spark: SparkSession, sf: str) -> DataFrame:
-    gap = load(spark, sf, "ratings")
-    for c in ("expert", *RATERS):
-        gap = gap.where(F.coalesce(F.col(c) != 3, F.lit(True)))
-    return rounded(scoring.quadratic_kappa(agreement.rater_cells(gap, "expert", RATERS), ["rater"]))
+    counted = agreement.rater_cells(load(spark, sf, "ratings_gap"), "expert", RATERS)
+    return rounded(scoring.quadratic_kappa(counted, ["rater"]))
 
 
 def broad_class_metrics(spark: SparkSession, sf: str) -> DataFrame:

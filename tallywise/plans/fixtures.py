@@ -131,6 +131,12 @@ def ratings(d: Dialect) -> str:
     FROM (SELECT {_item()} AS item_id, cast(l_linenumber - 1 as int) AS expert FROM {d.table("lineitem")}) x"""
 
 
+def ratings_gap(d: Dialect) -> str:
+    """The ratings with label 3 merged into 2: a scale with an unused label."""
+    merged = ", ".join(f"CASE WHEN {c} = 3 THEN 2 ELSE {c} END AS {c}" for c in ("expert", "students", "residents", "model"))
+    return f"SELECT item_id, {merged} FROM ({ratings(d)}) r"
+
+
 def rater_pairs(d: Dialect) -> str:
     """Wide table of the two single raters behind each consensus."""
     return f"""
@@ -270,7 +276,7 @@ def event_records(d: Dialect) -> str:
 TABLES = {
     f.__name__: f
     for f in (
-        letters, raw_letters, votes, generations, ratings, rater_pairs, scored_runs, model_ids, model_votes,
+        letters, raw_letters, votes, generations, ratings, ratings_gap, rater_pairs, scored_runs, model_ids, model_votes,
         csv_records, chunk_log, truncated, listings, event_records,
     )
 }

@@ -375,11 +375,8 @@ def statements() -> dict[str, str]:
     SELECT rater, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(avg((y = p)::INT), 6) AS exact_acc,
       round(avg((abs(y - p) <= 1)::INT), 6) AS tol1_acc, any_value(qwk) AS qwk
     FROM long JOIN ({_kappa("cells", "rater")}) k USING (rater) WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY rater"""
-    gap = "ratings AS (SELECT * FROM ratings_all WHERE " + " AND ".join(
-        f"coalesce({c} <> 3, true)" for c in ("expert", *catalog.RATERS)
-    ) + ")"
-    base = ctes("ratings").replace("WITH ratings AS", "WITH ratings_all AS")
-    out["qwk_gap"] = f"{base}, {gap} {COUNTED} {_places('cells', 'rater')} {_kappa('cells', 'rater')}"
+    gap_cells = COUNTED.replace("FROM ratings", "FROM ratings_gap")
+    out["qwk_gap"] = f"{ctes('ratings_gap')} {gap_cells} {_places('cells', 'rater')} {_kappa('cells', 'rater')}"
     broad = "CASE WHEN {0} <= 1 THEN '(0-1)' WHEN {0} <= 5 THEN '(2-5)' WHEN {0} = 6 THEN '(6)' END"
     complete = "ratings WHERE students + residents + model + expert IS NOT NULL"
     rows = " UNION ALL ".join(
