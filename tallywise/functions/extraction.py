@@ -60,28 +60,41 @@ def _to_float(value: Column) -> Column:
 
 
 def _to_int(value: Column) -> Column:
-    number = _to_float(value)
+    trimmed = strip(value)
+    number = trimmed.try_cast("double")
     whole = F.when((number % 1 == 0) & (F.abs(number) < 2.0**63), number.try_cast("bigint"))
-    return F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value.try_cast("bigint")).otherwise(whole)
+    # the parser writes exponents with a capital E; a string with an exponent is refused
+    return (
+        F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("bigint"))
+        .when(trimmed.rlike(r"^[+-]?\d+\.0+$|^-?\d\.\d+E-?\d+$"), whole)
+        .when(trimmed.startswith(_HEX_MARK), _to_float(value).try_cast("bigint"))
+    )
+
 
+def _to_items(value: Column, kind: str) -> Column:
+    convert = _to_int if kind == "list[int]" else _to_float
+    named_flags = value.contains('"true"') | value.contains('"false"')
+
+    def item(x: Column) -> Column:
+        return F.when(x.isin("true", "false") & ~named_flags, (x == "true").cast("int")).otherwise(convert(x))
 
-def _to_items(value: Column, item) -> Column:
     items = F.transform(F.from_json(value, "array<string>", _STRICT), item)
     return F.when(F.forall(items, lambda x: x.isNotNull()), items)
 
 
 def _coerce(field: Field, value: Column, text: Column) -> Column:
     """Typed value of a JSON value given as text, or null where the lax conversion rules refuse it."""
-    if field.kind == "int":
-        truth = value.isin("true", "false") & _unquoted(text, field.name, "(true|false)")
-        return F.when(truth, (value == "true").cast("bigint")).otherwise(_to_int(value))
-    if field.kind == "float":
-        truth = value.isin("true", "false") & _unquoted(text, field.name, "(true|false)")
-        return F.when(truth, (value == "true").cast("double")).otherwise(_to_float(value))
+    if field.kind in ("int", "float"):
+        flag = value.isin("true", "false") & _unquoted(text, field.name, "(true|false)")
+        number = _to_int(value) if field.kind == "int" else _to_float(value)
+        return F.when(flag, (value == "true").cast(field.spark_type)).otherwise(number)
     if field.kind == "bool":
         lowered = F.lower(value)
-        return F.when(lowered.isin("true", "t", "yes", "y", "on", "1", "1.0"), F.lit(True)).when(
-            lowered.isin("false", "f", "no", "n", "off", "0", "0.0"), F.lit(False)
+        decimal = value.isin("1.0", "0.0") & _unquoted(text, field.name, r"[01]\.0")
+        return (
+            F.when(lowered.isin("true", "t", "yes", "y", "on", "1"), F.lit(True))
+            .when(lowered.isin("false", "f", "no", "n", "off", "0"), F.lit(False))
+            .when(decimal, value == "1.0")
         )
     if field.kind == "string":
         return F.when(_unquoted(text, field.name, r"""["']"""), value)
@@ -89,7 +102,7 @@ def _coerce(field: Field, value: Column, text: Column) -> Column:
         bare = F.regexp_replace(value, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
         only_strings = F.regexp_replace(bare, r"[\s,]", "") == "[]"
         return F.when(only_strings, F.from_json(value, "array<string>", _STRICT))
-    return _to_items(value, _to_int if field.kind == "list[int]" else _to_float)
+    return _to_items(value, field.kind)
 
 
 def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, lenient: bool) -> DataFrame:
