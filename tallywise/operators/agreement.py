@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.operators.prepare import broad_class
-from tallywise.operators.scoring import accuracy_metrics, cells, class_scores, joint_counts, quadratic_kappa
+from tallywise.operators.scoring import cells, class_scores, joint_counts, rater_metrics
 
 
 def against_expert(
@@ -44,9 +44,7 @@ def pair_cells(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame
 
 def inter_rater(counted: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
     """Kappa, mean absolute error and exact accuracy per pair. A pair without complete rows has no row."""
-    mae, exact, _ = accuracy_metrics()
-    base = counted.groupBy(*by).agg(F.sum("n").alias("n"), mae, exact)
-    return base.join(quadratic_kappa(counted, by), list(by))
+    return rater_metrics(counted, by).drop("tol1_acc")
 
 
 def self_cells(

@@ -110,13 +110,17 @@ def bootstrap_ci(
     """``(by…, metric, n, estimate, lower, upper, used)``: percentile interval of each metric per group of cells.
 
     ``metrics`` are names of ``METRICS`` or a mapping of names to functions of ``Resamples``. Replicates whose metric is
-    undefined are left out; ``used`` counts the others.
+    undefined are left out; ``used`` counts the others. Without any, the bounds are null.
     """
     chosen = dict(metrics) if isinstance(metrics, Mapping) else {m: METRICS[m] for m in metrics}
+    columns = [*by, "metric", "n", "estimate", "lower", "upper", "used"]
     tails = [50 * (1 - level), 100 - 50 * (1 - level)]
 
     def apply(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "p"])
+        frame = frame[frame["n"] > 0].sort_values(["y", "p"])
+        if frame.empty:
+            rows = [[*key, name, 0, np.nan, np.nan, np.nan, 0] for name in chosen]
+            return pd.DataFrame(rows, columns=columns)
         y, n = frame["y"].to_numpy(), frame["n"].to_numpy(dtype=np.int64)
         p = frame["p"].to_numpy()
         if y.dtype == object:  # named classes: only equality matters
@@ -137,7 +141,7 @@ def bootstrap_ci(
             values = values[~np.isnan(values)]
             low, high = np.percentile(values, tails) if len(values) else (np.nan, np.nan)
             rows.append([*key, name, total, float(metric(observed)[0]), float(low), float(high), len(values)])
-        return pd.DataFrame(rows, columns=[*by, "metric", "n", "estimate", "lower", "upper", "used"])
+        return pd.DataFrame(rows, columns=columns)
 
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in counted.select(*by).schema)
     schema = keys + "metric string, n bigint, estimate double, lower double, upper double, used bigint"
@@ -151,11 +155,12 @@ def bootstrap_halfwidth(
 
     An unknown metric gives zeros, as does a group without labelled rows.
     """
-    groups = counted.select(*by).distinct()
     if metric not in ("error", "distance"):
-        return groups.select(*by, F.lit(0.0).alias("err_low"), F.lit(0.0).alias("err_high"))
-    intervals = bootstrap_ci(counted.where(F.col("y") != UNLABELLED), [metric], by, replicates, seed)
-    return groups.join(intervals, list(by), "left").select(
+        return counted.groupBy(*by).agg(F.lit(0.0).alias("err_low"), F.lit(0.0).alias("err_high"))
+    # unlabelled cells get no weight instead of being dropped: a group without labels keeps its row
+    labelled = counted.withColumn("n", F.when(F.col("y") != UNLABELLED, F.col("n")).otherwise(0))
+    intervals = bootstrap_ci(labelled, [metric], by, replicates, seed)
+    return intervals.select(
         *by,
         F.coalesce(F.col("estimate") - F.col("lower"), F.lit(0.0)).alias("err_low"),
         F.coalesce(F.col("upper") - F.col("estimate"), F.lit(0.0)).alias("err_high"),

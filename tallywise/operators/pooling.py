@@ -86,10 +86,22 @@ def pooled_wide(votes: DataFrame, n_runs: int, by: Sequence[str] = ("row_id",))
 
 
 def pooled_long(votes: DataFrame, n_runs: int, by: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``(mode, by…, label, pred)``: the pooled vote of every mode but the one that keeps all votes."""
-    wide = pooled_wide(votes, n_runs, by)
-    names = [n for n, _ in modes_for(n_runs) if n != "all"]
-    return wide.select(*by, "label", *names).unpivot([*by, "label"], names, "mode", "pred")
+    """``(by…, mode, label, pred, weight)`` for every mode, in one plan.
+
+    The mode that keeps all votes has one row per document and distinct vote, with the number of such votes as its
+    weight; the other modes have one row of weight 1 per document.
+    """
+    ks = [needed for _, _, _, needed in POOLING_MODES if needed is not None and needed <= n_runs]
+    row = "struct<mode:string,pred:int,weight:bigint>"
+    pooled = [("single", F.max(F.when(F.col("_first") == 0, F.col("pred"))))]
+    pooled += [(f"maj_{k}", _winner(f"_n{k}")) for k in ks]
+    chosen = [F.struct(F.lit(name), value, F.lit(1)).cast(row) for name, value in pooled]
+    # one entry per distinct vote of a document: no more than there are runs
+    every = F.collect_list(F.struct(F.lit("all"), F.col("pred"), F.col("_n")).cast(row))
+    rows = _tallies(votes, by, ks).groupBy(*by).agg(
+        F.max("label").alias("label"), F.concat(F.array(*chosen), every).alias("_rows")
+    )
+    return rows.select(*by, "label", F.inline("_rows"))
 
 
 def consensus_table(votes: DataFrame, n_runs: int, keep: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:

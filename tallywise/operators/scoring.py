@@ -87,13 +87,17 @@ def metrics_by_mode(votes: DataFrame, n_runs: int, by: Sequence[str] = (), id_co
 def confusion_matrix(
     counted: DataFrame, labels: Sequence = LABELS_WITH_SENTINEL, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Cells over a fixed label list, zeros included; pairs outside the list are left out."""
+    """Cells over a fixed label list, zeros included; pairs outside the list are left out.
+
+    Per group at most labels x labels counts are gathered, and the grid is laid over them.
+    """
     grid = F.array(*[F.lit(x) for x in labels])
-    groups = counted.select(*by).distinct() if by else counted.sparkSession.range(1).select()
-    full = groups.select(*by, F.explode(grid).alias("y")).select(*by, "y", F.explode(grid).alias("p"))
-    return full.join(counted.select(*by, "y", "p", "n"), [*by, "y", "p"], "left").select(
-        *by, "y", "p", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    listed = F.col("y").isin(*labels) & F.col("p").isin(*labels)
+    pair = F.struct(F.concat_ws("|", "y", "p"), "n")
+    gathered = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(listed, pair))).alias("_cells"))
+    full = gathered.select(*by, "_cells", F.explode(grid).alias("y")).select("*", F.explode(grid).alias("p"))
+    n = F.try_element_at("_cells", F.concat_ws("|", "y", "p"))
+    return full.select(*by, "y", "p", F.coalesce(n, F.lit(0)).alias("n"))
 
 
 def accuracy_metrics() -> list[Column]:
@@ -106,34 +110,41 @@ def accuracy_metrics() -> list[Column]:
     ]
 
 
+def _placed(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cells with ``i`` and ``j``: the places of y and p among the labels present in the group.
+
+    The window sees cells, not rows.
+    """
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    present = F.array_union(F.collect_set("y").over(group), F.collect_set("p").over(group))
+    scaled = counted.withColumn("_scale", F.array_sort(present))
+    place = {c: F.array_position("_scale", F.col(v)).cast("double") for c, v in (("i", "y"), ("j", "p"))}
+    return scaled.withColumns(place).drop("_scale")
+
+
+def _kappa() -> Column:
+    """Kappa from moments of the places; it equals the definition by observed and expected weight matrices."""
+    i, j = F.col("i"), F.col("j")
+    mean_i, mean_j = weighted_mean(i), weighted_mean(j)
+    var_i, var_j = weighted_mean(i**2) - mean_i**2, weighted_mean(j**2) - mean_j**2
+    expected = var_i + var_j + (mean_i - mean_j) ** 2
+    observed = weighted_mean((i - j) ** 2)
+    return F.when(expected > 1e-12, 1 - observed / expected).otherwise(F.lit(float("nan")))
+
+
 def quadratic_kappa(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Quadratic weighted kappa per group of cells.
 
     Categories are numbered by the sorted union of the labels present, so an unused label does not widen the scale.
     One category only gives NaN.
     """
-    if not by:
-        return quadratic_kappa(counted.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
-    present = counted.select(*by, F.explode(F.array("y", "p")).alias("_label")).distinct()
-    numbered = F.array_sort(F.collect_set("_label")).alias("_scale")
-    scale = present.groupBy(*by).agg(numbered)
-    placed = counted.join(scale, list(by))
-    i = F.array_position("_scale", F.col("y")).cast("double")
-    j = F.array_position("_scale", F.col("p")).cast("double")
-    placed = placed.select(*by, "n", i.alias("i"), j.alias("j"))
-    mean_i, mean_j = weighted_mean(F.col("i")), weighted_mean(F.col("j"))
-    var_i = weighted_mean(F.col("i") ** 2) - mean_i**2
-    var_j = weighted_mean(F.col("j") ** 2) - mean_j**2
-    expected = var_i + var_j + (mean_i - mean_j) ** 2
-    observed = weighted_mean((F.col("i") - F.col("j")) ** 2)
-    kappa = F.when(expected > 1e-12, 1 - observed / expected).otherwise(F.lit(float("nan")))
-    return placed.groupBy(*by).agg(kappa.alias("qwk"))
+    return _placed(counted, by).groupBy(*by).agg(_kappa().alias("qwk"))
 
 
 def rater_metrics(counted: DataFrame, by: Sequence[str] = ("rater",)) -> DataFrame:
-    """Kappa, mean absolute error and accuracies per group of cells."""
-    base = counted.groupBy(*by).agg(F.sum("n").alias("n"), *accuracy_metrics())
-    return base.join(quadratic_kappa(counted, by), list(by))
+    """Kappa, mean absolute error, exact accuracy and accuracy within one point per group of cells."""
+    n = F.sum("n").alias("n")
+    return _placed(counted, by).groupBy(*by).agg(n, *accuracy_metrics(), _kappa().alias("qwk"))
 
 
 def class_scores(counted: DataFrame, by: Sequence[str] = ("rater",)) -> DataFrame:
@@ -172,13 +183,12 @@ def mae_by_class(counted: DataFrame, by: Sequence[str] = ("rater",)) -> DataFram
 def error_histogram(counted: DataFrame, by: Sequence[str] = ("rater",), reach: int = 6) -> DataFrame:
     """Density of the signed error in unit bins centred on -reach..reach, per group; errors outside are ignored."""
     error = F.floor(F.col("p") - F.col("y") + F.lit(0.5)).cast("int")
-    inside = counted.withColumn("error", error).where(F.col("error").between(-reach, reach))
-    counts = inside.groupBy(*by, "error").agg(F.sum("n").alias("n"))
-    bins = F.sequence(F.lit(-reach), F.lit(reach))
-    full = counts.select(*by).distinct().select(*by, F.explode(bins).alias("error"))
-    full = full.join(counts, [*by, "error"], "left").select(*by, "error", F.coalesce("n", F.lit(0)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
-    return full.withColumn("density", share)
+    bins = range(-reach, reach + 1)
+    sums = [F.sum(F.when(error == b, F.col("n")).otherwise(0)).alias(f"_n{b + reach}") for b in bins]
+    inside = counted.where(error.between(-reach, reach)).groupBy(*by).agg(F.sum("n").alias("_all"), *sums)
+    rows = [F.struct(F.lit(b).alias("error"), F.col(f"_n{b + reach}").alias("n")) for b in bins]
+    long = inside.select(*by, "_all", F.inline(F.array(*rows)))
+    return long.select(*by, "error", "n", (F.col("n") / F.col("_all")).alias("density"))
 
 
 def bland_altman(counted: DataFrame, by: Sequence[str] = ("rater",), width: float = 1.96) -> DataFrame:

@@ -13,7 +13,7 @@ from tallywise.functions.prompts import ChatTemplate, PromptConfig, build_messag
 from tallywise.operators.agreement import against_expert, rater_cells
 from tallywise.operators.bootstrap import bootstrap_ci, bootstrap_halfwidth
 from tallywise.operators.generate import generate_table
-from tallywise.operators.pooling import modes_for, pooled_long
+from tallywise.operators.pooling import pooled_long
 from tallywise.operators.scoring import cells, joint_counts, metrics_by_mode, rater_metrics
 from tallywise.operators.significance import (
     comparison_plan,
@@ -55,12 +55,9 @@ def run_benchmark(
 
 
 def pooled_cells(votes: DataFrame, n_runs: int, by: Sequence[str] = ()) -> DataFrame:
-    """Cells of label against prediction per pooling mode; a missing label counts as -1."""
+    """Cells of label against prediction per pooling mode, from one pass; a missing label counts as -1."""
     known = votes.withColumn("label", F.coalesce("label", F.lit(-1)))
-    pooled = pooled_long(known, n_runs, [*by, "row_id"]).select(*by, "mode", "label", "pred")
-    every = known.select(*by, F.lit("all").alias("mode"), "label", "pred")
-    counted = cells(pooled, "label", "pred", [*by, "mode"])
-    return counted.unionByName(cells(every, "label", "pred", [*by, "mode"]))
+    return cells(pooled_long(known, n_runs, [*by, "row_id"]), "label", "pred", [*by, "mode"], weight="weight")
 
 
 def run_characteristics(model_id: Column, scheme: Column, *known_params: Column) -> dict[str, Column]:
@@ -73,9 +70,7 @@ def run_intervals(
     votes: DataFrame, n_runs: int, by: Sequence[str], metric: str = "error", replicates: int = 1000
 ) -> DataFrame:
     """Bootstrap distances of a metric per run and pooling mode."""
-    names = [name for name, _ in modes_for(n_runs)]
-    counted = pooled_cells(votes, n_runs, by).where(F.col("mode").isin(*names))
-    return bootstrap_halfwidth(counted, metric, [*by, "mode"], replicates)
+    return bootstrap_halfwidth(pooled_cells(votes, n_runs, by), metric, [*by, "mode"], replicates)
 
 
 def rater_report(df: DataFrame, expert: str, raters: Sequence[str], replicates: int = 1000) -> DataFrame:
