@@ -69,7 +69,7 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_cdf(df / (df + t * t), df / 2, 0.5)
 
 
-def log_jzs_bayes_factor(t: float, n: float, scale: float = math.sqrt(2) / 2) -> float:
+def log_jzs_bayes_factor(t: float, n: float, scale: float = 0.707) -> float:
     """Natural log of the paired-t Bayes factor BF10 with a Cauchy prior, integrated over log g."""
     df = n - 1
     null = (df + 1) / 2 * math.log1p(t * t / df)

@@ -176,7 +176,9 @@ def repair_truncated(text: Column) -> Column:
     return F.concat(text, F.aggregate(marks, F.lit(""), step))
 
 
-_STRING = r'"[^"]*(?:(?<=\\)"[^"]*)*"'
+# Repeated groups are possessive: they are matched without recursion, whatever the length of the answer.
+_STRING = r'"[^"]*+(?:(?<=\\)"[^"]*+)*+"'
+_BACKTRACKING_STRING = r'"(?:\\"|[^"])*"'
 _NUMBER = r"-?\d+(?:\.\d+)?"
 
 
@@ -188,7 +190,11 @@ def field_from_text(field: Field, text: Column) -> Column:
         return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
     if field.kind == "string":
-        value = F.replace(first(key + r'"([^"]*(?:(?<=\\)"[^"]*)*)"'), F.lit('\\"'), F.lit('"'))
+        # without a later plain quote, the last escaped one closes the string
+        pattern = key + r'"(?:([^"]*+(?:(?<=\\)"[^"]*+)*+)"|((?s:.*))")'
+        torn = F.regexp_extract(text, pattern, 2)
+        value = F.when(text.rlike(pattern), F.when(torn != "", torn).otherwise(F.regexp_extract(text, pattern, 1)))
+        value = F.replace(value, F.lit('\\"'), F.lit('"'))
     elif field.kind == "int":
         digits = first(key + f"({_NUMBER})")
         value = F.when(~digits.contains("."), F.coalesce(digits.try_cast("bigint"), F.lit(-1).cast("bigint")))
@@ -198,8 +204,11 @@ def field_from_text(field: Field, text: Column) -> Column:
         value = first(key + "(true|false)") == "true"
     else:
         item_type = field.spark_type[len("array<") : -1]
-        quoted = first(key + rf"\[\s*((?:{_STRING}\s*,\s*)*{_STRING})\s*\]")
-        numbers = first(key + rf"\[\s*((?:{_NUMBER}\s*,\s*)*{_NUMBER})\s*\]")
+        quoted = first(key + rf"\[\s*({_STRING}(?:\s*,\s*{_STRING})*+)\s*\]")
+        # an escaped quote may still have been meant as a closing one
+        second = first(key + rf"\[\s*({_BACKTRACKING_STRING}(?:\s*,\s*{_BACKTRACKING_STRING})*)\s*\]")
+        quoted = F.coalesce(quoted, F.when(text.contains('\\"'), second))
+        numbers = first(key + rf"\[\s*({_NUMBER}(?:\s*,\s*{_NUMBER})*+)\s*\]")
 
         def parts(col: Column) -> Column:
             return F.filter(F.transform(F.split(col, ","), strip), lambda x: x != "")
@@ -208,10 +217,11 @@ def field_from_text(field: Field, text: Column) -> Column:
         if field.kind == "list[string]":
             value = F.coalesce(unquoted, parts(numbers))
         else:
-            whole = ~F.exists(parts(numbers), lambda x: x.contains(".")) if field.kind == "list[int]" else F.lit(True)
-            value = F.when(
-                quoted.isNull() & whole, F.transform(parts(numbers), lambda x: x.try_cast(item_type))
-            )
+            convert = _to_int if field.kind == "list[int]" else _to_float
+            whole = ~numbers.contains(".") if field.kind == "list[int]" else F.lit(True)
+            plain = F.when(whole, F.transform(parts(numbers), lambda x: x.try_cast(item_type)))
+            value = F.coalesce(F.transform(unquoted, convert), plain)
+            value = F.when(F.forall(value, lambda x: x.isNotNull()), value)
     return F.when(~text.rlike(key + "null"), value)
 
 

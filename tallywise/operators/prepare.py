@@ -11,6 +11,7 @@ from tallywise.operators.indexing import attach_dense_id, dense_index
 
 LETTER_COLUMNS = ("input_text", "label")
 UNLABELLED = -1
+_SAMPLE_GROUPS = 1024
 
 
 def require_columns(df: DataFrame, columns: Sequence[str] = LETTER_COLUMNS) -> DataFrame:
@@ -64,13 +65,16 @@ def prepare_letters(
 
     With ``order_by``, the name of a unique column, a dense ``document_id`` in that order is added too.
     """
-    keep = [order_by] if order_by else []
-    out = rename_select(raw, column_map, keep)
-    out = out.withColumn("label", recode(F.col("label"), {m: None for m in no_label}).try_cast("int"))
-    out = attach_dense_id(out, patient_col, "_patient").drop(patient_col).withColumnRenamed("_patient", patient_col)
-    if order_by:
-        out = out.join(dense_index(raw.select(order_by), [order_by], "document_id"), order_by)
-    return out
+    labels = recode(F.col("label"), {m: None for m in no_label}).try_cast("int")
+    if order_by is None:
+        out = rename_select(raw, column_map).withColumn("label", labels)
+        numbered = attach_dense_id(out, patient_col, "_patient")
+        return numbered.drop(patient_col).withColumnRenamed("_patient", patient_col)
+    out = rename_select(raw, column_map, [order_by]).withColumn("label", labels)
+    # both numbers are found on keys alone; the rows with their texts take part in one join only
+    keys = attach_dense_id(out.select(order_by, patient_col), patient_col, "_patient")
+    numbers = dense_index(keys.select(order_by, F.col("_patient").alias(patient_col)), [order_by], "document_id")
+    return out.drop(patient_col).join(numbers, order_by)
 
 
 def seeded_order(seed: int, id_col: str) -> Column:
@@ -81,14 +85,18 @@ def seeded_order(seed: int, id_col: str) -> Column:
 def balanced_sample(
     df: DataFrame, per_label: int, id_col: str = "row_id", label_col: str = "label", seed: int = 0
 ) -> DataFrame:
-    """At most ``per_label`` rows of each label, chosen by a seeded hash. Rows without a label are left out.
+    """At most ``per_label`` rows of each label, chosen by a seeded hash of the unique ``id_col``.
 
-    The rank limit runs inside each partition before the shuffle, so a label with a third of all rows sends no more
-    than ``per_label`` rows per task.
+    Rows without a label are left out. Only ids are ranked, in two steps: first per label and group of input partitions,
+    with the limit applied inside each partition before the shuffle, then per label. So a label that holds a third of
+    the rows never meets in one task. The chosen ids then pick their rows.
     """
-    w = Window.partitionBy(label_col).orderBy(seeded_order(seed, id_col), id_col)
-    ranked = df.where(F.col(label_col).isNotNull()).withColumn("_rank", F.row_number().over(w))
-    return ranked.where(F.col("_rank") <= per_label).drop("_rank")
+    group = F.pmod(F.spark_partition_id(), F.lit(_SAMPLE_GROUPS))
+    ids = df.where(F.col(label_col).isNotNull()).select(id_col, label_col, group.alias("_group"))
+    for keys in ([label_col, "_group"], [label_col]):
+        w = Window.partitionBy(*keys).orderBy(seeded_order(seed, id_col), id_col)
+        ids = ids.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_label).drop("_rank")
+    return df.join(ids.select(id_col), id_col, "left_semi")
 
 
 def shuffle_rows(df: DataFrame, id_col: str = "row_id", seed: int = 0) -> DataFrame:

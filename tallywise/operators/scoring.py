@@ -75,9 +75,9 @@ def metrics_by_mode(votes: DataFrame, n_runs: int, by: Sequence[str] = (), id_co
         F.struct(
             F.lit(name).alias("mode"),
             F.lit(label).alias("mode_label"),
-            F.col(f"{name}_n").alias("n"),
-            F.try_divide(F.col(f"{name}_e"), F.col(f"{name}_n")).alias("error_rate"),
-            F.try_divide(F.col(f"{name}_d"), F.col(f"{name}_n")).alias("distance"),
+            F.coalesce(f"{name}_n", F.lit(0)).alias("n"),
+            F.coalesce(F.try_divide(f"{name}_e", f"{name}_n"), F.lit(float("nan"))).alias("error_rate"),
+            F.coalesce(F.try_divide(f"{name}_d", f"{name}_n"), F.lit(float("nan"))).alias("distance"),
         )
         for name, label in modes
     ]

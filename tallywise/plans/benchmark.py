@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.functions.extraction import extract_structured
-from tallywise.functions.model_ids import bits_per_param, n_params, vram_gb
+from tallywise.functions.model_ids import bits_per_param, n_params, result_scheme, vram_gb
 from tallywise.functions.prompts import ChatTemplate, PromptConfig, build_messages, render_prompt
 from tallywise.operators.agreement import against_expert, rater_cells
 from tallywise.operators.bootstrap import bootstrap_ci, bootstrap_halfwidth
 from tallywise.operators.generate import generate_table
-from tallywise.operators.pooling import pooled_long
+from tallywise.operators.pooling import pooled_long, wide_to_votes
 from tallywise.operators.scoring import cells, joint_counts, metrics_by_mode, rater_metrics
 from tallywise.operators.significance import (
     comparison_plan,
@@ -37,6 +38,13 @@ def score_generations(generations: DataFrame, n_runs: int, by: Sequence[str] = (
     return metrics_by_mode(predicted_votes(generations, by), n_runs, by)
 
 
+def rescore_results(results: DataFrame, id_col: str = "row_id", field: str = "mRS") -> DataFrame:
+    """Scores of a saved wide result table, one prediction column per run, without generating anything again."""
+    runs = [c for c in results.columns if re.fullmatch(rf"{field}_\d+", c)]
+    votes = wide_to_votes(results, [id_col, "label"], f"{field}_")
+    return metrics_by_mode(votes.withColumn("pred", F.col("pred").cast("int")), len(runs), id_col=id_col)
+
+
 def run_benchmark(
     letters: DataFrame,
     prompts: PromptConfig,
@@ -62,7 +70,7 @@ def pooled_cells(votes: DataFrame, n_runs: int, by: Sequence[str] = ()) -> DataF
 
 def run_characteristics(model_id: Column, scheme: Column, *known_params: Column) -> dict[str, Column]:
     """Size columns of a run as they go into a metric file."""
-    params, bits = n_params(model_id, *known_params), bits_per_param(model_id, scheme)
+    params, bits = n_params(model_id, *known_params), bits_per_param(model_id, result_scheme(model_id, scheme))
     return {"nparams": params / 1e9, "nbits": bits.cast("double"), "vram": vram_gb(params, bits)}
 
 

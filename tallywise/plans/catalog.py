@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions import model_ids as ids
 from tallywise.functions.extraction import extract_structured, predictions_wide, repair_truncated, status_counts
-from tallywise.functions.prompts import (
-    MESSAGES_TYPE,
-    PromptConfig,
-    build_messages,
-    fit_prompt,
-    render_prompt,
-    split_reasoning,
-)
+from tallywise.functions.prompts import PromptConfig, build_messages, fit_prompt, render_prompt, split_reasoning
 from tallywise.functions.schemas import Field, get_schema, violations
 from tallywise.operators import agreement, bootstrap, lengths, mixed, pooling, prepare, scoring, significance
 from tallywise.operators.generate import backend, generate
@@ -175,12 +168,9 @@ def build_messages_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def render_prompt_query(spark: SparkSession, sf: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf}/conversations.parquet")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    messages = F.transform(ordered, lambda m: F.struct(m["role"], m["content"])).cast(MESSAGES_TYPE)
-    chats = turns.groupBy("conv_id").agg(messages.alias("messages"))
-    rendered = render_prompt(chats, enable_thinking=False)
-    return rendered.select("conv_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest"))
+    built = build_messages(load(spark, sf, "letters"), PROMPTS)
+    rendered = render_prompt(built, enable_thinking=PROMPTS.enable_thinking)
+    return rendered.select("row_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
 def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,6 +300,14 @@ def score_generations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(benchmark.score_generations(load(spark, sf, "generations"), RUNS))
 
 
+def rescore_results(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "wide-results")
+    extracted = extract_structured(load(spark, sf, "generations"))
+    letter_files.write_csv(predictions_wide(extracted, ["row_id", "label"], ["mRS"], RUNS), path)
+    schema = ", ".join(["row_id bigint", "label int", *[f"mRS_{i:03d} int" for i in range(RUNS)]])
+    return rounded(benchmark.rescore_results(letter_files.read_letters(spark, path, schema)))
+
+
 def benchmark_run(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(benchmark.run_benchmark(load(spark, sf, "letters"), PROMPTS, "stub", 5))
 
@@ -528,6 +526,7 @@ QUERIES = {
     "error_distance": error_distance,
     "metrics_by_mode": metrics_by_mode,
     "score_generations": score_generations,
+    "rescore_results": rescore_results,
     "benchmark_run": benchmark_run,
     "confusion_matrix": confusion_matrix,
     "rater_metrics": rater_metrics,

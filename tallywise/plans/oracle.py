@@ -159,8 +159,8 @@ PAIRED_T = """, moments AS (SELECT comparison, count(d) AS n, avg(d) AS mean_dif
         - 0.5 * ln((n - 1) * pi()) - n / 2.0::DOUBLE * ln(1 + power(abs(t) + (i + 0.5) * 0.005, 2) / (n - 1)))) * 0.005 AS p_value
       FROM ts, range(8000) g(i) GROUP BY comparison, n, t),
     marginal AS (SELECT comparison, u,
-        -0.5 * ln(1 + n * exp(u) / 2)
-        - n / 2.0::DOUBLE * ln(1 + t * t / ((1 + n * exp(u) / 2) * (n - 1))) + n / 2.0::DOUBLE * ln(1 + t * t / (n - 1))
+        -0.5 * ln(1 + n * exp(u) * 0.707 * 0.707)
+        - n / 2.0::DOUBLE * ln(1 + t * t / ((1 + n * exp(u) * 0.707 * 0.707) * (n - 1))) + n / 2.0::DOUBLE * ln(1 + t * t / (n - 1))
         - 0.5 * ln(2 * pi()) - 0.5 * u - 0.5 * exp(-u) AS f
       FROM ts, (SELECT -9 + (i + 0.5) * 0.002::DOUBLE AS u FROM range(30000) r(i)) g),
     bayes AS (SELECT comparison, top + ln(sum(exp(f - top)) * 0.002) AS log_bf10
@@ -254,11 +254,13 @@ def statements() -> dict[str, str]:
     out["build_messages"] = f"""{ctes("letters")}
     SELECT row_id, 0 AS pos, 'system' AS role, md5('{system}') AS digest FROM letters
     UNION ALL SELECT row_id, 1, 'user', md5({user}) FROM letters"""
-    out["render_prompt"] = """
-    SELECT conv_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM (
-      SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)
-        || '<|im_start|>assistant' || chr(10) || '<think>' || repeat(chr(10), 2) || '</think>' || repeat(chr(10), 2) AS prompt
-      FROM conversations GROUP BY conv_id) p"""
+    prompt = (
+        f"'<|im_start|>system' || chr(10) || '{system}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {user}"
+        " || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || repeat(chr(10), 2)"
+        " || '</think>' || repeat(chr(10), 2)"
+    )
+    out["render_prompt"] = f"""{ctes("letters")}
+    SELECT row_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM (SELECT row_id, {prompt} AS prompt FROM letters) p"""
     limit = catalog.PROMPT_LIMIT["max_context"] - catalog.PROMPT_LIMIT["max_new_tokens"] - 100
     out["prompt_budget"] = f"""{ctes("letters")}, tokens AS (
       SELECT row_id, input_text, regexp_extract_all(input_text, '\\S+') AS w FROM letters)
@@ -299,6 +301,7 @@ def statements() -> dict[str, str]:
     predicted = ", predicted AS (SELECT row_id, run_idx, label, value::INTEGER AS pred FROM extracted)"
     out["score_generations"] = _extract_mrs(predicted + _mode_scores("predicted"))
     out["resumable_run"] = out["score_generations"]
+    out["rescore_results"] = out["score_generations"]
     out["event_props"] = "WITH src AS (SELECT event_id, props FROM events)" + _extraction(
         "src", "props", "k", 0, 80, "NULL", "SELECT event_id, value::BIGINT AS k, status, valid FROM extracted"
     )
@@ -350,11 +353,6 @@ def statements() -> dict[str, str]:
     out["error_distance"] = f"{ctes('votes')} {_scores('SELECT * FROM votes', 'run_idx')}"
     out["metrics_by_mode"] = f"{ctes('votes')} {_mode_scores('votes')}"
     stub = "(('0x' || substr(md5(run_idx::VARCHAR || '-' || prompt), 1, 7))::BIGINT % 7)::INTEGER"
-    prompt = (
-        f"'<|im_start|>system' || chr(10) || '{system}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {user}"
-        " || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || repeat(chr(10), 2)"
-        " || '</think>' || repeat(chr(10), 2)"
-    )
     five = [
         ("all", "all 5 models", "SELECT row_id, label, pred FROM v"),
         ("single", "single model", "SELECT row_id, label, pred FROM v WHERE run_idx = 0"),

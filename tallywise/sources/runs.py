@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions.model_ids import correct_fp8, result_scheme
 from tallywise.operators.indexing import dense_index
+from tallywise.sources.letters import write_csv
 
 RUN_COLUMNS = ("backend", "guided", "model", "quant_scheme")
 
@@ -50,6 +51,19 @@ def read_results(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFr
     return spark.read.format(fmt).option("header", "true").option("escape", '"').option("multiLine", "true").load(root)
 
 
+def consensus_path(results_path: str) -> str:
+    """Where the consensus predictions of a result file go."""
+    stem = results_path.removesuffix(".csv")
+    return f"{stem}_data_with_predictions.csv"
+
+
+def write_consensus(consensus: DataFrame, results_path: str, mode: str = "overwrite") -> str:
+    """Write a consensus table as CSV beside its result file; returns the path."""
+    path = consensus_path(results_path)
+    write_csv(consensus, path, mode)
+    return path
+
+
 def metric_entries(by_mode: DataFrame, run_values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tidy ``(keys…, metric, value, unit)`` from scores per mode and values per run."""
     per_mode = [

@@ -125,6 +125,8 @@ FIELDS = (
             True,
         ),
         ('{"name": "a", "counts": [1, 2.5], "tags": ["x"]', ("a", ["x"], [], [], 0.5, False), "field_regex", True),
+        ('{x "sizes": ["1", "2.5"], "counts": ["3"]}', (None, [], [1.0, 2.5], [3], 0.5, False), "field_regex", False),
+        ('{"name": "torn\\", "tags": ["x\\", "y"] z}', ('torn", ', ["x\\", "y"], [], [], 0.5, False), "field_regex", True),
         ("nothing", (None, [], [], [], 0.5, False), "default", False),
     ],
 )
@@ -195,3 +197,18 @@ def test_no_python_and_no_shuffle_in_extraction(spark):
     df = spark.createDataFrame([("x",)], "output_text string")
     plan = extract_structured(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_long_answers_do_not_exhaust_the_stack(spark):
+    n = 100_000
+    strings = ", ".join('"s\\"%d"' % i for i in range(n))
+    numbers = ", ".join(str(i) for i in range(n))
+    quoted = "q\\" * n
+    text = '{"name": "%s", "tags": [%s], "sizes": [%s], "mRS": 4, "x": {' % (quoted.replace("q\\", 'q\\"'), strings, numbers)
+    broken = text + "[" * 1000 + " oops"
+    df = spark.createDataFrame([(broken,)], "output_text string")
+    row = extract_structured(df, schema=FIELDS[:3]).first()
+    assert row.status == "field_regex" and row.record.name == 'q"' * n
+    assert len(row.record.tags) == n and len(row.record.sizes) == n
+    spaces = spark.createDataFrame([("```json" + " " * n + '{"mRS": 4' + "}" * n + " " * n,)], "output_text string")
+    assert extract_structured(spaces).first().record.mRS == 4

@@ -133,7 +133,7 @@ def test_reasoning(spark):
 
 
 MODELS = [
-    ("unsloth/Some-0.6B-GGUF", "Q4_K_XL", "gguf", 600_000_000, 4),
+    ("org/Some-0.6B-GGUF", "Q4_K_XL", "gguf", 600_000_000, 4),
     ("org/Some-30B-A3B-GGUF", "Q8_0", "gguf", 30_000_000_000, 8),
     ("org/some-awq/large-GGUF", "IQ3_XS", "gguf", 1, 4),
     ("org/Some_7b_gptq", "F16", "gptq", 7_000_000_000, 4),

@@ -128,6 +128,16 @@ def test_results_overwrite_only_their_own_run(spark):
     ]
 
 
+def test_consensus_and_reports(spark, tmp_path):
+    assert runs.consensus_path("a/b.csv") == "a/b_data_with_predictions.csv"
+    assert runs.consensus_path("a/b") == "a/b_data_with_predictions.csv"
+    df = spark.createDataFrame([(i, "x, y") for i in range(9)], "row_id int, text string").repartition(3)
+    path = runs.write_consensus(df, str(tmp_path / "r.csv"))
+    assert letters.read_letters(spark, path, "row_id int, text string").count() == 9
+    letters.write_report(df, str(tmp_path / "report"))
+    assert len(list((tmp_path / "report").glob("*.csv"))) == 1
+
+
 def test_metric_files(spark, tmp_path):
     good = '{"Error Rate\\n(single model)": {"values": [0.25], "unit": "%"}, "VRAM param usage": {"values": [2.0]}, '
     good += '"Number of params": {"values": ["8"]}, "Bits/param": {"values": [8]}, "y_true": {"single": [1, 2]}, '
