@@ -42,6 +42,11 @@ def _one_object(text: Column, fields, options: dict[str, str]) -> Column:
     return F.when((F.size(parsed) == 2) & (F.get(parsed, F.lit(1))[_END_MARK] == "1"), F.get(parsed, F.lit(0)))
 
 
+def _may_be_strict(text: Column) -> Column:
+    """Cheap necessary signs of strict JSON; a failed parse costs many times more than this look."""
+    return text.rlike(r'^\s*\{\s*["}]') & text.rlike(r"\}\s*$") & ~text.rlike(r",\s*\}\s*$")
+
+
 def _has_key(text: Column, name: str, options: dict[str, str]) -> Column:
     """Whether the object in ``text`` has the key at all; tells an explicit null from an absent field."""
     parsed = F.from_json(_wrapped(text), "array<map<string,string>>", options)
@@ -244,19 +249,23 @@ def extract_structured(
 
     out = df.withColumn("_empty", is_blank(raw))
     stripped = strip(raw)
-    looks_like_object = ~F.col("_empty") & stripped.startswith("{") & stripped.endswith("}")
-    out = _parse_stage(out, "_direct", stripped, looks_like_object, fields, lenient=False)
+    direct_when = ~F.col("_empty") & _may_be_strict(stripped)
+    out = _parse_stage(out, "_direct", stripped, direct_when, fields, lenient=False)
     out = out.withColumn("_block", F.when(~F.col("_empty") & open_after("_direct"), isolate_block(raw)))
     block = F.col("_block")
     # a block that is the whole answer was parsed already
-    isolated_when = block.startswith("{") & (block != stripped)
+    isolated_when = _may_be_strict(block) & (block != stripped)
     out = _parse_stage(out, "_isolated", block, isolated_when, fields, lenient=False)
     # a block that is sound JSON but breaks a rule breaks it in every later parse too: on to the field patterns
     sound = F.when(block == stripped, F.col("_direct_seen")).otherwise(F.col("_isolated_seen"))
     is_object = open_after("_direct", "_isolated") & strip(block).startswith("{") & ~sound
-    out = _parse_stage(out, "_lenient", relax(block), is_object, fields, lenient=True)
+    lenient_when = is_object & strip(block).endswith("}")
+    out = _parse_stage(out, "_lenient", relax(block), lenient_when, fields, lenient=True)
     still_open = is_object & open_after("_lenient") & ~F.col("_lenient_seen")
-    out = _parse_stage(out, "_repaired", repair_truncated(block), still_open, fields, lenient=False)
+    out = out.withColumn("_closed", F.when(still_open, repair_truncated(block)))
+    # with nothing to add, the block would fail as it did before
+    closed = F.col("_closed")
+    out = _parse_stage(out, "_repaired", closed, (closed != strip(block)) & _may_be_strict(closed), fields, lenient=False)
     unparsed = ~F.col("_empty") & open_after(*stages)
     found = F.struct(*[field_from_text(f, block).alias(f.name) for f in fields])
     out = out.withColumn("_fields", F.when(unparsed, found))
@@ -278,7 +287,7 @@ def extract_structured(
     kept_rules = [f.violation(F.col(record)[f.name]) for f in fields]
     regex_valid = (F.col(status) == "field_regex") & F.coalesce(*kept_rules).isNull()
     out = out.withColumn(valid, parsed | regex_valid)
-    return out.drop("_empty", "_block", "_fields", *stages, *[f"{s}_seen" for s in stages])
+    return out.drop("_empty", "_block", "_closed", "_fields", *stages, *[f"{s}_seen" for s in stages])
 
 
 def status_counts(extracted: DataFrame, status_col: str = "status") -> DataFrame:

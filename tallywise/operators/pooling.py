@@ -44,8 +44,12 @@ def _tallies(votes: DataFrame, by: Sequence[str], ks: Sequence[int]) -> DataFram
 
 
 def _winner(count: str) -> Column:
-    """The most frequent vote; of equally frequent ones the vote seen first in run order."""
-    return F.max_by("pred", F.when(F.col(count) > 0, F.struct(F.col(count), -F.col("_first"))))
+    """The most frequent vote; of equally frequent ones the vote seen first in run order.
+
+    Count and first run share one number: a primitive sort key lets the aggregation stay hash based.
+    """
+    key = F.col(count) * F.lit(2**32) - F.col("_first")
+    return F.max_by("pred", F.when(F.col(count) > 0, key))
 
 
 def pool(votes: DataFrame, mode: str, k: int | None = None, by: Sequence[str] = ("row_id",)) -> DataFrame:

@@ -53,7 +53,13 @@ def _judged_lines(lines: DataFrame, with_text: bool) -> DataFrame:
     end_closed, commas_closed = _scan(F.col("line"))
     end_open, commas_open = _scan(F.concat(F.lit('"'), F.col("line")))
     scanned = lines.withColumns(
-        {"_c": end_closed, "_o": end_open, "_dc": commas_closed, "_do": commas_open, "blank": F.trim(F.replace(F.col("line"), F.lit("\t"), F.lit(" "))) == ""}
+        {
+            "_c": end_closed,
+            "_o": end_open,
+            "_dc": commas_closed,
+            "_do": commas_open,
+            "blank": F.trim(F.replace(F.col("line"), F.lit("\t"), F.lit(" "))) == "",
+        }
     )
     in_block = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     after_c, after_o = _carry(F.col("_c"), F.col("_o"), in_block)
