@@ -171,3 +171,43 @@ def test_scratch_follows_the_session(spark):
 
     assert scratch_root(Named()) == "hdfs://shared/scratch"
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_scratch_refuses_a_local_folder_on_a_cluster():
+    class Conf(dict):
+        pass
+
+    class Context:
+        @staticmethod
+        def getConf():
+            return Conf({"spark.master": "spark://host:7077"})
+
+    class Cluster:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Cluster())
+
+
+def test_durable_compares_counts_and_release_deletes(spark, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrameWriter
+
+    from tallywise.operators import scratch
+
+    monkeypatch.setattr(spark, "_tallywise_paths", [], raising=False)
+    kept = scratch.durable(spark.range(100), "kept")
+    assert kept.count() == 100
+    empty = scratch.durable(spark.range(0), "empty")
+    assert empty.count() == 0
+    write = DataFrameWriter.parquet
+
+    def partly(self, path, *args, **options):
+        write(self, path, *args, **options)
+        write(spark.range(7).write.mode("overwrite"), path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", partly)
+    with pytest.raises(RuntimeError, match="100 rows were written"):
+        scratch.durable(spark.range(100), "torn")
+    monkeypatch.undo()
+    spark._tallywise_paths = [kept.inputFiles()[0].rpartition("/")[0]]
+    assert scratch.release(spark) == 1
