@@ -27,10 +27,16 @@ class _Hashes(dict):
 
 
 def features(text: str, hashes: _Hashes, bits: int) -> np.ndarray:
-    """Indexes below 2**bits of all words and word pairs of the whole text, repeats included."""
+    """Indexes below 2**bits of all words and word pairs of the whole text, repeats included.
+
+    A pair whose second word also stands one, two or three words before counts as that repetition instead.
+    """
     words = _TOKEN.findall(text)
     one = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     two = one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77) + np.uint64(1)
+    for lag in range(1, min(4, len(one))):  # a word said again is one feature, whichever word it is
+        again = one[lag:] == one[:-lag]
+        two[lag - 1 :][again] = np.uint64(lag)
     mixed = np.concatenate([one * np.uint64(0xC2B2AE3D27D4EB4F), two * np.uint64(0x9E3779B97F4A7C15)])
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
