@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import html, language, quality, sharding, tokens
+from tallywise.llm import html, language, neighbours, quality, sharding, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", predicted)
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op6_shards, op8_language, op9_quality)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op6_shards, op8_language, op9_quality, op10_neighbours)}
 #: None of these can be said in SQL: they rest on hashes that DuckDB lacks, or on fitted models.
 ORACLE: dict[str, str] = {}
