@@ -157,7 +157,8 @@ def nearest(
             yield pa.RecordBatch.from_arrays(arrays, names=["shard", "length", name])
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {n: pickle.dumps(build(ids, rows, leaf, seed)) for n, (ids, rows) in grouped(batches).items()}
+        grown = {n: build(ids, rows, leaf, seed) for n, (ids, rows) in grouped(batches).items()}
+        trees = {n: pickle.dumps((t.ids, t.rows, t.longest, t.nodes)) for n, t in grown.items()}
         yield from packed(trees, "tree")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def nearest(
         for b in batches:
             for tree, block in zip(b.column("tree"), b.column("block")):
                 ids, queries = pickle.loads(block.as_py())
-                found, scores = search(pickle.loads(tree.as_py()), ids, queries, k, relax)
+                found, scores = search(Tree(*pickle.loads(tree.as_py())), ids, queries, k, relax)
                 at, column = np.nonzero(scores > -np.inf)
                 arrays = [ids[at], found[at, column], scores[at, column]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["query_id", "vec_id", "score"])
