@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import html, language, neighbours, quality, sharding, tokens
+from tallywise.llm import html, language, neighbours, quality, sharding, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.histogram_shards(docs, shards=40).select(
@@ -63,6 +68,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op6_shards, op8_language, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op4_simhash, op6_shards, op8_language, op9_quality, op10_neighbours)}
 #: None of these can be said in SQL: they rest on hashes that DuckDB lacks, or on fitted models.
 ORACLE: dict[str, str] = {}
