@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import html, language, neighbours, quality, sharding, simhash, tokens
+from tallywise.llm import html, language, lines, neighbours, quality, sharding, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.dedupe_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return docs.select(
+        "doc_id", "n_lines", "n_removed", F.octet_length(kept).alias("n_bytes"), F.sha2(kept, 256).alias("kept_sha256")
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
@@ -68,6 +76,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op4_simhash, op6_shards, op8_language, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op4_simhash, op6_shards, op7_lines, op8_language, op9_quality, op10_neighbours)}
 #: None of these can be said in SQL: they rest on hashes that DuckDB lacks, or on fitted models.
 ORACLE: dict[str, str] = {}
