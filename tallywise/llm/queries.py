@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import html, language, lines, neighbours, quality, sharding, simhash, tokens
+from tallywise.llm import decontaminate, html, language, lines, neighbours, quality, sharding, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")
+    found = decontaminate.find_contamination(docs, items)
+    return found.select("doc_id", F.explode("matches").alias("match")).select("doc_id", "match.*")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.histogram_shards(docs, shards=40).select(
@@ -76,6 +82,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op4_simhash, op6_shards, op7_lines, op8_language, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op4_simhash, op5_contamination, op6_shards, op7_lines, op8_language, op9_quality, op10_neighbours)}
 #: None of these can be said in SQL: they rest on hashes that DuckDB lacks, or on fitted models.
 ORACLE: dict[str, str] = {}
