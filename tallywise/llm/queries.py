@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import decontaminate, html, language, lines, neighbours, quality, sharding, simhash, tokens
+from tallywise.llm import decontaminate, html, language, lines, neighbours, quality, sharding, simhash, suffixes, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,18 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffixes.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes, n_kept = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.octet_length("kept").cast("long")
+    return docs.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - n_kept).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -82,6 +94,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_tokens, op4_simhash, op5_contamination, op6_shards, op7_lines, op8_language, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_main_text, op3_tokens, op4_simhash, op5_contamination, op6_shards, op7_lines, op8_language, op9_quality, op10_neighbours)}
 #: None of these can be said in SQL: they rest on hashes that DuckDB lacks, or on fitted models.
 ORACLE: dict[str, str] = {}
