@@ -132,7 +132,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     done = 1
     while done < n:
         more = min(done, n - done)
-        out[done : done + more] = out[:more] * (out[done - 1] * base)
+        out[done : done + more] = out[:more] * (out[done - 1 : done] * base)
         done += more
     return out
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywise.llm.batches import with_computed
 from tallywise.llm.components import connected
+from tallywise.llm.membership import maybe_among
 from tallywise.operators.scratch import durable
 
 _BITS = 64
@@ -137,3 +138,22 @@ def near_groups(
     named = prints.join(roots, prints["id"] == roots["node"], "left")
     named = named.select("simhash", F.coalesce("root", "id").alias("component_id"))
     return hashed.join(named, "simhash").select(id_col, "simhash", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of ``near_groups``: the one with the smallest id, once.
+
+    Rows with a null id all stay. Only documents that may go, or whose id stands in several rows, are shuffled.
+    """
+    groups = durable(near_groups(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull()), "groups")
+    odd = groups.groupBy(F.col(id_col).alias("_id")).agg(
+        F.min("component_id").alias("_component"), F.count(F.lit(1)).alias("_rows")
+    )
+    odd = durable(odd.where((F.col("_component") != F.col("_id")) | (F.col("_rows") > 1)), "odd")
+    marked = maybe_among(docs, id_col, odd.select("_id"))
+    looked_up = marked.where("hit").join(odd, marked[id_col] == odd["_id"], "left")
+    stays = F.coalesce(F.col("_component") == F.col("_id"), F.lit(True))
+    several = F.coalesce(F.col("_rows") > 1, F.lit(False))
+    once = looked_up.where(stays & ~several).select(docs.columns)
+    repeated = looked_up.where(stays & several).select(docs.columns).dropDuplicates([id_col])
+    return marked.where(~F.col("hit")).select(docs.columns).union(once).union(repeated)

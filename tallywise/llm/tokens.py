@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -227,11 +228,13 @@ def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
     return with_computed(docs, f"`{into}` string", start)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and ``decoded_sha256``.
 
-    Encodes each whole text, then decodes the ids as a stream, in one pass over the rows that moves neither ids nor texts
-    out of the task. A null text counts as empty: no tokens.
+    Encodes each whole text, then decodes the ids as a stream, in one pass over the rows; ``with_ids`` adds ``ids`` (array
+    of int). A null text counts as empty: no tokens. Columns of these names are replaced. No shuffle.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
@@ -239,17 +242,20 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         coder = _encoder(ranks_path, pattern, ranks.value)
         decimal = {rank: str(rank) for rank in coder.bytes}
 
-        def digests(text: str) -> tuple[int, str, str]:
+        def digests(text: str) -> tuple:
             ids, decoded = coder.encode(text), hashlib.sha256()
             for part in coder.decode(ids):
                 decoded.update(part.encode("utf-8"))
             joined = ",".join(map(decimal.__getitem__, ids))
-            return len(ids), hashlib.sha256(joined.encode("ascii")).hexdigest(), decoded.hexdigest()
+            digest = hashlib.sha256(joined.encode("ascii")).hexdigest()
+            return len(ids), digest, decoded.hexdigest(), np.array(ids, np.int32) if with_ids else None
 
         def compute(b: pa.RecordBatch) -> list:
-            found = list(zip(*(digests(t.as_py() or "") for t in b.column(text_col)))) or [[], [], []]
-            return [pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.string(), pa.string()))]
+            found = list(zip(*(digests(t.as_py() or "") for t in b.column(text_col)))) or [[], [], [], []]
+            return [pa.array(x, t) for x, t in zip(found, kinds)]
 
         return compute
 
-    return with_computed(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", start)
+    kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return with_computed(docs, fields, start)
