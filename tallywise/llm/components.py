@@ -22,7 +22,8 @@ def connected(links: DataFrame) -> DataFrame:
     while (now := _state(links)) != before:
         before = now
         links = durable(_small_star(_large_star(links)), "links")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = links.select("b", "b").distinct()  # each component's links are a star around its root by now
+    return links.union(roots).toDF("node", "root")
 
 
 def _state(links: DataFrame) -> tuple:
