@@ -23,6 +23,8 @@ _EDGES = 20000  # open runs for each bucket of the suffix sort, on average
 _SEED_FIELDS = (("h_high", "<u4"), ("h_low", "<u2"), ("c_high", "<u4"), ("c_low", "<u2"), ("at_low", "<u2"), ("at_high", "<u2"))
 
 
+_ANSWER = ("home", "ids", "tags", "n_all", "n_open", "at")
+
 # --- runs: windows with a common seed ---------------------------------------------------------------------------------
 
 
@@ -150,26 +152,67 @@ def _packed_seeds(texts: DataFrame, buckets: int, length: int, seed: int) -> Dat
     return texts.mapInArrow(seeds, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
-def _judge(bucket: pa.Table) -> pa.Table:
-    """Of one bucket's runs: those that equal a run of a smaller document, and those that other runs may share in part."""
-    rows = bucket.to_pylist()
-    join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-    counts = join("counts", np.int32)
-    ids, tags = np.repeat(join("ids", np.int64), counts), np.repeat(join("tags", np.int32), counts)
-    fields = {name: join(name, kind).astype(np.int64) for name, kind in _SEED_FIELDS}
-    h, c, at = (fields[f"{x}_high"] << 16 | fields[f"{x}_low"] for x in ("h", "c", "at"))
-    order = np.lexsort((c, h))
-    h, c, own = h[order], c[order], ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(starts, len(h)))
-    several = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-    inner = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(own, inner), np.diff(np.append(inner, len(h))))
-    mixed = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, sizes)
-    again = several & (own > least)
-    open_ = several & mixed & ~again
-    return _by_document(ids, tags, order[again], order[open_], at)
+def _judge(homes: int):
+    def judge(bucket: pa.Table) -> pa.Table:
+        """Of one bucket's runs: those that equal a run of a smaller document, and those that others may share in part.
+
+        The answers go to the documents' homes, one row a home.
+        """
+        rows = bucket.to_pylist()
+        counts = _joined(rows, "counts", np.int32)
+        ids, tags = np.repeat(_joined(rows, "ids", np.int64), counts), np.repeat(_joined(rows, "tags", np.int32), counts)
+        fields = {name: _joined(rows, name, kind).astype(np.int64) for name, kind in _SEED_FIELDS}
+        h, c, at = (fields[f"{x}_high"] << 16 | fields[f"{x}_low"] for x in ("h", "c", "at"))
+        order = np.lexsort((c, h))
+        h, c, own = h[order], c[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        several = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        inner = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(own, inner), np.diff(np.append(inner, len(h))))
+        mixed = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, sizes)
+        again = several & (own > least)
+        chosen = np.flatnonzero(again | (several & mixed))
+        is_open, chosen = ~again[chosen], order[chosen]
+        ids, tags, at = ids[chosen], tags[chosen], at[chosen].astype(np.int32)
+        home = _home(ids, homes)
+        order = np.lexsort((is_open, tags, ids, home))
+        home, ids, tags, at, is_open = (x[order] for x in (home, ids, tags, at, is_open))
+        cuts = np.searchsorted(home, np.arange(homes + 1))
+        packed = []
+        for i in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[i], cuts[i + 1])
+            i_ids, i_tags, i_open = ids[own], tags[own], is_open[own]
+            first = np.flatnonzero(np.concatenate([[True], (i_ids[1:] != i_ids[:-1]) | (i_tags[1:] != i_tags[:-1])]))
+            n_all = np.diff(np.append(first, len(i_ids))).astype(np.int32)
+            n_open = np.add.reduceat(i_open, first, dtype=np.int32)
+            packed.append((int(i), *(x.tobytes() for x in (i_ids[first], i_tags[first], n_all, n_open, at[own]))))
+        columns = list(zip(*packed)) or [[]] * len(_ANSWER)
+        kinds = [pa.int32()] + [pa.binary()] * (len(_ANSWER) - 1)
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(_ANSWER, columns, kinds)})
+
+    return judge
+
+
+def _merge(home: pa.Table) -> pa.Table:
+    """One row for each document of a home, with the starts of its settled and open runs from all buckets."""
+    rows = home.to_pylist()
+    n_all, n_open = _joined(rows, "n_all", np.int32), _joined(rows, "n_open", np.int32)
+    ids, tags = np.repeat(_joined(rows, "ids", np.int64), n_all), np.repeat(_joined(rows, "tags", np.int32), n_all)
+    at = _joined(rows, "at", np.int32)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(n_all) - n_all, n_all)
+    is_open = place >= np.repeat(n_all - n_open, n_all)  # settled runs come first
+    return _by_document(ids, tags, np.flatnonzero(~is_open), np.flatnonzero(is_open), at)
+
+
+def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+
+
+def _home(ids: np.ndarray, homes: int) -> np.ndarray:
+    mixed = ids.view(np.uint64) * _MIX
+    return ((mixed >> np.uint64(32)) % np.uint64(homes)).astype(np.int64)
 
 
 def _by_document(ids, tags, again: np.ndarray, open_: np.ndarray, at: np.ndarray) -> pa.Table:
@@ -346,7 +389,10 @@ def remove_repeats(
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // _BUCKET))
     seeds = _packed_seeds(texts, buckets, length, seed)
-    judged = durable(seeds.groupBy("bucket").applyInArrow(_judge, "id long, tag int, again binary, open binary"), "runs")
+    answers = "home int, ids binary, tags binary, n_all binary, n_open binary, at binary"
+    answered = seeds.groupBy("bucket").applyInArrow(_judge(buckets), answers)
+    judged = answered.groupBy("home").applyInArrow(_merge, "id long, tag int, again binary, open binary")
+    judged = durable(judged, "runs")
     resolved = _settle_open(texts, judged.where(F.octet_length("open") > 0), length, seed)
 
     cut = judged.where(F.octet_length("again") > 0).select("id", "tag", F.col("again").alias("runs"), F.lit(None).cast("binary").alias("windows"))
