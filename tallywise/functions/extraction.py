@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.functions.schemas import Field, get_schema, struct_type
-from tallywise.functions.text import is_blank, strip
+from tallywise.functions.text import SPACE, is_blank, strip
 
 STAGES = ("empty", "direct", "isolated", "lenient", "repaired", "field_regex", "default")
 
@@ -23,7 +23,7 @@ _LENIENT = {
     "allowBackslashEscapingAnyCharacter": "true",
 }
 _END_MARK = "__end__"
-_HEX_MARK = "#hex:"
+_HEX_MARK = "\ue000hex:"  # a private character: no answer has it
 
 
 def _wrapped(text: Column) -> Column:
@@ -36,78 +36,99 @@ def _wrapped(text: Column) -> Column:
 
 
 def _one_object(text: Column, fields, options: dict[str, str]) -> Column:
-    """The named fields as text (the last of equal keys) if ``text`` is exactly one JSON object, else null."""
-    members = ",".join(f"`{name}`:string" for name in [*(f.name for f in fields), _END_MARK])
+    """The named fields (the last of equal keys) if ``text`` is exactly one JSON object, else null.
+
+    Fields are variants: the parser tells a string from a number or a flag, and an explicit null from an absent field.
+    """
+    members = ",".join([*(f"`{f.name}`:variant" for f in fields), f"`{_END_MARK}`:string"])
     parsed = F.from_json(_wrapped(text), f"array<struct<{members}>>", options)
     return F.when((F.size(parsed) == 2) & (F.get(parsed, F.lit(1))[_END_MARK] == "1"), F.get(parsed, F.lit(0)))
 
 
+def _told(value: Column, kind: str) -> Column:
+    """JSON type and text of a variant, or of its items where a list is wanted."""
+
+    def pair(v: Column) -> Column:
+        return F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"))
+
+    if kind.startswith("list"):
+        return F.transform(F.try_variant_get(value, "$", "array<variant>"), pair)
+    return F.when(value.isNotNull(), pair(value))
+
+
 def _may_be_strict(text: Column) -> Column:
     """Cheap necessary signs of strict JSON; a failed parse costs many times more than this look."""
     return text.rlike(r'^\s*\{\s*["}]') & text.rlike(r"\}\s*$") & ~text.rlike(r",\s*\}\s*$")
 
 
 def _has_key(text: Column, name: str, options: dict[str, str]) -> Column:
-    """Whether the object in ``text`` has the key at all; tells an explicit null from an absent field."""
+    """Whether the object in ``text`` has the key at all: a value that can't be a variant (an object that names a key twice)
+    looks like an absent field."""
     parsed = F.from_json(_wrapped(text), "array<map<string,string>>", options)
     return F.map_contains_key(F.get(parsed, F.lit(0)), name)
 
 
-def _unquoted(text: Column, name: str, literal: str) -> Column:
-    return text.rlike(rf"""\b{name}["']?\s*:\s*{literal}""")
-
-
 def _to_float(value: Column) -> Column:
     trimmed = strip(value)
     return F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed.try_cast("double")).when(
-        trimmed.startswith(_HEX_MARK), F.conv(F.substring(trimmed, len(_HEX_MARK) + 1, 32), 16, 10).try_cast("double")
+        trimmed.startswith(_HEX_MARK), _hex_digits(trimmed).try_cast("double")
     )
 
 
+def _hex_digits(marked: Column) -> Column:
+    """Decimal digits of a marked hex number of any length; null if it has more than 64 bits."""
+    digits = F.regexp_replace(marked, f"^{_HEX_MARK}0*(?=.)", "")
+    return F.when(F.length(digits) <= 16, F.conv(digits, 16, 10))
+
+
+def _whole(number: Column) -> Column:
+    """A number in text form as an integer, null if it has a fraction or more than 64 bits."""
+    double = number.try_cast("double")
+    return F.when((double % 1 == 0) & (F.abs(double) < 2.0**63), F.coalesce(number.try_cast("bigint"), double.try_cast("bigint")))
+
+
 def _to_int(value: Column) -> Column:
     trimmed = strip(value)
-    number = trimmed.try_cast("double")
-    whole = F.when((number % 1 == 0) & (F.abs(number) < 2.0**63), number.try_cast("bigint"))
-    # the parser writes exponents with a capital E; a string with an exponent is refused
     return (
         F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("bigint"))
-        .when(trimmed.rlike(r"^[+-]?\d+\.0+$|^-?\d\.\d+E-?\d+$"), whole)
-        .when(trimmed.startswith(_HEX_MARK), _to_float(value).try_cast("bigint"))
+        .when(trimmed.rlike(r"^[+-]?\d+\.0+$"), _whole(trimmed))
+        .when(trimmed.startswith(_HEX_MARK), _hex_digits(trimmed).try_cast("bigint"))
     )
 
 
-def _to_items(value: Column, kind: str) -> Column:
-    convert = _to_int if kind == "list[int]" else _to_float
-    named_flags = value.contains('"true"') | value.contains('"false"')
-
-    def item(x: Column) -> Column:
-        return F.when(x.isin("true", "false") & ~named_flags, (x == "true").cast("int")).otherwise(convert(x))
-
-    items = F.transform(F.from_json(value, "array<string>", _STRICT), item)
-    return F.when(F.forall(items, lambda x: x.isNotNull()), items)
+def _number(kind: str, told: Column) -> Column:
+    """A JSON value as int or float: numbers and flags, and strings that spell a number."""
+    json_type, text = told["kind"], told["text"]
+    spelled = _to_int(text) if kind == "int" else _to_float(text)
+    given = _whole(text) if kind == "int" else F.when(~text.isin("NaN", "Infinity", "-Infinity"), text.try_cast("double"))
+    return (
+        F.when(json_type == "BOOLEAN", (text == "true").cast("int").cast("bigint" if kind == "int" else "double"))
+        .when(json_type.rlike("^(BIGINT|DECIMAL|DOUBLE)"), given)
+        .when(json_type == "STRING", spelled)
+    )
 
 
-def _coerce(field: Field, value: Column, text: Column) -> Column:
-    """Typed value of a JSON value given as text, or null where the lax conversion rules refuse it."""
+def _coerce(field: Field, told: Column) -> Column:
+    """Typed value of a JSON value, or null where the lax conversion rules refuse it."""
     if field.kind in ("int", "float"):
-        flag = value.isin("true", "false") & _unquoted(text, field.name, "(true|false)")
-        number = _to_int(value) if field.kind == "int" else _to_float(value)
-        return F.when(flag, (value == "true").cast(field.spark_type)).otherwise(number)
-    if field.kind == "bool":
-        lowered = F.lower(value)
-        decimal = value.isin("1.0", "0.0") & _unquoted(text, field.name, r"[01]\.0")
-        return (
-            F.when(lowered.isin("true", "t", "yes", "y", "on", "1"), F.lit(True))
-            .when(lowered.isin("false", "f", "no", "n", "off", "0"), F.lit(False))
-            .when(decimal, value == "1.0")
-        )
-    if field.kind == "string":
-        return F.when(_unquoted(text, field.name, r"""["']"""), value)
+        return _number(field.kind, told)
     if field.kind == "list[string]":
-        bare = F.regexp_replace(value, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-        only_strings = F.regexp_replace(bare, r"[\s,]", "") == "[]"
-        return F.when(only_strings, F.from_json(value, "array<string>", _STRICT))
-    return _to_items(value, field.kind)
+        only_strings = F.forall(told, lambda item: item["kind"] == "STRING")
+        return F.when(only_strings, F.transform(told, lambda item: item["text"]))
+    if field.kind.startswith("list"):
+        items = F.transform(told, lambda item: _number(field.kind[5:-1], item))
+        return F.when(F.forall(items, lambda x: x.isNotNull()), items)
+    json_type, text = told["kind"], told["text"]
+    if field.kind == "string":
+        return F.when(json_type == "STRING", text)
+    lowered = F.lower(text)
+    numeric = F.when(json_type.rlike("^(BIGINT|DECIMAL|DOUBLE)"), text.try_cast("double"))
+    return (
+        F.when(json_type == "BOOLEAN", text == "true")
+        .when(numeric.isin(0.0, 1.0), numeric == 1.0)
+        .when((json_type == "STRING") & lowered.isin("true", "t", "yes", "y", "on", "1"), F.lit(True))
+        .when((json_type == "STRING") & lowered.isin("false", "f", "no", "n", "off", "0"), F.lit(False))
+    )
 
 
 def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, lenient: bool) -> DataFrame:
@@ -119,15 +140,18 @@ def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, le
     nothing is parsed twice.
     """
     options = _LENIENT if lenient else _STRICT
-    source, given, typed = f"{out}_text", f"{out}_given", f"{out}_typed"
+    source, given, told, typed = (f"{out}_{part}" for part in ("text", "given", "told", "typed"))
     df = df.withColumn(source, F.when(when, text))
     df = df.withColumn(given, _one_object(F.col(source), fields, options))
 
+    described = F.struct(*[_told(F.col(given)[f.name], f.kind).alias(f.name) for f in fields])
+    df = df.withColumn(told, F.when(F.col(given).isNotNull(), described))
+
     def value_of(field: Field) -> Column:
-        value = F.col(given)[field.name]
-        return F.when(value.isNotNull(), _coerce(field, value, F.col(source))).alias(field.name)
+        value = F.col(told)[field.name]
+        return F.when(value.isNotNull(), _coerce(field, value)).alias(field.name)
 
-    df = df.withColumn(typed, F.when(F.col(given).isNotNull(), F.struct(*[value_of(f) for f in fields])))
+    df = df.withColumn(typed, F.when(F.col(told).isNotNull(), F.struct(*[value_of(f) for f in fields])))
     accepted, values = F.lit(True), []
     for field in fields:
         value, missing = F.col(typed)[field.name], F.col(given)[field.name].isNull()
@@ -140,12 +164,12 @@ def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, le
     record = F.struct(*values).cast(struct_type(fields))
     df = df.withColumn(out, F.when(F.col(given).isNotNull() & accepted, record))
     df = df.withColumn(f"{out}_seen", F.col(given).isNotNull())
-    return df.drop(source, given, typed)
+    return df.drop(source, given, told, typed)
 
 
 def isolate_block(text: Column) -> Column:
     """The JSON part of an answer: a fenced block, else first opener to last matching closer, else the whole text."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\}|\[.*\])\s*```", 1)
+    fenced = F.regexp_extract(text, rf"(?s)```(?:json)?{SPACE}*(\{{.*\}}|\[.*\]){SPACE}*```", 1)
     brace, bracket = F.instr(text, "{"), F.instr(text, "[")
     braces_first = (brace > 0) & ((bracket == 0) | (brace < bracket))
     span = (
@@ -156,13 +180,28 @@ def isolate_block(text: Column) -> Column:
     return F.when(text.contains("```") & (fenced != ""), fenced).otherwise(span)
 
 
+# A quoted string, or what stands between strings; a quote that opens nothing stands alone.
+_SEGMENT = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"']++|["']"""
+
+
 def relax(text: Column) -> Column:
-    """Rewrite the JSON5 forms that no parser option covers: trailing commas, ``+3``, ``.5``, ``5.`` and hex numbers."""
-    text = F.regexp_replace(text, r",\s*([}\]])", "$1")
-    text = F.regexp_replace(text, r":\s*\+(?=[\d.])", ":")
-    text = F.regexp_replace(text, r":\s*(-?)\.(?=\d)", ":$10.")
-    text = F.regexp_replace(text, r"(:\s*-?\d+)\.(?=\s*[,}\]])", "$1")
-    return F.regexp_replace(text, r":\s*0[xX]([0-9a-fA-F]+)", f':"{_HEX_MARK}$1"')
+    """Rewrite the JSON5 forms that no parser option covers: trailing commas, ``+3``, ``.5``, ``5.`` and hex numbers.
+
+    Quoted strings stay as they are.
+    """
+
+    def rewrite(part: Column) -> Column:
+        part = F.regexp_replace(part, r",\s*([}\]])", "$1")
+        part = F.regexp_replace(part, r":\s*\+(?=[\d.])", ":")
+        part = F.regexp_replace(part, r":\s*(-?)\.(?=\d)", ":$10.")
+        part = F.regexp_replace(part, r"(:\s*-?\d+)\.(?=\s*[,}\]])", "$1")
+        return F.regexp_replace(part, r":\s*0[xX]([0-9a-fA-F]+)", f':"{_HEX_MARK}$1"')
+
+    def part(segment: Column) -> Column:
+        quoted = segment.rlike(r"""(?s)^(".*"|'.*')$""")
+        return F.when(quoted, segment).otherwise(rewrite(segment))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0)), part), "")
 
 
 def repair_truncated(text: Column) -> Column:
@@ -189,7 +228,7 @@ _NUMBER = r"-?\d+(?:\.\d+)?"
 
 def field_from_text(field: Field, text: Column) -> Column:
     """First value of one field found by a type-aware pattern; null when there is none or the field is set to null."""
-    key = rf'"{field.name}"\s*:\s*'
+    key = rf'"{field.name}"{SPACE}*:{SPACE}*'
 
     def first(pattern: str, group: int = 1) -> Column:
         return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -209,11 +248,11 @@ def field_from_text(field: Field, text: Column) -> Column:
         value = first(key + "(true|false)") == "true"
     else:
         item_type = field.spark_type[len("array<") : -1]
-        quoted = first(key + rf"\[\s*({_STRING}(?:\s*,\s*{_STRING})*+)\s*\]")
+        quoted = first(key + rf"\[{SPACE}*({_STRING}(?:{SPACE}*,{SPACE}*{_STRING})*+){SPACE}*\]")
         # an escaped quote may still have been meant as a closing one
-        second = first(key + rf"\[\s*({_BACKTRACKING_STRING}(?:\s*,\s*{_BACKTRACKING_STRING})*)\s*\]")
+        second = first(key + rf"\[{SPACE}*({_BACKTRACKING_STRING}(?:{SPACE}*,{SPACE}*{_BACKTRACKING_STRING})*){SPACE}*\]")
         quoted = F.coalesce(quoted, F.when(text.contains('\\"'), second))
-        numbers = first(key + rf"\[\s*({_NUMBER}(?:\s*,\s*{_NUMBER})*+)\s*\]")
+        numbers = first(key + rf"\[{SPACE}*({_NUMBER}(?:{SPACE}*,{SPACE}*{_NUMBER})*+){SPACE}*\]")
 
         def parts(col: Column) -> Column:
             return F.filter(F.transform(F.split(col, ","), strip), lambda x: x != "")

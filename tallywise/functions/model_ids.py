@@ -16,11 +16,14 @@ def quant_method(model_id: Column) -> Column:
 
 
 def n_params(model_id: Column, *known: Column) -> Column:
-    """Parameter count: the first known value, else the first number before B, else before M, else 1."""
+    """Parameter count: the first known value, else the first number before B, else before M, else 1.
+
+    A number that is too large for a count is passed over.
+    """
     billions = F.regexp_extract(model_id, r"(?i)(\d+(?:\.\d+)?)[ ]?B", 1).try_cast("double")
     millions = F.regexp_extract(model_id, r"(?i)(\d+(?:\.\d+)?)[ ]?M", 1).try_cast("double")
-    guessed = F.coalesce((billions * 1e9).cast("bigint"), (millions * 1e6).cast("bigint"), F.lit(1).cast("bigint"))
-    return F.coalesce(*[k.cast("bigint") for k in known], guessed)
+    guessed = F.coalesce((billions * 1e9).try_cast("bigint"), (millions * 1e6).try_cast("bigint"), F.lit(1).cast("bigint"))
+    return F.coalesce(*[k.try_cast("bigint") for k in known], guessed)
 
 
 def bits_per_param(model_id: Column, scheme: Column) -> Column:

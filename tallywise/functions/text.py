@@ -12,6 +12,10 @@ WHITESPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters in patterns, where \s means the ASCII ones only.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NO_SPACE = "[^" + SPACE[1:]
+
 
 def strip(text: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
@@ -25,8 +29,8 @@ def is_blank(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated tokens: the default token function."""
-    return F.regexp_count(text, F.lit(r"\S+")).cast("bigint")
+    return F.regexp_count(text, F.lit(NO_SPACE + "+")).cast("bigint")
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(NO_SPACE + "+"), F.lit(0))

@@ -21,10 +21,11 @@ def length_counts(
 
 def length_stats(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     length, n = F.col("length"), F.col("n")
+    wide_length, wide_n = (c.cast("decimal(19,0)") for c in (length, n))
     total = F.sum("n")
-    mean = F.sum(length * n) / total
+    mean = F.sum((wide_length * wide_n).cast("decimal(38,0)")).cast("double") / total
     # sums of integers are exact, so the variance can be taken from them
-    spread = F.sum((length * length * n).cast("decimal(38,0)")).cast("double") - total * mean * mean
+    spread = F.sum((wide_length * wide_n * wide_length).cast("decimal(38,0)")).cast("double") - total * mean * mean
     return counted.groupBy(*by).agg(
         total.alias("n"),
         mean.alias("mean"),

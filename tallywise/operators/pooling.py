@@ -71,7 +71,8 @@ def pooled_wide(votes: DataFrame, n_runs: int, by: Sequence[str] = ("row_id",))
     """One row per document with the pooled vote of every mode, and its sums over all votes, in one plan.
 
     Votes are first counted per document and value, so what the second grouping receives no longer depends on the
-    number of runs. The sums ``n_votes``, ``n_wrong`` and ``sum_distance`` cover the mode that keeps every vote.
+    number of runs. ``has_…`` tells whether a document has a vote in the mode's runs at all, also a missing one. The sums
+    ``n_votes``, ``n_present``, ``n_wrong`` and ``sum_distance`` cover the mode that keeps every vote.
     """
     ks = [needed for _, _, _, needed in POOLING_MODES if needed is not None and needed <= n_runs]
     off = F.col("pred") - F.col("label")
@@ -81,9 +82,12 @@ def pooled_wide(votes: DataFrame, n_runs: int, by: Sequence[str] = ("row_id",))
         .agg(
             F.max("label").alias("label"),
             F.max(F.when(F.col("_first") == 0, F.col("pred"))).alias("single"),
+            F.max(F.col("_first") == 0).alias("has_single"),
             *[_winner(f"_n{k}").alias(f"maj_{k}") for k in ks],
+            *[F.max(F.col(f"_n{k}") > 0).alias(f"has_maj_{k}") for k in ks],
             F.sum("_n").alias("n_votes"),
-            F.sum(F.when(off != 0, F.col("_n")).otherwise(0)).alias("n_wrong"),
+            F.sum(F.when(off.isNotNull(), F.col("_n")).otherwise(0)).alias("n_present"),
+            F.sum(F.when(off == 0, 0).otherwise(F.col("_n"))).alias("n_wrong"),
             F.sum(F.abs(off) * F.col("_n")).alias("sum_distance"),
         )
     )
@@ -93,17 +97,17 @@ def pooled_long(votes: DataFrame, n_runs: int, by: Sequence[str] = ("row_id",))
     """``(by…, mode, label, pred, weight)`` for every mode, in one plan.
 
     The mode that keeps all votes has one row per document and distinct vote, with the number of such votes as its
-    weight; the other modes have one row of weight 1 per document.
+    weight; the other modes have one row of weight 1 per document that has a vote in their runs.
     """
     ks = [needed for _, _, _, needed in POOLING_MODES if needed is not None and needed <= n_runs]
     row = "struct<mode:string,pred:int,weight:bigint>"
-    pooled = [("single", F.max(F.when(F.col("_first") == 0, F.col("pred"))))]
-    pooled += [(f"maj_{k}", _winner(f"_n{k}")) for k in ks]
-    chosen = [F.struct(F.lit(name), value, F.lit(1)).cast(row) for name, value in pooled]
+    pooled = [("single", F.max(F.when(F.col("_first") == 0, F.col("pred"))), F.max(F.col("_first") == 0))]
+    pooled += [(f"maj_{k}", _winner(f"_n{k}"), F.max(F.col(f"_n{k}") > 0)) for k in ks]
+    chosen = [F.when(there, F.struct(F.lit(name), value, F.lit(1)).cast(row)) for name, value, there in pooled]
     # one entry per distinct vote of a document: no more than there are runs
     every = F.collect_list(F.struct(F.lit("all"), F.col("pred"), F.col("_n")).cast(row))
     rows = _tallies(votes, by, ks).groupBy(*by).agg(
-        F.max("label").alias("label"), F.concat(F.array(*chosen), every).alias("_rows")
+        F.max("label").alias("label"), F.filter(F.concat(F.array(*chosen), every), lambda r: r.isNotNull()).alias("_rows")
     )
     return rows.select(*by, "label", F.inline("_rows"))
 

@@ -44,30 +44,43 @@ def weighted_mean(value: Column) -> Column:
 
 
 def error_distance(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
-    """Error rate and mean absolute distance over labelled rows. Predictions of -1 count as errors; no rows give NaN."""
+    """Error rate and mean absolute distance over labelled rows. Predictions of -1 count as errors; no rows give NaN.
+
+    A missing prediction is wrong, and has no distance: ``n`` rows make the error rate, ``n_distance`` the distance.
+    """
     scored = df.withColumn("_y", label_or_sentinel(label))
     labelled = F.col("_y") != UNLABELLED
     distance = F.when(labelled, F.abs(F.col("_y") - F.col(pred)))
-    wrong = F.when(labelled, (F.col("_y") != F.col(pred)).cast("int"))
+    wrong = F.when(labelled, (~F.col("_y").eqNullSafe(F.col(pred))).cast("int"))
     return scored.groupBy(*by).agg(
         F.count_if(labelled).alias("n"),
+        F.count(distance).alias("n_distance"),
         F.coalesce(F.avg(wrong), F.lit(float("nan"))).alias("error_rate"),
         F.coalesce(F.avg(distance), F.lit(float("nan"))).alias("distance"),
     )
 
 
 def metrics_by_mode(votes: DataFrame, n_runs: int, by: Sequence[str] = (), id_col: str = "row_id") -> DataFrame:
-    """``(by…, mode, label, n, error_rate, distance)`` for every pooling mode, from one pass over the votes."""
+    """``(by…, mode, label, n, n_distance, error_rate, distance)`` for every pooling mode, from one pass over the votes.
+
+    A missing vote is a vote like any other; where it is the outcome of a mode it counts as ``error_distance`` says.
+    """
     labelled = votes.where(F.col("label").isNotNull() & (F.col("label") != UNLABELLED))
     wide = pooled_wide(labelled, n_runs, [*by, id_col])
     modes = modes_for(n_runs)
-    sums = [F.sum("n_votes").alias("all_n"), F.sum("n_wrong").alias("all_e"), F.sum("sum_distance").alias("all_d")]
+    sums = [
+        F.sum("n_votes").alias("all_n"),
+        F.sum("n_present").alias("all_p"),
+        F.sum("n_wrong").alias("all_e"),
+        F.sum("sum_distance").alias("all_d"),
+    ]
     for name, _ in modes:
         if name != "all":
-            off = F.abs(F.col(name) - F.col("label"))
+            there, off = F.col(f"has_{name}"), F.abs(F.col(name) - F.col("label"))
             sums += [
-                F.count(name).alias(f"{name}_n"),
-                F.count_if(off != 0).alias(f"{name}_e"),
+                F.count_if(there).alias(f"{name}_n"),
+                F.count(off).alias(f"{name}_p"),
+                F.count_if(there & ~F.col(name).eqNullSafe(F.col("label"))).alias(f"{name}_e"),
                 F.sum(off).alias(f"{name}_d"),
             ]
     totals = wide.groupBy(*by).agg(*sums)
@@ -76,8 +89,9 @@ def metrics_by_mode(votes: DataFrame, n_runs: int, by: Sequence[str] = (), id_co
             F.lit(name).alias("mode"),
             F.lit(label).alias("mode_label"),
             F.coalesce(f"{name}_n", F.lit(0)).alias("n"),
+            F.coalesce(f"{name}_p", F.lit(0)).alias("n_distance"),
             F.coalesce(F.try_divide(f"{name}_e", f"{name}_n"), F.lit(float("nan"))).alias("error_rate"),
-            F.coalesce(F.try_divide(f"{name}_d", f"{name}_n"), F.lit(float("nan"))).alias("distance"),
+            F.coalesce(F.try_divide(f"{name}_d", f"{name}_p"), F.lit(float("nan"))).alias("distance"),
         )
         for name, label in modes
     ]

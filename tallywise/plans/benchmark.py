@@ -63,9 +63,10 @@ def run_benchmark(
 
 
 def pooled_cells(votes: DataFrame, n_runs: int, by: Sequence[str] = ()) -> DataFrame:
-    """Cells of label against prediction per pooling mode, from one pass; a missing label counts as -1."""
+    """Cells of label against prediction per pooling mode, from one pass; a missing label or outcome counts as -1."""
     known = votes.withColumn("label", F.coalesce("label", F.lit(-1)))
-    return cells(pooled_long(known, n_runs, [*by, "row_id"]), "label", "pred", [*by, "mode"], weight="weight")
+    pooled = pooled_long(known, n_runs, [*by, "row_id"]).withColumn("pred", F.coalesce("pred", F.lit(-1)))
+    return cells(pooled, "label", "pred", [*by, "mode"], weight="weight")
 
 
 def run_characteristics(model_id: Column, scheme: Column, *known_params: Column) -> dict[str, Column]:

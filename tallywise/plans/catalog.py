@@ -56,6 +56,23 @@ PROMPT_LIMIT = {"max_new_tokens": 1024, "max_context": 1400}
 REASONING_BUDGET = 1
 
 
+def _metric_file(error: str, distance: str) -> str:
+    sizes = '"VRAM param usage": {"values": [1.5]}, "Number of params": {"values": [9.5]}, "Bits/param": {"values": [4]}'
+    scores = f'"Error Rate\\n(single model)": {{"values": [{error}]}}, "Distance\\n(single model)": {{"values": [{distance}]}}'
+    return f"{{{sizes}, {scores}}}"
+
+
+# Files beside the written ones: cut off, with something after the object, with NaN, and three runs of equal keys.
+ODD_METRIC_FILES = (
+    ("damaged", '{"Error Rate'),
+    ("tail", _metric_file("0.9", "0.9") + " and more"),
+    ("twin", _metric_file("0.9", "0.9") * 2),
+    ("odd-0", _metric_file("NaN", "0.9")),
+    ("odd-1", _metric_file("0.5", "NaN")),
+    ("odd-2", _metric_file("0.4", "0.75")),
+)
+
+
 def r6(column: Column | str) -> Column:
     """Doubles are compared at six decimals."""
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
@@ -112,8 +129,9 @@ def pool_run_files(spark: SparkSession, sf: str) -> DataFrame:
     path, keys = scratch_path(spark, "metrics"), ["model", "quant_scheme"]
     entries = durable(_run_metrics(spark, sf), "entries")
     run_files.write_metrics(entries, path, keys)
-    broken = entries.select("model", F.lit("damaged").alias("quant_scheme"), F.lit('{"Error Rate').alias("value"))
-    broken.distinct().write.mode("append").partitionBy(*keys).text(path)
+    extra = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in ODD_METRIC_FILES])))
+    odd = entries.select("model").distinct().select("model", extra.alias("quant_scheme", "value"))
+    odd.write.mode("append").partitionBy(*keys).text(path)
     files = run_files.read_metric_files(spark, path)
     family = F.regexp_extract("model", r"lab/(\w+)-", 1)
     return rounded(run_files.pooled_results(files, family))
@@ -211,6 +229,11 @@ def extract_query(spark: SparkSession, sf: str) -> DataFrame:
     return extracted.select("row_id", "run_idx", F.col("record.mRS").alias("mRS"), "status", "valid")
 
 
+def extract_hostile(spark: SparkSession, sf: str) -> DataFrame:
+    extracted = extract_structured(load(spark, sf, "hostile"))
+    return extracted.select("row_id", "run_idx", F.col("record.mRS").alias("mRS"), "status")
+
+
 def extract_repair(spark: SparkSession, sf: str) -> DataFrame:
     cut = load(spark, sf, "truncated")
     return cut.select("row_id", "run_idx", repair_truncated(F.col("output_text")).alias("repaired"))
@@ -296,6 +319,19 @@ def metrics_by_mode(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.metrics_by_mode(load(spark, sf, "votes"), RUNS))
 
 
+def error_distance_null_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scoring.error_distance(load(spark, sf, "null_votes"), ["run_idx"]))
+
+
+def metrics_null_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scoring.metrics_by_mode(load(spark, sf, "null_votes"), RUNS))
+
+
+def confusion_null_votes(spark: SparkSession, sf: str) -> DataFrame:
+    counted = benchmark.pooled_cells(load(spark, sf, "null_votes"), RUNS)
+    return scoring.confusion_matrix(counted, by=["mode"])
+
+
 def score_generations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(benchmark.score_generations(load(spark, sf, "generations"), RUNS))
 
@@ -509,6 +545,7 @@ QUERIES = {
     "model_metadata": model_metadata,
     "generate_stub": generate_stub,
     "extract_structured": extract_query,
+    "extract_hostile": extract_hostile,
     "extract_repair": extract_repair,
     "extract_list_fields": extract_list_fields,
     "extraction_status": extraction_status,
@@ -525,6 +562,9 @@ QUERIES = {
     "attach_predictions": attach_predictions,
     "error_distance": error_distance,
     "metrics_by_mode": metrics_by_mode,
+    "error_distance_null_votes": error_distance_null_votes,
+    "metrics_null_votes": metrics_null_votes,
+    "confusion_null_votes": confusion_null_votes,
     "score_generations": score_generations,
     "rescore_results": rescore_results,
     "benchmark_run": benchmark_run,

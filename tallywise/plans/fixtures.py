@@ -91,28 +91,64 @@ SHAPES = (
 )
 
 
+def _rendered(d: Dialect, shape_text: str) -> str:
+    """SQL for a shape's text with the prediction in it."""
+    pieces = []
+    for i, line in enumerate(shape_text.split("\\n")):
+        if i:
+            pieces.append(d.newline)
+        for k, part in enumerate(line.split("#")):
+            if k:
+                pieces.append("cast(pred as string)")
+            if part:
+                pieces.append("'" + part.replace("'", "''" if not d.spark else "\\'") + "'")
+    return "concat(" + ", ".join(pieces) + ")"
+
+
 def generations(d: Dialect) -> str:
     key = "cast(row_id as string) || '-' || cast(run_idx as string)"
     shape = f"{d.h(chr(39) + 's-' + chr(39) + ' || ' + key)} % 16"
-
-    def rendered(shape_text: str) -> str:
-        pieces = []
-        for i, line in enumerate(shape_text.split("\\n")):
-            if i:
-                pieces.append(d.newline)
-            for k, part in enumerate(line.split("#")):
-                if k:
-                    pieces.append("cast(pred as string)")
-                if part:
-                    pieces.append("'" + part.replace("'", "''" if not d.spark else "\\'") + "'")
-        return "concat(" + ", ".join(pieces) + ")"
-
-    cases = " ".join(f"WHEN {i} THEN {rendered(s)}" for i, s in enumerate(SHAPES))
+    cases = " ".join(f"WHEN {i} THEN {_rendered(d, s)}" for i, s in enumerate(SHAPES))
     return f"""
     SELECT row_id, run_idx, label, pred, shape, CASE shape {cases} END AS output_text
     FROM (SELECT *, cast({shape} as int) AS shape FROM ({votes(d)}) v) s"""
 
 
+# Hostile answers: text, expected value (None: the prediction) and deciding stage, for predictions 0 to 6.
+HOSTILE_SHAPES = (
+    ("{mRS: 0x" + "0" * 48 + "#}", None, "lenient"),
+    ("{mRS: 0xFFFFFFFFFFFFFFFFFFFFFFF#}", -1, "default"),
+    ('{"mRS": 1#.0e400}', -1, "default"),
+    ('{"mRS":\u00a0#}', None, "field_regex"),
+    ('{"other": {"mRS": true}, "mRS": "true"}', -1, "default"),
+    ('{"mRS": {"a": #, "a": 2}}', -1, "default"),
+    ('{"x": {"a": 1, "a": 2}, "mRS": #}', None, "direct"),
+    ("{'note': 'see: +3, } at: 0x1F', 'mRS': #,}", None, "lenient"),
+    ('{mRS: +#, note: "a, ]"}', None, "lenient"),
+    ('{"mRS": 9, "mRS": #}', None, "direct"),
+    ('{"mRS": "#e0"}', -1, "default"),
+    ('{"mRS": 99999999999999999999#}', -1, "field_regex"),
+    ("{mRS: .#e1}", None, "lenient"),
+)
+
+
+def hostile(d: Dialect) -> str:
+    """Answers that break careless parsing, one shape per vote."""
+    key = "cast(row_id as string) || '-' || cast(run_idx as string)"
+    shape = f"{d.h(chr(39) + 'h-' + chr(39) + ' || ' + key)} % {len(HOSTILE_SHAPES)}"
+    cases = " ".join(f"WHEN {i} THEN {_rendered(d, s[0])}" for i, s in enumerate(HOSTILE_SHAPES))
+    return f"""
+    SELECT row_id, run_idx, pred, shape, CASE shape {cases} END AS output_text
+    FROM (SELECT *, cast({shape} as int) AS shape FROM ({votes(d)}) v WHERE pred >= 0) s"""
+
+
+def null_votes(d: Dialect) -> str:
+    """Votes of which some are missing."""
+    key = "cast(row_id as string) || '-' || cast(run_idx as string)"
+    gone = f"{d.h(chr(39) + 'n-' + chr(39) + ' || ' + key)} % 4 = 0"
+    return f"SELECT row_id, run_idx, label, CASE WHEN {gone} THEN NULL ELSE pred END AS pred FROM ({votes(d)}) v"
+
+
 def _item() -> str:
     parts = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return " || '-' || ".join(f"cast({p} as string)" for p in parts)
@@ -200,9 +236,6 @@ def model_votes(d: Dialect) -> str:
     FROM ({letters(d)}) x {d.each(len(MODELS), "m")} {d.each(RUNS, "run_idx")}"""
 
 
-LINES_PER_FILE = 40
-
-
 def csv_records(d: Dialect) -> str:
     """Conversation turns as CSV records with damage, grouped into files by conversation.
 
@@ -276,7 +309,7 @@ def event_records(d: Dialect) -> str:
 TABLES = {
     f.__name__: f
     for f in (
-        letters, raw_letters, votes, generations, ratings, ratings_gap, rater_pairs, scored_runs, model_ids, model_votes,
+        letters, raw_letters, votes, null_votes, generations, hostile, ratings, ratings_gap, rater_pairs, scored_runs, model_ids, model_votes,
         csv_records, chunk_log, truncated, listings, event_records,
     )
 }

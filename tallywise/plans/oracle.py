@@ -7,7 +7,7 @@ definition where there is one: kappa from the weight matrix, ranks from sorted r
 from __future__ import annotations
 
 from tallywise.plans import catalog
-from tallywise.plans.fixtures import MODELS, RUNS, ctes
+from tallywise.plans.fixtures import HOSTILE_SHAPES, MODELS, RUNS, ctes
 
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -91,7 +91,8 @@ def _pooled_rows(source: str, by: str) -> str:
 
 
 def _scores(source: str, keys: str) -> str:
-    return f"""SELECT {keys}, count(*) AS n, round(avg(CASE WHEN label <> pred THEN 1 ELSE 0 END), 6) AS error_rate,
+    return f"""SELECT {keys}, count(*) AS n, count(pred) AS n_distance,
+        round(avg(CASE WHEN label IS DISTINCT FROM pred THEN 1 ELSE 0 END), 6) AS error_rate,
         round(avg(abs(label - pred)), 6) AS distance FROM ({source}) p WHERE label IS NOT NULL GROUP BY {keys}"""
 
 
@@ -202,7 +203,7 @@ def statements() -> dict[str, str]:
     out["write_read_results"] = f"""{ctes("model_votes")}
     SELECT 'stub' AS backend, 'guided' AS guided, model,
       CASE WHEN lower(model) LIKE '%gguf%' THEN quant_scheme ELSE 'no_quant_scheme' END AS quant_scheme,
-      count(label) AS n, round(avg(CASE WHEN label <> pred THEN 1 WHEN label = pred THEN 0 END), 6) AS error_rate,
+      count(label) AS n, count(label + pred) AS n_distance, round(avg(CASE WHEN label <> pred THEN 1 WHEN label = pred THEN 0 END), 6) AS error_rate,
       round(avg(abs(label - pred)), 6) AS distance FROM model_votes GROUP BY 1, 2, 3, 4"""
     mode_scores = _mode_scores("model_votes", "model, quant_scheme")
     out["metrics_json_roundtrip"] = f"""{ctes("model_votes")}, scored AS ({mode_scores}), sizes AS ({_model_values()})
@@ -221,7 +222,9 @@ def statements() -> dict[str, str]:
     out["pool_run_files"] = f"""{ctes("model_votes")}, scored AS ({mode_scores}), sizes AS ({_model_values()})
     SELECT split_part(substr(model, 5), '-', 1) AS model, round(vram * {twice}, 6) AS vram, round(nparams, 6) AS nparams,
       nbits * {twice} AS nbits, {picks}, 200 * (nbits * {twice}) / 16 AS marker_size
-    FROM scored JOIN sizes USING (model, quant_scheme) GROUP BY model, vram, nparams, nbits"""
+    FROM scored JOIN sizes USING (model, quant_scheme) GROUP BY model, vram, nparams, nbits
+    UNION ALL SELECT DISTINCT split_part(substr(model, 5), '-', 1), 1.5 * {twice}, 9.5, 4.0 * {twice}, 0.5, 0.75,
+      NULL, NULL, NULL, NULL, NULL, NULL, 200 * 4.0 * {twice} / 16 FROM sizes"""
     out["salvage_csv"] = f"""{ctes("csv_records")}, text_lines AS (
       SELECT file_no, conv_id, turn, record, unnest(string_split(record, chr(10))) AS line,
         unnest(range(len(string_split(record, chr(10))))) AS i FROM csv_records
@@ -363,11 +366,18 @@ def statements() -> dict[str, str]:
     out["benchmark_run"] = f"""{ctes("letters")}, v AS (SELECT row_id, label, run_idx, {stub} AS pred
       FROM (SELECT row_id, label, {prompt} AS prompt FROM letters) p, range(5) r(run_idx))
     {_scores(pooled, "mode, mode_label")}"""
-    out["confusion_matrix"] = f"""{ctes("votes")}, pooled AS (
-      {_pooled_rows("(SELECT row_id, run_idx, coalesce(label, -1) AS label, pred FROM votes) v", "row_id")}),
+    for name, table in (("confusion_matrix", "votes"), ("confusion_null_votes", "null_votes")):
+        out[name] = f"""{ctes(table)}, pooled AS (
+      {_pooled_rows(f"(SELECT row_id, run_idx, coalesce(label, -1) AS label, pred FROM {table}) v", "row_id")}),
     grid AS (SELECT DISTINCT mode, y::INTEGER AS y, p::INTEGER AS p FROM pooled, range(-1, 7) a(y), range(-1, 7) b(p))
     SELECT g.mode, y, p, count(pooled.mode) AS n FROM grid g
-    LEFT JOIN pooled ON pooled.mode = g.mode AND label = y AND pred = p GROUP BY g.mode, y, p"""
+    LEFT JOIN pooled ON pooled.mode = g.mode AND label = y AND coalesce(pred, -1) = p GROUP BY g.mode, y, p"""
+    out["error_distance_null_votes"] = f"{ctes('null_votes')} {_scores('SELECT * FROM null_votes', 'run_idx')}"
+    out["metrics_null_votes"] = f"{ctes('null_votes')} {_mode_scores('null_votes')}"
+    value = " ".join(f"WHEN {i} THEN {'pred' if v is None else v}" for i, (_, v, _) in enumerate(HOSTILE_SHAPES))
+    status = " ".join(f"WHEN {i} THEN '{s}'" for i, (_, _, s) in enumerate(HOSTILE_SHAPES))
+    out["extract_hostile"] = f"""{ctes("hostile")}
+    SELECT row_id, run_idx, (CASE shape {value} END)::BIGINT AS "mRS", CASE shape {status} END AS status FROM hostile"""
 
     out["rater_metrics"] = f"""{ctes("ratings")} {COUNTED} {_places("cells", "rater")}
     SELECT rater, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(avg((y = p)::INT), 6) AS exact_acc,

@@ -11,6 +11,7 @@ from tallywise.functions.model_ids import correct_fp8, result_scheme
 from tallywise.operators.indexing import dense_index
 from tallywise.sources.letters import write_csv
 
+_END_MARK = "__end__"
 RUN_COLUMNS = ("backend", "guided", "model", "quant_scheme")
 
 # Metric names and units in metric files, and the cases that get pooled.
@@ -94,10 +95,16 @@ def write_metrics(entries: DataFrame, root: str, keys: Sequence[str], mode: str
 
 
 def read_metric_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, keys…, metrics)``: one row per file; ``metrics`` is null for a damaged file."""
+    """``(path, keys…, metrics)``: one row per file; ``metrics`` is null for a damaged file.
+
+    A file is one JSON object and nothing after it. The parser stops after the first value, so the text is put into an
+    array in front of an end mark: whatever follows the object breaks the array. NaN counts as a number.
+    """
     files = spark.read.option("wholetext", "true").text(root)
-    parsed = F.from_json("value", "map<string,struct<values:array<string>,unit:string>>")
-    readable = F.when(F.json_object_keys("value").isNotNull(), parsed)
+    wrapped = F.concat(F.lit("["), "value", F.lit('\n,{"%s":{"unit":"1"}}]' % _END_MARK))
+    parsed = F.from_json(wrapped, "array<map<string,struct<values:array<string>,unit:string>>>")
+    marked = F.try_element_at(F.get(parsed, F.lit(1)), F.lit(_END_MARK))["unit"] == "1"
+    readable = F.when((F.size(parsed) == 2) & marked, F.get(parsed, F.lit(0)))
     keys = [c for c in files.columns if c != "value"]
     return files.select(F.col("_metadata.file_path").alias("path"), *keys, readable.alias("metrics"))
 
@@ -108,10 +115,10 @@ def damaged_files(files: DataFrame) -> DataFrame:
 
 
 def first_value(metrics: Column, name: str | Column) -> Column:
-    """First element of a metric's values as a number; null if missing or not a number."""
-    return F.get(F.try_element_at(metrics, F.lit(name) if isinstance(name, str) else name)["values"], F.lit(0)).try_cast(
-        "double"
-    )
+    """First element of a metric's values as a number; null if missing, not a number or NaN."""
+    values = F.try_element_at(metrics, F.lit(name) if isinstance(name, str) else name)["values"]
+    value = F.get(values, F.lit(0)).try_cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def flatten_metrics(files: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -126,10 +133,11 @@ def pooled_results(
     """One row per ``(model, vram, nparams, nbits)`` with error and distance of every case.
 
     A case counts where the run has both ``main_x`` and the target. Rows with a missing key vanish. Of several runs with
-    equal keys the larger value is kept.
+    equal keys each column takes the value of the first one, by path, that has it.
     """
     metrics = F.col("metrics")
     base = files.where(metrics.isNotNull()).select(
+        "path",
         group.alias("model"),
         correct_fp8(first_value(metrics, RUN_METRICS["vram"][0]), F.col("path")).alias("vram"),
         first_value(metrics, RUN_METRICS["nparams"][0]).alias("nparams"),
@@ -144,7 +152,9 @@ def pooled_results(
     picked = []
     for case in cases:
         usable = F.col(main_x).isNotNull() & F.col(f"{target}_{case}").isNotNull()
-        picked += [F.max(F.when(usable, F.col(f"{y}_{case}"))).alias(f"{y}_{case}") for y in ("error", "distance")]
+        for column in (f"error_{case}", f"distance_{case}"):
+            there = usable & F.col(column).isNotNull()
+            picked.append(F.min_by(column, F.when(there, F.col("path"))).alias(column))
     any_case = F.exists(F.array(*[F.col(f"{target}_{c}").isNotNull() for c in cases]), lambda x: x)
     rows = base.na.drop("any", subset=keys).where(any_case & F.col(main_x).isNotNull())
     return rows.groupBy(*keys).agg(*picked).withColumn("marker_size", 200 * F.col("nbits") / 16)

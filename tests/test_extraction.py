@@ -211,3 +211,37 @@ def test_long_answers_do_not_exhaust_the_stack(spark):
     assert len(row.record.tags) == n and len(row.record.sizes) == n
     spaces = spark.createDataFrame([("```json" + " " * n + '{"mRS": 4' + "}" * n + " " * n,)], "output_text string")
     assert extract_structured(spaces).first().record.mRS == 4
+
+
+HOSTILE = [
+    ('{"other": {"mRS": true}, "mRS": "true"}', -1, "default"),
+    ("{mRS: 0x" + "0" * 48 + "3}", 3, "lenient"),
+    ("{mRS: 0xFFFFFFFFFFFFFFFFFFFFFFFF}", -1, "default"),
+    ('{"mRS": 1e400}', 1, "field_regex"),
+    ('{"mRS":\u00a03}', 3, "field_regex"),
+    ('{"mRS": {"a": 1, "a": 2}}', -1, "default"),
+    ('{"x": {"a": 1, "a": 2}, "mRS": 3}', 3, "direct"),
+    ("{'note': 'see: +3, } at: 0x1F', 'mRS': 2,}", 2, "lenient"),
+    ('{mRS: +3, note: "a, ]"}', 3, "lenient"),
+]
+
+
+def test_hostile_answers(spark):
+    df = spark.createDataFrame([(i, s[0]) for i, s in enumerate(HOSTILE)], "i int, output_text string")
+    rows = extract_structured(df).orderBy("i").collect()
+    assert [(r.output_text, r.record.mRS, r.status) for r in rows] == HOSTILE
+
+
+def test_strings_keep_their_text_and_types(spark):
+    answers = [
+        "{'name': 'see: +3, }', 'tags': ['0x1F', ', ]']}",
+        '{"first-name": "x", "name": 3, "tags": ["y"]}',
+        "{'name': 'at: 0x1F .5', 'tags': [],}",
+    ]
+    df = spark.createDataFrame(list(enumerate(answers)), "i int, output_text string")
+    rows = extract_structured(df, schema=FIELDS[:2]).orderBy("i").collect()
+    assert [(r.record.name, r.record.tags, r.status) for r in rows] == [
+        ("see: +3, }", ["0x1F", ", ]"], "lenient"),
+        (None, ["y"], "field_regex"),
+        ("at: 0x1F .5", [], "lenient"),
+    ]
