@@ -18,6 +18,10 @@ from tallywise.operators.scratch import durable
 Generator = Callable[[Sequence, int, Mapping], Sequence[Sequence[str | None]]]
 
 
+class Mismatch(ValueError):
+    """A generator gave another number of answers than was asked for; trying again won't help."""
+
+
 @dataclass(frozen=True)
 class Retry:
     """Attempts with exponentially growing pauses for the error types that may pass."""
@@ -64,46 +68,56 @@ def generate(
     threads: int = 1,
     partitions: int | None = None,
 ) -> DataFrame:
-    """``(id…, run_idx, output_text, error)``: ``n_repeats`` stripped answers per prompt, in order.
+    """``(id…, run_idx, output_text, error, seconds)``: ``n_repeats`` stripped answers per prompt, in order.
 
     Tasks call the generator on batches of prompts; ``threads`` calls run at a time in a task, and ``partitions`` bounds
-    the number of tasks, so their product bounds the requests in flight. With ``on_error="null"`` a batch that fails
-    after all retries yields null answers and the error text. The callable is costly: materialise the result once.
+    the number of tasks, so their product bounds the requests in flight. With ``on_error="null"`` the prompts of a batch that
+    fails after all retries are tried one by one, and one that fails alone yields null answers and the error text.
+    ``seconds`` is the wall time of the call, shared among its prompts. The callable is costly: materialise the result once.
     """
     if on_error not in ("raise", "null"):
         raise ValueError("on_error must be 'raise' or 'null'")
     ids, opts = list(id_cols), dict(options or {})
 
-    def answers(prompts: list) -> tuple[Sequence[Sequence[str | None]], str | None]:
+    def asked(prompts: list) -> Sequence[Sequence[str | None]]:
+        result = retry.call(generator, prompts, n_repeats, opts)
+        if len(result) != len(prompts) or any(len(r) != n_repeats for r in result):
+            raise Mismatch(f"the generator must return {n_repeats} answers for each of {len(prompts)} prompts")
+        return result
+
+    def answers(prompts: list) -> list[tuple[Sequence[str | None], str | None, float]]:
+        """Answers, error and seconds of each prompt."""
+        start = time.perf_counter()
         try:
-            result = retry.call(generator, prompts, n_repeats, opts)
+            result = asked(prompts)
+        except Mismatch:
+            raise
         except Exception as failure:
             if on_error == "raise":
                 raise
-            return [[None] * n_repeats for _ in prompts], f"{type(failure).__name__}: {failure}"
-        if len(result) != len(prompts) or any(len(r) != n_repeats for r in result):
-            raise ValueError(f"the generator must return {n_repeats} answers for each of {len(prompts)} prompts")
-        return result, None
+            if len(prompts) > 1:
+                return [one for p in prompts for one in answers([p])]
+            return [([None] * n_repeats, f"{type(failure).__name__}: {failure}", time.perf_counter() - start)]
+        spent = (time.perf_counter() - start) / max(1, len(prompts))
+        return [(texts, None, spent) for texts in result]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max_workers=threads) as pool:
             for frame in frames:
                 pieces = [frame.iloc[i : i + batch_size] for i in range(0, len(frame), batch_size)]
-                for piece, (texts, error) in zip(pieces, pool.map(answers, [p[prompt_col].tolist() for p in pieces])):
+                for piece, found in zip(pieces, pool.map(answers, [p[prompt_col].tolist() for p in pieces])):
                     out = piece[ids].loc[piece.index.repeat(n_repeats)].reset_index(drop=True)
                     out["run_idx"] = list(range(n_repeats)) * len(piece)
-                    if error is None:
-                        out["output_text"] = [(t or "").strip() for row in texts for t in row]
-                    else:
-                        out["output_text"] = None
-                    out["error"] = error
+                    out["output_text"] = [None if error else (t or "").strip() for texts, error, _ in found for t in texts]
+                    out["error"] = [error for _, error, _ in found for _ in range(n_repeats)]
+                    out["seconds"] = [spent for _, _, spent in found for _ in range(n_repeats)]
                     yield out
 
     source = df.select(*ids, prompt_col)
     if partitions is not None:
         source = source.repartition(partitions)
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*ids).schema)
-    return source.mapInPandas(run, f"{keys}, run_idx int, output_text string, error string")
+    return source.mapInPandas(run, f"{keys}, run_idx int, output_text string, error string, seconds double")
 
 
 BACKENDS: dict[str, Generator] = {}
@@ -115,11 +129,11 @@ def register_backend(name: str, generator: Generator) -> None:
 
 def backend(name: str) -> Generator:
     if name not in BACKENDS:
-        raise ValueError(f"Unknown inference backend: {name}")
+        raise ValueError(f"no backend is registered as {name!r}")
     return BACKENDS[name]
 
 
-def generate_table(
+def backend_answers(
     df: DataFrame,
     backend_name: str,
     n_repeats: int,
@@ -128,11 +142,15 @@ def generate_table(
     max_thinking_tokens: int | None = None,
     **settings,
 ) -> DataFrame:
-    """Answers of a registered backend, written once and read back, with the request settings as columns."""
+    """Answers of a registered backend with the request settings as columns, not yet materialised."""
     options = request_options(schema_name, enable_thinking, max_thinking_tokens)
     answers = generate(df, backend(backend_name), n_repeats, options=options, **settings)
-    answers = answers.withColumn("schema_name", F.lit(schema_name)).withColumn("thinking", F.lit(enable_thinking))
-    return durable(answers, "generations")
+    return answers.withColumn("schema_name", F.lit(schema_name)).withColumn("thinking", F.lit(enable_thinking))
+
+
+def generate_table(df: DataFrame, backend_name: str, n_repeats: int, *request, **settings) -> DataFrame:
+    """``backend_answers``, written once and read back."""
+    return durable(backend_answers(df, backend_name, n_repeats, *request, **settings), "generations")
 
 
 def hashed_answers(prompts: Sequence[str], n_repeats: int, options: Mapping) -> list[list[str]]:

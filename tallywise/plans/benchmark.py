@@ -13,9 +13,10 @@ from tallywise.functions.model_ids import bits_per_param, n_params, result_schem
 from tallywise.functions.prompts import ChatTemplate, PromptConfig, build_messages, render_prompt
 from tallywise.operators.agreement import against_expert, rater_cells
 from tallywise.operators.bootstrap import bootstrap_ci, bootstrap_halfwidth
-from tallywise.operators.generate import generate_table
+from tallywise.operators.generate import backend_answers
 from tallywise.operators.pooling import pooled_long, wide_to_votes
 from tallywise.operators.scoring import cells, joint_counts, metrics_by_mode, rater_metrics
+from tallywise.operators.scratch import scratch_path
 from tallywise.operators.significance import (
     comparison_plan,
     error_differences,
@@ -25,6 +26,7 @@ from tallywise.operators.significance import (
     verdicts,
     wilcoxon,
 )
+from tallywise.streaming.resume import run_resumable
 
 
 def predicted_votes(generations: DataFrame, by: Sequence[str] = (), text_col: str = "output_text") -> DataFrame:
@@ -45,21 +47,50 @@ def rescore_results(results: DataFrame, id_col: str = "row_id", field: str = "mR
     return metrics_by_mode(votes.withColumn("pred", F.col("pred").cast("int")), len(runs), id_col=id_col)
 
 
-def run_benchmark(
+def benchmark_answers(
     letters: DataFrame,
     prompts: PromptConfig,
     backend: str,
     n_repeats: int,
+    path: str,
     template: ChatTemplate = ChatTemplate(),
     schema_name: str = "PatientInfoSchema",
+    chunks: int = 1,
+    resume: bool = True,
     **settings,
 ) -> DataFrame:
-    """Letters to scores: prompts, answers (written once), extraction, pooling, metrics."""
-    prompted = render_prompt(build_messages(letters, prompts), template, enable_thinking=prompts.enable_thinking)
-    answers = generate_table(
-        prompted, backend, n_repeats, schema_name, prompts.enable_thinking, id_cols=("row_id", "label"), **settings
+    """Answers to all letters below ``path``, chunk by chunk: only letters without all their answers are asked again."""
+    thinking = prompts.enable_thinking
+    prompted = render_prompt(build_messages(letters, prompts), template, enable_thinking=thinking)
+
+    def ask(part: DataFrame) -> DataFrame:
+        return backend_answers(part, backend, n_repeats, schema_name, thinking, id_cols=("row_id", "label"), **settings)
+
+    identity = ("row_id", "run_idx")
+    return run_resumable(prompted, ask, path, "row_id", identity, rows_per_key=n_repeats, chunks=chunks, resume=resume)
+
+
+def run_benchmark(
+    letters: DataFrame, prompts: PromptConfig, backend: str, n_repeats: int, path: str | None = None, **settings
+) -> DataFrame:
+    """Letters to scores: prompts, answers, extraction, pooling, metrics.
+
+    Below ``path`` stand the answers (a run that stopped goes on with what is missing) and the scores of the last call.
+    ``settings`` go to ``benchmark_answers``, and from there to the generator: ``partitions`` sets how many tasks ask.
+    """
+    path = path or scratch_path(letters.sparkSession, "benchmark")
+    answers = benchmark_answers(letters, prompts, backend, n_repeats, f"{path}/answers", **settings)
+    scores = score_generations(answers, n_repeats)
+    scores.write.mode("overwrite").parquet(f"{path}/scores")
+    return letters.sparkSession.read.parquet(f"{path}/scores")
+
+
+def run_log(answers: DataFrame, run: str, id_col: str = "row_id") -> DataFrame:
+    """What a run's answers cost, as ``run_cost`` reads it: samples and seconds per sample; memory is not known here."""
+    prompts = answers.groupBy(id_col).agg(F.max("seconds").alias("seconds"))
+    return prompts.agg(F.count(F.lit(1)).alias("n_samples"), F.avg("seconds").alias("time_per_sample")).select(
+        F.lit(run).alias("run"), "n_samples", "time_per_sample", F.lit(None).cast("double").alias("memory_gb")
     )
-    return score_generations(answers, n_repeats)
 
 
 def pooled_cells(votes: DataFrame, n_runs: int, by: Sequence[str] = ()) -> DataFrame:

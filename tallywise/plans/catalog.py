@@ -348,6 +348,28 @@ def benchmark_run(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(benchmark.run_benchmark(load(spark, sf, "letters"), PROMPTS, "stub", 5))
 
 
+def _stopped_run(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Letters, and the folder of a run over them that stopped with one chunk done and another half on disk."""
+    letters, path = load(spark, sf, "letters"), scratch_path(spark, "stopped")
+    some = letters.where(F.col("row_id") % 3 == 0)
+    done = benchmark.benchmark_answers(some, PROMPTS, "stub", 5, f"{path}/answers")
+    half = done.where(F.col("run_idx") < 2).withColumn("output_text", F.lit("torn"))
+    half.write.parquet(f"{path}/answers/part-lost-1")
+    return letters, path
+
+
+def benchmark_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    letters, path = _stopped_run(spark, sf)
+    return rounded(benchmark.run_benchmark(letters, PROMPTS, "stub", 5, path, chunks=2))
+
+
+def benchmark_log(spark: SparkSession, sf: str) -> DataFrame:
+    letters, path = _stopped_run(spark, sf)
+    answers = benchmark.benchmark_answers(letters, PROMPTS, "stub", 5, f"{path}/answers", chunks=2)
+    cost = scoring.run_cost(benchmark.run_log(answers, "stub"))
+    return cost.select("run", "n_samples", (F.col("time_per_sample") > 0).alias("timed"))
+
+
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     counted = benchmark.pooled_cells(load(spark, sf, "votes"), RUNS)
     return scoring.confusion_matrix(counted, by=["mode"])
@@ -512,8 +534,9 @@ def resumable_run(spark: SparkSession, sf: str) -> DataFrame:
     def process(part: DataFrame) -> DataFrame:
         return extract_structured(part).select("row_id", "run_idx", "label", F.col("record.mRS").alias("pred"))
 
-    run_resumable(generations.where(F.col("label").isNotNull()), process, path, key="row_id", chunks=2)
-    finished = run_resumable(generations, process, path, key="row_id", chunks=2)
+    key = ("row_id", "run_idx")
+    run_resumable(generations.where(F.col("label").isNotNull()), process, path, key, chunks=2)
+    finished = run_resumable(generations, process, path, key, chunks=2)
     return rounded(scoring.metrics_by_mode(finished, RUNS))
 
 
@@ -568,6 +591,8 @@ QUERIES = {
     "score_generations": score_generations,
     "rescore_results": rescore_results,
     "benchmark_run": benchmark_run,
+    "benchmark_resumed": benchmark_resumed,
+    "benchmark_log": benchmark_log,
     "confusion_matrix": confusion_matrix,
     "rater_metrics": rater_metrics,
     "qwk_gap": qwk_gap,

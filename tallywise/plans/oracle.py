@@ -366,6 +366,8 @@ def statements() -> dict[str, str]:
     out["benchmark_run"] = f"""{ctes("letters")}, v AS (SELECT row_id, label, run_idx, {stub} AS pred
       FROM (SELECT row_id, label, {prompt} AS prompt FROM letters) p, range(5) r(run_idx))
     {_scores(pooled, "mode, mode_label")}"""
+    out["benchmark_resumed"] = out["benchmark_run"]
+    out["benchmark_log"] = f"{ctes('letters')} SELECT 'stub' AS run, count(*) AS n_samples, true AS timed FROM letters"
     for name, table in (("confusion_matrix", "votes"), ("confusion_null_votes", "null_votes")):
         out[name] = f"""{ctes(table)}, pooled AS (
       {_pooled_rows(f"(SELECT row_id, run_idx, coalesce(label, -1) AS label, pred FROM {table}) v", "row_id")}),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +15,19 @@ from tallywise.functions.extraction import extract_structured
 from tallywise.operators.scratch import durable
 
 
-def pending(letters: DataFrame, done: DataFrame, key: str = "input_text", keep_columns: bool = True) -> DataFrame:
-    """Rows of ``letters`` whose key has no row in ``done``. A null key is always pending.
+def pending(letters: DataFrame, done: DataFrame, key: str | Sequence[str] = "input_text") -> DataFrame:
+    """Rows of ``letters`` whose key has no row in ``done``. A row with a null in its key is always pending.
 
     Text keys are compared by digest: the shuffle of the done side then carries one short value per distinct text, and
-    repeated texts collapse map-side before it.
+    repeated texts collapse map-side before it. Null keys stay out of the join, where they would all meet in one task.
     """
-    is_text = dict(letters.dtypes)[key] == "string"
-    digest = (lambda: F.sha2(F.col(key), 256)) if is_text else (lambda: F.col(key))
-    seen = done.select(digest().alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    left = letters.withColumn("_key", digest())
-    return left.join(seen, "_key", "left_anti").drop("_key")
+    keys, types = [key] if isinstance(key, str) else list(key), dict(letters.dtypes)
+    short = {f"_key{i}": F.sha2(F.col(k), 256) if types[k] == "string" else F.col(k) for i, k in enumerate(keys)}
+    known = [F.col(k).isNotNull() for k in keys]
+    whole = reduce(lambda x, y: x & y, known)
+    seen = done.where(whole).select(*[c.alias(n) for n, c in short.items()]).distinct()
+    left = letters.where(whole).withColumns(short).join(seen, list(short), "left_anti").drop(*short)
+    return left.union(letters.where(~whole))
 
 
 def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
@@ -35,32 +39,64 @@ def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def finished_rows(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """Epoch of a run and the rows of its finished chunks; a folder without a mark is never read."""
+    marks = _read_if_present(spark, f"{path}/marks")
+    if marks is None:
+        return 0, None
+    found = [(r["epoch"], r["folder"]) for r in marks.collect()]  # one a chunk
+    epoch = max(e for e, _ in found)
+    return epoch, spark.read.parquet(*[f"{path}/{folder}" for e, folder in sorted(found) if e == epoch])
+
+
+def _complete(done: DataFrame, keys: list[str], identity: list[str], rows_per_key: int) -> DataFrame:
+    """Keys that have all their rows without an error."""
+    fine = done.where(F.col("error").isNull()) if "error" in done.columns else done
+    counted = fine.select(*identity).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") >= rows_per_key).select(*keys)
+
+
 def run_resumable(
     letters: DataFrame,
     process: Callable[[DataFrame], DataFrame],
     path: str,
-    key: str = "input_text",
-    id_col: str = "row_id",
+    key: str | Sequence[str] = "row_id",
+    identity: Sequence[str] | None = None,
+    rows_per_key: int = 1,
     chunks: int = 1,
     resume: bool = True,
 ) -> DataFrame:
-    """Process the pending rows chunk by chunk, appending each finished chunk to ``path``; return the whole table.
+    """Process the pending rows chunk by chunk into ``path`` and return the whole table.
 
-    A restart picks up after the last finished chunk. The pending rows are written once, split by chunk, so that a chunk
-    reads only its own part. Without ``resume`` the first chunk replaces what is there.
+    Every chunk is written to a new folder and counts only once its mark is written after it: what a crash leaves half
+    done is never read, and its rows are pending again. A key is done when ``rows_per_key`` rows of it, told apart by
+    ``identity``, have no error (column ``error``, if there is one); otherwise its row of ``letters`` is processed again,
+    and rows of a finished attempt take the place of earlier ones. Without ``resume`` the run starts a new epoch, and
+    earlier ones count no more. Rows with a null key are processed every time.
     """
     spark = letters.sparkSession
-    done = _read_if_present(spark, path) if resume else None
-    todo = letters if done is None else pending(letters, done, key)
-    if chunks == 1:
-        process(todo).write.mode("overwrite" if done is None else "append").parquet(path)
-        return spark.read.parquet(path)
-    split = todo.withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int"))
-    todo = durable(split, "pending", partition_by=["_chunk"])
+    keys = [key] if isinstance(key, str) else list(key)
+    identity = list(identity or keys)
+    epoch, done = finished_rows(spark, path)
+    if not resume:
+        epoch, done = epoch + 1, None
+    todo = letters if done is None else pending(letters, _complete(done, keys, identity, rows_per_key), keys)
+    if chunks > 1:
+        todo = todo.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int"))
+        todo = durable(todo, "pending", partition_by=["_chunk"])
+    attempt = uuid.uuid4().hex
     for number in range(chunks):
-        part = todo.where(F.col("_chunk") == number).drop("_chunk")
-        process(part).write.mode("append" if number or done is not None else "overwrite").parquet(path)
-    return spark.read.parquet(path)
+        part = todo.where(F.col("_chunk") == number).drop("_chunk") if chunks > 1 else todo
+        folder = f"part-{attempt}-{number}"
+        process(part).write.parquet(f"{path}/{folder}")
+        mark = spark.createDataFrame([(epoch, folder)], "epoch int, folder string").coalesce(1)
+        mark.write.mode("append").parquet(f"{path}/marks")
+    _, done = finished_rows(spark, path)
+    if "error" not in done.columns:
+        return done
+    complete = _complete(done, keys, identity, rows_per_key)
+    fine = done.where(F.col("error").isNull()).join(complete, keys, "left_semi").dropDuplicates(identity)
+    return fine.unionByName(done.join(complete, keys, "left_anti").dropDuplicates(identity))
 
 
 def stream_extract(

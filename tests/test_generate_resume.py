@@ -7,7 +7,7 @@ from tallywise.functions.extraction import extract_structured
 from tallywise.operators import generate as g
 from tallywise.operators.scratch import scratch_path
 from tallywise.plans import benchmark, catalog
-from tallywise.streaming.resume import pending, run_resumable, stream_extract
+from tallywise.streaming.resume import finished_rows, pending, run_resumable, stream_extract
 
 
 @pytest.fixture
@@ -73,7 +73,7 @@ def test_options_and_backends(prompts):
     assert g.request_options() == {}
     options = g.request_options("PatientInfoSchema", enable_thinking=False, max_thinking_tokens=7)
     assert options["enable_thinking"] is False and options["max_thinking_tokens"] == 7 and '"mRS"' in options["json_schema"]
-    with pytest.raises(ValueError, match="Unknown inference backend"):
+    with pytest.raises(ValueError, match="no backend is registered as 'nope'"):
         g.backend("nope")
     with pytest.raises(ValueError, match="not found in registry"):
         g.request_options("nope")
@@ -129,11 +129,59 @@ def test_a_crash_keeps_finished_chunks(spark):
 
     with pytest.raises(RuntimeError):
         run_resumable(letters, process, path, chunks=4)
-    kept = spark.read.parquet(path).count()
-    assert 0 < kept < 40
+    _, kept = finished_rows(spark, path)
+    assert 0 < kept.count() < 40
+    letters.limit(7).write.parquet(f"{path}/part-lost-9")
     calls.extend([1, 1, 1])
     assert run_resumable(letters, process, path, chunks=4).select("row_id").distinct().count() == 40
-    assert spark.read.parquet(path).count() == 40
+    assert finished_rows(spark, path)[1].count() == 40
+
+
+def test_half_a_key_and_errors_stay_pending(spark):
+    path, asked = scratch_path(spark, "t"), []
+    letters = spark.range(6).select(F.col("id").alias("row_id"))
+
+    def process(part):
+        asked.append(sorted(r.row_id for r in part.collect()))
+        runs = part.select("row_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("run_idx"))
+        lost = (F.col("row_id") == 2) & (F.col("run_idx") == 1) & F.lit(len(asked) == 1)
+        return runs.withColumn("error", F.when(lost, "down")).withColumn("attempt", F.lit(len(asked)))
+
+    again = dict(identity=("row_id", "run_idx"), rows_per_key=2)
+    first = run_resumable(letters.where("row_id < 4"), process, path, **again)
+    assert (first.count(), first.where("error is not null").count()) == (8, 1)
+    last = run_resumable(letters, process, path, **again)
+    assert asked == [[0, 1, 2, 3], [2, 4, 5]]
+    assert sorted((r.row_id, r.run_idx) for r in last.where("error is null").collect()) == [(i, k) for i in range(6) for k in (0, 1)]
+    assert last.count() == 12
+
+
+def test_one_bad_prompt_spoils_no_other(spark):
+    def picky(prompts, n, options):
+        if any(p.endswith("3") for p in prompts):
+            raise ConnectionError("no")
+        return [[p] * n for p in prompts]
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(8)], "row_id int, prompt string").coalesce(1)
+    quick = g.Retry(attempts=1)
+    rows = g.generate(prompts, picky, 2, retry=quick, on_error="null").collect()
+    assert {r.row_id for r in rows if r.error} == {3} and all(r.seconds >= 0 for r in rows)
+    assert sorted(r.output_text for r in rows if not r.error) == sorted(f"p{i}" for i in range(8) for _ in (0, 1) if i != 3)
+
+
+def test_stopped_benchmark_goes_on(spark):
+    path, calls = scratch_path(spark, "t"), spark.sparkContext.accumulator(0)
+    letters = spark.createDataFrame([(i, f"text {i}", i % 7) for i in range(20)], "row_id int, input_text string, label int")
+
+    def counted(prompts, n, options):
+        calls.add(len(prompts))
+        return [['{"mRS": 1}'] * n for _ in prompts]
+
+    g.register_backend("counted", counted)
+    benchmark.run_benchmark(letters.where("row_id < 12"), catalog.PROMPTS, "counted", 3, path)
+    scores = benchmark.run_benchmark(letters, catalog.PROMPTS, "counted", 3, path, chunks=2, partitions=2)
+    assert calls.value == 20 and {r.n for r in scores.collect()} == {20, 60}
+    assert spark.read.parquet(f"{path}/scores").count() == 3
 
 
 def test_stream_equals_batch_and_continues(spark):
