@@ -16,7 +16,7 @@ from tallywise.plans import benchmark
 from tallywise.plans.fixtures import MODELS, RUNS, load
 from tallywise.sources import letters as letter_files
 from tallywise.sources import runs as run_files
-from tallywise.sources.salvage import salvage_report
+from tallywise.sources.salvage import salvage_report, write_salvaged
 from tallywise.streaming.resume import pending, run_resumable, stream_extract
 
 RATERS = ["students", "residents", "model"]
@@ -137,7 +137,8 @@ def pool_run_files(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(run_files.pooled_results(files, family))
 
 
-def salvage_csv(spark: SparkSession, sf: str) -> DataFrame:
+def _damaged_csv(spark: SparkSession, sf: str) -> str:
+    """Folders with one damaged file each; a task gives its files equal names."""
     path = scratch_path(spark, "damaged-csv")
     records = load(spark, sf, "csv_records")
     head = records.select("file_no").distinct().select(
@@ -145,8 +146,22 @@ def salvage_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
     lines = records.unionByName(head).repartition("file_no").sortWithinPartitions("file_no", "conv_id", "turn")
     lines.select("file_no", F.col("record").alias("value")).write.partitionBy("file_no").text(path)
-    number = F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint")
-    return salvage_report(spark, path).select(number.alias("file_no"), "rows_kept", "lines_removed", "aborted")
+    return path
+
+
+def _file_number(column: str) -> Column:
+    return F.regexp_extract(column, r"file_no=(\d+)", 1).cast("bigint").alias("file_no")
+
+
+def salvage_csv(spark: SparkSession, sf: str) -> DataFrame:
+    report = salvage_report(spark, _damaged_csv(spark, sf))
+    return report.select(_file_number("file"), "rows_kept", "lines_removed", "aborted")
+
+
+def salvaged_lines(spark: SparkSession, sf: str) -> DataFrame:
+    target = scratch_path(spark, "salvaged")
+    write_salvaged(spark, _damaged_csv(spark, sf), target)
+    return spark.read.text(target).select(_file_number("name"), F.col("value").alias("line"))
 
 
 # Preparation
@@ -557,6 +572,7 @@ QUERIES = {
     "metrics_json_roundtrip": metrics_json_roundtrip,
     "pool_run_files": pool_run_files,
     "salvage_csv": salvage_csv,
+    "salvaged_lines": salvaged_lines,
     "prepare_letters": prepare_letters,
     "drop_incomplete": drop_incomplete,
     "balanced_sample": balanced_sample,

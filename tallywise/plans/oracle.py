@@ -225,7 +225,7 @@ def statements() -> dict[str, str]:
     FROM scored JOIN sizes USING (model, quant_scheme) GROUP BY model, vram, nparams, nbits
     UNION ALL SELECT DISTINCT split_part(substr(model, 5), '-', 1), 1.5 * {twice}, 9.5, 4.0 * {twice}, 0.5, 0.75,
       NULL, NULL, NULL, NULL, NULL, NULL, 200 * 4.0 * {twice} / 16 FROM sizes"""
-    out["salvage_csv"] = f"""{ctes("csv_records")}, text_lines AS (
+    states = f"""{ctes("csv_records")}, text_lines AS (
       SELECT file_no, conv_id, turn, record, unnest(string_split(record, chr(10))) AS line,
         unnest(range(len(string_split(record, chr(10))))) AS i FROM csv_records
       UNION ALL SELECT DISTINCT file_no, -1, 0, 'conv_id,turn,role,text', 'conv_id,turn,role,text', 0 FROM csv_records),
@@ -235,10 +235,12 @@ def statements() -> dict[str, str]:
       (sum(quotes) OVER (PARTITION BY file_no ORDER BY no) - quotes) % 2 = 1 AS open_before FROM numbered),
     cuts AS (SELECT file_no, max(no) AS cut FROM states s WHERE NOT open_after AND no < coalesce(
         (SELECT min(no) FROM states b WHERE b.file_no = s.file_no AND b.record LIKE '%,surplus' AND b.i = 0
-           AND NOT b.open_before), 1e9) GROUP BY file_no)
+           AND NOT b.open_before), 1e9) GROUP BY file_no)"""
+    out["salvage_csv"] = f"""{states}
     SELECT file_no, count(*) FILTER (no <= cut AND NOT open_before AND line <> '') - 1 AS rows_kept,
       count(*) FILTER (no > cut) AS lines_removed, false AS aborted
     FROM states JOIN cuts USING (file_no) GROUP BY file_no"""
+    out["salvaged_lines"] = f"{states} SELECT file_no, line FROM states JOIN cuts USING (file_no) WHERE no <= cut"
 
     out["prepare_letters"] = f"""{ctes("letters")}
     SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS document_id,

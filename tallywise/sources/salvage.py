@@ -8,6 +8,8 @@ pass through one task; the blocks of a file are few.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,20 +100,32 @@ def _records(judged: DataFrame) -> DataFrame:
     )
 
 
+def _per_block(judged: DataFrame, per_file: DataFrame) -> DataFrame:
+    """``per_file`` repeated for every block of the file: rows then meet it by file and block, not all rows of a large file
+    in one task."""
+    return judged.select("file", F.col("place.block").alias("block")).distinct().join(per_file, "file")
+
+
+def _with_file(judged: DataFrame, rows: DataFrame, block: Column, per_file: DataFrame, how: str = "inner") -> DataFrame:
+    blocks = _per_block(judged, per_file)
+    return rows.withColumn("block", block).join(blocks, ["file", "block"], how).drop("block")
+
+
 def _cut(judged: DataFrame) -> DataFrame:
     """``(file, cut)``: the place of the last kept line, null where not even the header is clean."""
     records = _records(judged).where(~F.col("blank"))
     header = records.groupBy("file").agg(F.min_by("fields", "record").alias("width"))
-    surplus = records.join(header, "file").where(F.col("fields") > F.col("width"))
+    surplus = _with_file(judged, records, F.col("record.block"), header).where(F.col("fields") > F.col("width"))
     bad = surplus.groupBy("file").agg(F.min("record").alias("bad"))
     clean = ~F.col("after") & (F.col("bad").isNull() | (F.col("place") < F.col("bad")))
-    return judged.join(bad, "file", "left").groupBy("file").agg(F.max(F.when(clean, F.col("place"))).alias("cut"))
+    placed = _with_file(judged, judged, F.col("place.block"), bad, "left")
+    return placed.groupBy("file").agg(F.max(F.when(clean, F.col("place"))).alias("cut"))
 
 
 def salvage_report(spark: SparkSession, path: str) -> DataFrame:
     """``(file, rows_kept, lines_removed, aborted)``; aborted files have no clean header and are left as they are."""
     judged = _judged_lines(read_lines(spark, path), with_text=False)
-    placed = judged.join(_cut(judged), "file")
+    placed = _with_file(judged, judged, F.col("place.block"), _cut(judged))
     kept = F.coalesce(F.col("place") <= F.col("cut"), F.lit(False))
     starts = kept & ~F.col("before") & ~F.col("blank")
     return placed.groupBy("file").agg(
@@ -124,12 +138,19 @@ def salvage_report(spark: SparkSession, path: str) -> DataFrame:
 def salvaged_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, place, line)`` of every kept line; sorted by these columns they are the clean files."""
     judged = _judged_lines(read_lines(spark, path), with_text=True)
-    placed = judged.join(_cut(judged), "file")
+    placed = _with_file(judged, judged, F.col("place.block"), _cut(judged))
     return placed.where(F.col("cut").isNull() | (F.col("place") <= F.col("cut"))).select("file", "place", "line")
 
 
 def write_salvaged(spark: SparkSession, path: str, target: str) -> None:
-    """Clean copies below ``target``, one folder per file; sorted part files of a folder follow one another."""
-    kept = salvaged_lines(spark, path).withColumn("name", F.element_at(F.split("file", "/"), -1))
-    ordered = kept.repartitionByRange("file", "place").sortWithinPartitions("file", "place")
-    ordered.select("name", F.col("line").alias("value")).write.partitionBy("name").text(target)
+    """Clean copies below ``target``, one folder per file, named by its place below ``path``.
+
+    Sorted part files of a folder follow one another.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().toString().rstrip("/")
+    root = re.sub("^file:/+", "file:/", root)
+    file = F.regexp_replace("file", "^file:/+", "file:/")
+    place = F.when(file.startswith(root + "/"), F.substr(file, F.lit(len(root) + 2))).otherwise(file)
+    ordered = salvaged_lines(spark, path).repartitionByRange("file", "place").sortWithinPartitions("file", "place")
+    ordered.select(place.alias("name"), F.col("line").alias("value")).write.partitionBy("name").text(target)
