@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.operators.prepare import broad_class
-from tallywise.operators.scoring import cells, class_scores, joint_counts, rater_metrics
+from tallywise.operators.scoring import cells, class_scores, rater_metrics
 
 
 def against_expert(
@@ -21,16 +21,19 @@ def against_expert(
     pairs = F.array(
         *[F.struct(F.lit(r).alias("rater"), F.col(expert).alias("y"), F.col(r).alias("p")) for r in raters]
     )
-    if complete_only:
+    if complete_only:  # no filter: the optimizer's reasoning about many not-null columns would take longer than the query
         missing = F.greatest(*[F.col(c).isNull() for c in (expert, *raters)])
         pairs = F.when(~missing, pairs)
     return df.select(*keep, F.inline(pairs))
 
 
 def rater_cells(df: DataFrame, expert: str, raters: Sequence[str]) -> DataFrame:
-    """Cells of each rater against the expert, from one counting pass over the data."""
-    counted = joint_counts(df, [expert, *raters])
-    return cells(against_expert(counted, expert, raters, ["n"]), "y", "p", ["rater"], weight="n")
+    """Cells of each rater against the expert, from one pass over the data.
+
+    Rows are laid out by rater first and counted map-side then: whatever the number of raters, a task passes on at most
+    raters x labels x labels rows.
+    """
+    return cells(against_expert(df, expert, raters), "y", "p", ["rater"])
 
 
 def pair_cells(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -65,10 +68,9 @@ def self_cells(
 
 def broad_class_cells(df: DataFrame, expert: str, raters: Sequence[str]) -> DataFrame:
     """Cells over the broad classes, for rows where the expert and every rater have a score."""
-    counted = joint_counts(df, [expert, *raters])
-    pairs = against_expert(counted, expert, raters, ["n"], complete_only=True)
-    mapped = pairs.select("rater", "n", broad_class(F.col("y")).alias("y"), broad_class(F.col("p")).alias("p"))
-    return cells(mapped, "y", "p", ["rater"], weight="n")
+    pairs = against_expert(df, expert, raters, complete_only=True)
+    mapped = pairs.select("rater", broad_class(F.col("y")).alias("y"), broad_class(F.col("p")).alias("p"))
+    return cells(mapped, "y", "p", ["rater"])
 
 
 def broad_class_metrics(df: DataFrame, expert: str, raters: Sequence[str]) -> DataFrame:

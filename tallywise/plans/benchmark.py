@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from tallywise.functions.extraction import extract_structured
 from tallywise.functions.model_ids import bits_per_param, n_params, result_scheme, vram_gb
 from tallywise.functions.prompts import ChatTemplate, PromptConfig, build_messages, render_prompt
-from tallywise.operators.agreement import against_expert, rater_cells
+from tallywise.operators.agreement import rater_cells
 from tallywise.operators.bootstrap import bootstrap_ci, bootstrap_halfwidth
 from tallywise.operators.generate import backend_answers
 from tallywise.operators.pooling import pooled_long, wide_to_votes
-from tallywise.operators.scoring import cells, joint_counts, metrics_by_mode, rater_metrics
+from tallywise.operators.scoring import cells, metrics_by_mode, rater_metrics
 from tallywise.operators.scratch import scratch_path
 from tallywise.operators.significance import (
     comparison_plan,
-    error_differences,
     icc_consistency,
     icc_interval,
     paired_t,
@@ -143,10 +142,22 @@ def rater_report(df: DataFrame, expert: str, raters: Sequence[str], replicates:
 def significance_report(df: DataFrame, expert: str, model: str, competitors: Sequence[str]) -> DataFrame:
     """Signed rank and paired t tests of the planned comparisons with verdicts, from one counting pass."""
     comparisons: Mapping[str, tuple[str, str]] = comparison_plan(df.columns, model, competitors)
-    counted = joint_counts(df, [expert, model, *competitors])
-    differences = error_differences(counted, expert, comparisons, weight="n")
+    rows = []
+    for name, (a, b) in comparisons.items():
+        d = F.abs(F.col(a) - F.col(expert)) - F.abs(F.col(b) - F.col(expert))
+        rows.append(("d", name, d, F.lit(0)))
+    rows += [("cell", rater, F.col(expert), F.col(rater)) for rater in (model, *competitors)]
+    rows = [
+        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), u.cast("int").alias("u"), v.cast("int").alias("v"))
+        for kind, name, u, v in rows
+    ]
+    # one table of counts for both: per task at most as many rows as comparisons and raters have different values
+    counted = df.select(F.inline(F.array(*rows))).where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    counted = counted.groupBy("kind", "name", "u", "v").agg(F.count("*").alias("n"))
+    differences = counted.where(F.col("kind") == "d").select(F.col("name").alias("comparison"), F.col("u").alias("d"), "n")
+    by_rater = counted.where(F.col("kind") == "cell").select(
+        F.col("name").alias("rater"), F.col("u").alias("y"), F.col("v").alias("p"), "n"
+    )
     ranks = wilcoxon(differences).select("comparison", "p_value", "rbc")
     tests = ranks.join(paired_t(differences).select("comparison", "bf10"), "comparison")
-    long = against_expert(counted, expert, [model, *competitors], ["n"])
-    errors = rater_metrics(cells(long, "y", "p", ["rater"], weight="n")).select("rater", "mae")
-    return verdicts(tests, errors, comparisons)
+    return verdicts(tests, rater_metrics(by_rater).select("rater", "mae"), comparisons)

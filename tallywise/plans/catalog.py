@@ -468,8 +468,7 @@ def icc3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _differences(spark: SparkSession, sf: str) -> DataFrame:
-    counted = scoring.joint_counts(load(spark, sf, "ratings"), ["expert", *RATERS])
-    return significance.error_differences(counted, "expert", COMPARISONS, weight="n")
+    return significance.error_differences(load(spark, sf, "ratings"), "expert", COMPARISONS)
 
 
 def wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
@@ -489,8 +488,7 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spearman_errors(spark: SparkSession, sf: str) -> DataFrame:
-    counted = scoring.joint_counts(load(spark, sf, "ratings"), ["expert", *RATERS])
-    return rounded(significance.spearman_errors(counted, "expert", RATERS, weight="n"))
+    return rounded(significance.spearman_errors(load(spark, sf, "ratings"), "expert", RATERS))
 
 
 def inter_rater(spark: SparkSession, sf: str) -> DataFrame:
