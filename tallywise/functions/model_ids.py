@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The quantisation keywords looked for in a model identifier.
+# The quantisation keywords looked for in a model identifier. The patterns for sizes and schemes below are
+# fixed too: they are the grammar of such identifiers.
 QUANT_METHODS = ("awq", "gptq", "gguf", "fp8", "eetq", "aqlm", "hqq")
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.functions.text import strip, word_count, words
+from tallywise.functions.text import NO_SPACE, SPACE, strip, word_count, words
 
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
 
@@ -100,16 +100,22 @@ def fit_prompt(
     """Cut prompts to the token budget. Adds ``n_tokens``, ``truncated`` and ``fitted``.
 
     ``keep`` names the side that survives; a prompt within the budget is left untouched. ``tokenize`` turns text into
-    an array of tokens, white space separated words by default.
+    an array of tokens, white space separated words by default. Words keep the white space between them; tokens of another
+    function are put together with blanks.
     """
     if keep not in ("start", "end"):
         raise ValueError("keep must be 'start' or 'end'")
     limit = prompt_token_limit(max_new_tokens, max_context)
-    tokens = F.col("_tokens")
-    kept = F.slice(tokens, 1, limit) if keep == "start" else F.slice(tokens, -limit, limit)
+    tokens, by_words = F.col("_tokens"), tokenize is words
+    # a word and the white space before it make one part, so joined parts are the text itself
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{SPACE}*{NO_SPACE}+"), F.lit(0)) if by_words else tokens
+    kept = F.slice(parts, 1, limit) if keep == "start" else F.slice(parts, -limit, limit)
+    joined = F.array_join(kept, "" if by_words else " ")
+    if by_words and keep == "end":
+        joined = F.regexp_replace(joined, f"^{SPACE}+", "")
     out = df.withColumn("_tokens", tokenize(F.col(text_col)))
     out = out.withColumn("n_tokens", F.size(tokens).cast("bigint")).withColumn("truncated", F.size(tokens) > limit)
-    fitted = F.when(F.col("truncated"), F.array_join(kept, " ")).otherwise(F.col(text_col))
+    fitted = F.when(F.col("truncated"), joined).otherwise(F.col(text_col))
     return out.withColumn("fitted", fitted).drop("_tokens")
 
 

@@ -87,7 +87,7 @@ SCHEMAS: dict[str, tuple[Field, ...]] = {
 def get_schema(name: str) -> tuple[Field, ...]:
     """Look a registered schema up by name."""
     if name not in SCHEMAS:
-        raise ValueError(f"Schema '{name}' not found in registry. Available schemas are: {sorted(SCHEMAS)}")
+        raise ValueError(f"no schema is registered as {name!r}, only {', '.join(sorted(SCHEMAS))}")
     return SCHEMAS[name]
 
 

@@ -55,7 +55,7 @@ def _winner(count: str) -> Column:
 def pool(votes: DataFrame, mode: str, k: int | None = None, by: Sequence[str] = ("row_id",)) -> DataFrame:
     """Pool ``(by…, run_idx, label, pred)`` rows. ``k`` restricts to the first k runs where that many exist."""
     if mode not in ("single", "concatenation", "majority"):
-        raise ValueError("Invalid pooling mode (single, concatenation, majority)")
+        raise ValueError(f"votes can't be pooled by {mode!r}: choose single, concatenation or majority")
     if mode == "single":
         return votes.where(F.col("run_idx") == 0).select(*by, "label", "pred")
     if k is not None and k > 0:

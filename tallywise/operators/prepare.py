@@ -17,7 +17,7 @@ _SAMPLE_GROUPS = 1024
 def require_columns(df: DataFrame, columns: Sequence[str] = LETTER_COLUMNS) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"Missing expected columns: {', '.join(repr(c) for c in missing)}")
+        raise KeyError(f"the table lacks {', '.join(missing)}")
     return df
 
 

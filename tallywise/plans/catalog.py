@@ -30,6 +30,7 @@ RATER_PAIRS = {
     "residents": ("residents1", "residents2"),
     "experts": ("experts1", "experts2"),
 }
+# Column names of letter tables and the words that mark a missing label.
 RECODED = {"PatID": "patient_id", "lettre": "input_text", "mrs_label": "label"}
 NO_LABEL = ["No FU", "No FU yet"]
 PROMPTS = PromptConfig(
@@ -522,6 +523,19 @@ def rater_report(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark.rater_report(load(spark, sf, "ratings"), "expert", RATERS)
 
 
+def bootstrap_cells_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """What the seeded draws don't touch: estimate, size and the number of usable replicates."""
+    return bootstrap_cells(spark, sf).select("rater", "metric", "n", r6("estimate").alias("estimate"), "used")
+
+
+def bootstrap_inter_rater_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return bootstrap_inter_rater(spark, sf).select("category", "metric", "n", r6("estimate").alias("estimate"), "used")
+
+
+def rater_report_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rater_report(spark, sf).select("rater", "n", "qwk", "mae", "exact_acc", "tol1_acc", "icc"))
+
+
 def lme_suffstats(spark: SparkSession, sf: str) -> DataFrame:
     runs = load(spark, sf, "scored_runs")
     return rounded(mixed.group_size_sums(runs, "target", mixed.size_and_bits_design(), "model"))
@@ -633,6 +647,9 @@ QUERIES = {
     "bootstrap_halfwidth": bootstrap_halfwidth,
     "bootstrap_inter_rater": bootstrap_inter_rater,
     "rater_report": rater_report,
+    "bootstrap_cells_estimates": bootstrap_cells_estimates,
+    "bootstrap_inter_rater_estimates": bootstrap_inter_rater_estimates,
+    "rater_report_estimates": rater_report_estimates,
     "lme_suffstats": lme_suffstats,
     "lme_fit": lme_fit,
     "resume_pending": resume_pending,

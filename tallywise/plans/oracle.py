@@ -270,7 +270,9 @@ def statements() -> dict[str, str]:
     out["prompt_budget"] = f"""{ctes("letters")}, tokens AS (
       SELECT row_id, input_text, regexp_extract_all(input_text, '\\S+') AS w FROM letters)
     SELECT row_id, len(w) AS n_tokens, len(w) > {limit} AS truncated,
-      md5(CASE WHEN len(w) > {limit} THEN array_to_string(w[-{limit}:], ' ') ELSE input_text END) AS digest FROM tokens"""
+      md5(CASE WHEN len(w) > {limit} THEN
+        regexp_replace(array_to_string(regexp_extract_all(input_text, '\\s*\\S+')[-{limit}:], ''), '^\\s+', '')
+        ELSE input_text END) AS digest FROM tokens"""
     out["reasoning_audit"] = f"""{ctes("generations")}, split AS (
       SELECT row_id, run_idx, CASE WHEN instr(output_text, '</think>') > 0
           THEN trim(regexp_replace(string_split(output_text, '</think>')[1], '^\\s*<think>', ''), {SPACE}) END AS reasoning,
@@ -485,4 +487,13 @@ def statements() -> dict[str, str]:
 
     out["resume_pending"] = f"""{ctes("letters")} SELECT row_id, patient_id, md5(input_text) AS digest FROM letters
     WHERE input_text NOT IN (SELECT input_text FROM letters WHERE {label_mask})"""
+    four = ("qwk", "mae", "exact_acc", "tol1_acc")
+    for name, source, by, metrics in (
+        ("bootstrap_cells_estimates", "rater_metrics", "rater", four),
+        ("bootstrap_inter_rater_estimates", "inter_rater", "category", four[:3]),
+    ):
+        out[name] = f"""SELECT {by}, unnest([{", ".join(f"'{m}'" for m in metrics)}]) AS metric, n,
+          unnest([{", ".join(metrics)}]) AS estimate, 1000 AS used FROM ({out[source]}) r"""
+    out["rater_report_estimates"] = f"""SELECT rater, r.n, {", ".join(four)}, icc
+      FROM ({out["rater_metrics"]}) r JOIN ({out["icc3"]}) i USING (rater)"""
     return out

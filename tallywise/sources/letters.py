@@ -45,7 +45,10 @@ def key_from_environment(variable: str) -> str:
 
 
 def encrypt(column: Column, key: str) -> Column:
-    """Authenticated encryption of a value as text; ``key`` is hexadecimal, 32, 48 or 64 digits."""
+    """Authenticated encryption of a value as text; ``key`` is hexadecimal, 32, 48 or 64 digits.
+
+    The key is a literal of the plan. ``hide_keys`` keeps it out of printed plans and event logs.
+    """
     return F.base64(F.aes_encrypt(F.encode(column.cast("string"), "utf-8"), F.unhex(F.lit(key)), F.lit("GCM")))
 
 
@@ -54,12 +57,21 @@ def decrypt(column: Column, key: str) -> Column:
     return F.decode(F.try_aes_decrypt(F.unbase64(column), F.unhex(F.lit(key)), F.lit("GCM")), "utf-8")
 
 
+def hide_keys(spark: SparkSession) -> None:
+    """Have Spark redact hexadecimal keys (32 digits or more) in plan texts, and so in event logs, of this session."""
+    mine, before = "[0-9a-fA-F]{32,}", spark.conf.get("spark.sql.redaction.string.regex", "")
+    if mine not in before:
+        spark.conf.set("spark.sql.redaction.string.regex", f"{before}|{mine}" if before else mine)
+
+
 def write_encrypted(df: DataFrame, path: str, key: str, columns: Sequence[str], mode: str = "error") -> None:
     """Parquet in which the named columns are encrypted; the others stay open to filters."""
+    hide_keys(df.sparkSession)
     df.withColumns({c: encrypt(F.col(c), key) for c in columns}).write.mode(mode).parquet(path)
 
 
 def read_encrypted(spark: SparkSession, path: str, key: str, columns: dict[str, str]) -> DataFrame:
     """Read what ``write_encrypted`` wrote; ``columns`` maps the encrypted columns to their types."""
+    hide_keys(spark)
     df = spark.read.parquet(path)
     return df.withColumns({c: decrypt(F.col(c), key).try_cast(t) for c, t in columns.items()})

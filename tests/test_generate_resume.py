@@ -75,7 +75,7 @@ def test_options_and_backends(prompts):
     assert options["enable_thinking"] is False and options["max_thinking_tokens"] == 7 and '"mRS"' in options["json_schema"]
     with pytest.raises(ValueError, match="no backend is registered as 'nope'"):
         g.backend("nope")
-    with pytest.raises(ValueError, match="not found in registry"):
+    with pytest.raises(ValueError, match="no schema is registered as 'nope'"):
         g.request_options("nope")
     g.register_backend("options", lambda p, n, o: [[str(sorted(o))] * n for _ in p])
     row = g.generate_table(prompts, "options", 1, "PatientInfoSchema", enable_thinking=False).first()

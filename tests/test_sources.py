@@ -108,6 +108,8 @@ def test_encrypted_columns(spark, monkeypatch):
     letters.write_encrypted(df, path, key, ["input_text", "label"])
     columns = {"input_text": "string", "label": "int"}
     assert sorted(map(tuple, letters.read_encrypted(spark, path, key, columns).collect())) == [(1, "séance", 3), (2, None, None)]
+    plain = letters.read_encrypted(spark, path, "0123456789abcdef" * 2, columns)
+    assert "0123456789abcdef" not in plain._jdf.queryExecution().toString().lower()
     assert letters.read_encrypted(spark, path, wrong, columns).where("input_text is not null").count() == 0
     assert spark.read.parquet(path).where("input_text like '%ance%'").count() == 0
     monkeypatch.setenv("LETTER_KEY", key)
