@@ -20,6 +20,8 @@ _BLOCK = 1 << 21  # bytes of text that a task works on at a time (or one longer
 _BUCKET = 24 << 20  # bytes of text for each bucket of seeds
 _FLUSH = 1 << 21  # runs that a task packs at a time
 _EDGES = 20000  # open runs for each bucket of the suffix sort, on average
+_CROWD = 50000  # open runs of one seed that one task sorts
+_CROWDS = 1_000_000  # seeds with more than that, at most
 _SEED_FIELDS = (("h_high", "<u4"), ("h_low", "<u2"), ("c_high", "<u4"), ("c_low", "<u2"), ("at_low", "<u2"), ("at_high", "<u2"))
 
 
@@ -364,7 +366,7 @@ def _numbers(blobs: list[bytes] | None) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, seed: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, seed: int = 16, crowd: int = _CROWD
 ) -> DataFrame:
     """``docs`` with ``kept`` (binary, the bytes that stay) and ``removed`` (array of start and end of the cut runs).
 
@@ -374,7 +376,8 @@ def remove_repeats(
     Every text is cut into runs of windows that share a seed. Runs of equal bytes are settled by their hashes, a few bytes
     a run, packed by bucket of the seed. Only runs that share a seed but not all bytes (where repeats begin and end) move
     with their bytes: the suffixes at their seeds and the reversed bytes before them are sorted deep-shallow, and shared
-    lengths tell which windows are equal. Texts are shuffled only for documents that may lose something, once for each of
+    lengths tell which windows are equal. Seeds with more than ``crowd`` open runs are settled window by window instead, so
+    that no task holds all surroundings of one string. Texts are shuffled only for documents that may lose something, once for each of
     the two steps.
 
     Ids are integers; rows with equal ids are one document as far as order goes, each with its own text. A null id orders
@@ -393,7 +396,7 @@ def remove_repeats(
     answered = seeds.groupBy("bucket").applyInArrow(_judge(buckets), answers)
     judged = answered.groupBy("home").applyInArrow(_merge, "id long, tag int, again binary, open binary")
     judged = durable(judged, "runs")
-    resolved = _settle_open(texts, judged.where(F.octet_length("open") > 0), length, seed)
+    resolved = _settle_open(texts, judged.where(F.octet_length("open") > 0), length, seed, crowd)
 
     cut = judged.where(F.octet_length("again") > 0).select("id", "tag", F.col("again").alias("runs"), F.lit(None).cast("binary").alias("windows"))
     cut = cut.union(resolved.select("id", "tag", F.lit(None).cast("binary"), "again"))
@@ -422,12 +425,12 @@ def remove_repeats(
     return whole.union(some.mapInArrow(finish, schema))
 
 
-def _settle_open(texts: DataFrame, open_runs: DataFrame, length: int, seed: int) -> DataFrame:
+def _settle_open(texts: DataFrame, open_runs: DataFrame, length: int, seed: int, crowd: int) -> DataFrame:
     """``id``, ``tag`` and ``again``: starts of single windows of open runs that a smaller document has too."""
     buckets = max(1, (open_runs.agg(F.coalesce(F.sum(F.octet_length("open")), F.lit(0))).first()[0] // 4) // _EDGES)
     wanted = open_runs.groupBy("id", "tag").agg(F.collect_list("open").alias("open"))
     some = maybe_among(texts, "id", open_runs.select("id")).where("hit").drop("hit").join(wanted, ["id", "tag"])
-    fields = "bucket int, id long, tag int, first int, place int, content binary"
+    fields = "h long, bucket int, id long, tag int, first int, place int, content binary"
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -439,6 +442,7 @@ def _settle_open(texts: DataFrame, open_runs: DataFrame, length: int, seed: int)
                 doc, first = runs.doc[at], runs.first[at]
                 ends = first + runs.windows[at] - 1 + length
                 columns = [
+                    pa.array(runs.h[at].view(np.int64)),
                     pa.array((runs.h[at] % np.uint64(buckets)).astype(np.int32)),
                     pa.array([values[d][0] for d in doc], pa.int64()),
                     pa.array([values[d][1] for d in doc], pa.int32()),
@@ -446,10 +450,46 @@ def _settle_open(texts: DataFrame, open_runs: DataFrame, length: int, seed: int)
                     pa.array((runs.anchor[at] - first).astype(np.int32)),
                     pa.array([found[d][f:e] for d, f, e in zip(doc.tolist(), first.tolist(), ends.tolist())], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "tag", "first", "place", "content"])
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "bucket", "id", "tag", "first", "place", "content"])
 
-    edges = some.mapInArrow(cut_out, fields)
-    return edges.groupBy("bucket").applyInArrow(_resolve(length), "id long, tag int, again binary")
+    edges = durable(some.mapInArrow(cut_out, fields), "edges")
+    # a larger limit where there are many open runs keeps the table of crowded seeds small enough to broadcast
+    limit = max(crowd, edges.count() // _CROWDS)
+    crowded = F.broadcast(edges.groupBy("h").count().where(F.col("count") > limit).select("h"))
+    sorted_ = edges.join(crowded, "h", "left_anti").drop("h").groupBy("bucket")
+    settled = sorted_.applyInArrow(_resolve(length), "id long, tag int, again binary")
+    return settled.union(_settle_crowds(edges.join(crowded, "h", "left_semi"), length))
+
+
+def _settle_crowds(edges: DataFrame, length: int) -> DataFrame:
+    """The same for seeds that too many open runs share: window by window, with map-side minima."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            contents = b.column("content").to_pylist()
+            n = np.array([len(c) - length + 1 for c in contents], np.int64)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows = pa.array(np.repeat(np.arange(len(n)), n))
+            columns = [
+                pa.array([c[i : i + length] for c, k in zip(contents, n.tolist()) for i in range(k)], pa.binary()),
+                b.column("id").take(rows),
+                b.column("tag").take(rows),
+                pa.array((b.column("first").to_numpy()[rows.to_numpy()] + offset).astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["window", "id", "tag", "start"])
+
+    windows = edges.mapInArrow(spread, "window binary, id long, tag int, start int")
+    least = windows.groupBy("window").agg(F.min("id").alias("least"))
+    hits = windows.join(least, "window").where(F.col("id") > F.col("least"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = [np.array(x.as_py(), np.int32).tobytes() for x in b.column("starts")]
+            columns = [b.column("id"), b.column("tag"), pa.array(starts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "again"])
+
+    gathered = hits.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
+    return gathered.mapInArrow(pack, "id long, tag int, again binary")
 
 
 def _cut(text: bytes, again: np.ndarray, windows: np.ndarray, length: int, seed: int) -> tuple[bytes, list[dict]]:

@@ -55,10 +55,10 @@ def repeats_by_force(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, seed", [(50, 16), (24, 8)])
-def test_repeats(spark, corpus, length, seed):
+@pytest.mark.parametrize("length, seed, crowd", [(50, 16, 50000), (24, 8, 50000), (50, 16, 3), (24, 8, 0)])
+def test_repeats(spark, corpus, length, seed, crowd):
     docs = spark.createDataFrame(corpus, DOCS).repartition(5)
-    found = suffixes.remove_repeats(docs, length=length, seed=seed).collect()
+    found = suffixes.remove_repeats(docs, length=length, seed=seed, crowd=crowd).collect()
     got = sorted((r.doc_id, bytes(r.kept), [(s.start, s.end) for s in r.removed]) for r in found)
     assert got == sorted(repeats_by_force([(i, t.encode()) for i, t in corpus], length))
     assert any(spans for _, _, spans in got)
