@@ -16,9 +16,9 @@ from tallywise.operators.scratch import durable
 
 _BASE, _MIX, _SPREAD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK = 1 << 20  # bytes of text that a task works on at a time (or one longer document)
-_BUCKET = 24 << 20  # bytes of text for each bucket of seeds
-_FLUSH = 1 << 20  # runs that a task packs at a time
+_BLOCK = 1 << 19  # bytes of text that a task works on at a time (or one longer document)
+_BUCKET = 12 << 20  # bytes of text for each bucket of seeds
+_FLUSH = 1 << 19  # runs that a task packs at a time
 _EDGES = 20000  # open runs for each bucket of the suffix sort, on average
 _CROWD = 50000  # open runs of one seed that one task sorts
 _CROWDS = 1_000_000  # seeds with more than that, at most
