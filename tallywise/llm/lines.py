@@ -19,46 +19,55 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLOCK_CHARS = 1 << 19  # that a task works on at a time
 _FILTER_WORDS = 1 << 17  # of 64 bits: which lines' texts are worth fetching
 _STRIPPED = " \t\r"
+_GRAM = 8  # characters of a piece that least hashes are taken of
+_BANDS, _DEEP = 24, 3  # lines that agree in all the least hashes of one band meet
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _BANDS * _DEEP, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def allowed(length: int, most: int, share: float) -> int:
+    """Edits between two lines of which the longer has ``length`` characters."""
+    return max(most, int(length * share))
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``: bit-parallel over the diagonals of a band of 2 * most + 1.
+    """Whether the edit distance is at most ``most``: bit-parallel over a column of the distance matrix.
 
-    Bit d of ``ways[e]``: with e edits, as many characters of ``a`` as of ``b`` are used up, plus d - most.
+    Bit i of ``up`` (``down``): the column grows (falls) by one from row i to the next.
     """
     if abs(len(a) - len(b)) > most:
         return False
-    if a == b:
-        return True
-    low, high = 0, min(len(a), len(b))
-    step = high
-    while step:  # skip the common beginning
-        while low + step <= high and a[low : low + step] == b[low : low + step]:
-            low += step
-        step //= 2
+    low = _common(a, b, min(len(a), len(b)), lambda text, n, step: text[n : n + step])
     a, b = a[low:], b[low:]
-    band = (1 << (2 * most + 1)) - 1
-    ways = [((2 << e) - 1) << most for e in range(most + 1)]
-    padded = f"{chr(0) * most}{a}{chr(0) * (most + 1)}"
-    for j, ch in enumerate(b):
-        match = 0
-        for d in range(2 * most + 1):
-            if 0 <= j + d - most < len(a) and padded[j + d] == ch:
-                match |= 1 << d
-        before, any_left = 0, False
-        after = 0
-        for e in range(most + 1):
-            here = ways[e]
-            now = here & match
-            if e:
-                now |= before | (before >> 1) | (after << 1)
-            now &= band
-            before, after, ways[e] = here, now, now
-            any_left = any_left or now
-        if not any_left:
+    high = _common(a, b, min(len(a), len(b)), lambda text, n, step: text[len(text) - n - step : len(text) - n])
+    a, b = a[: len(a) - high], b[: len(b) - high]
+    if not a or not b:
+        return len(a) + len(b) <= most
+    full, last = (1 << len(a)) - 1, len(a) - 1
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    up, down, distance, rest = full, 0, len(a), len(b)
+    for ch in b:
+        match = places.get(ch, 0)
+        across = (((match & up) + up) ^ up) | match
+        grows, falls = (down | ~(across | up)) & full, up & across
+        distance += (grows >> last & 1) - (falls >> last & 1)
+        rest -= 1
+        if distance - rest > most:
             return False
-    end = len(a) - len(b) + most
-    return any(w >> end & 1 for w in ways)
+        grows, match = grows << 1 | 1, match | down
+        up, down = (falls << 1 | ~(match | grows)) & full, grows & match
+    return distance <= most
+
+
+def _common(a: str, b: str, most: int, cut) -> int:
+    """How many characters both have in common at the end that ``cut`` takes pieces from."""
+    low, step = 0, most
+    while step:
+        while low + step <= most and cut(a, low, step) == cut(b, low, step):
+            low += step
+        step //= 2
+    return low
 
 
 def segment(length: np.ndarray | int, i: int, most: int):
@@ -92,13 +101,14 @@ class Block:
         self.powers, self.inverses = _powers(_BASE, len(chars) + 1), _powers(_INVERSE, len(chars) + 1)
         spread = (chars + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread * self.powers[:-1], dtype=np.uint64)])
-        self.sketch = self._parities(chars)
+        self.chars = chars
 
-    def _parities(self, chars: np.ndarray) -> np.ndarray:
+    def sketch(self) -> np.ndarray:
         """32 bits with the parity of how often characters of a class occur, and 32 for pairs of neighbours.
 
         One edit flips at most two of the former and four of the latter.
         """
+        chars = self.chars
         one = np.left_shift(np.uint64(1), (chars * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(59))
         pair = (chars[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + chars[1:] * np.uint64(0x165667B19E3779F9)) * _BASE
         two = np.left_shift(np.uint64(1), np.uint64(32) + (pair >> np.uint64(59)))
@@ -126,6 +136,20 @@ class Block:
             member = np.flatnonzero((start >= 0) & (start + size <= self.lengths) & (length > most))
             yield member, self.keys(member, start[member], size[member], i, length[member])
 
+    def alike(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys that lines with most of their pieces in common are likely to share: bands of least hashes (MinHash)."""
+        member = np.arange(len(self.lengths))
+        size = np.repeat(np.minimum(self.lengths, _GRAM), self.lengths)
+        at = np.minimum(np.arange(len(size)), np.repeat(self.starts + self.lengths, self.lengths) - size)
+        raw = (self.sums[at + size] - self.sums[at]) * self.inverses[at] * np.uint64(0xFF51AFD7ED558CCD)
+        pieces = ((raw ^ (raw >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(32)).astype(np.uint32)
+        for band in range(_BANDS):
+            key = np.full(len(member), band, np.uint64)
+            for factor in _FACTORS[band * _DEEP : (band + 1) * _DEEP]:
+                key = (key ^ np.minimum.reduceat(pieces * factor, self.starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            yield member, key.view(np.int64)
+
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
@@ -162,25 +186,32 @@ def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[lis
 
 
 def _keyed(texts: DataFrame, least: int, most: int, role: str) -> DataFrame:
-    """``key``, ``line`` and ``sketch`` of the segments (``stored``) or the probes (``asked``) of all different lines."""
+    """``key``, ``line`` and ``sketch`` of the segments (``stored``) or the probes (``asked``) of all different lines, or
+    ``key`` and ``line`` of their bands (``alike``).
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, names in _blocks(batches, least):
             block = Block(lines, names)
-            found = list(block.stored(most) if role == "stored" else block.asked(most))
+            found = list(block.alike() if role == "alike" else block.stored(most) if role == "stored" else block.asked(most))
             member = np.concatenate([m for m, _ in found])
-            arrays = [np.concatenate([k for _, k in found]), block.names[member], block.sketch[member]]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "line", "sketch"])
+            arrays = [np.concatenate([k for _, k in found]), block.names[member]]
+            if role != "alike":
+                arrays.append(block.sketch()[member])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "line", "sketch"][: len(arrays)])
 
-    return texts.mapInArrow(rows, "key long, line long, sketch long")
+    return texts.mapInArrow(rows, "key long, line long" + (", sketch long" if role != "alike" else ""))
 
 
-def near_lines(texts: DataFrame, most: int, least: int) -> DataFrame:
-    """``a``, ``b``: names of different lines (of ``least`` characters or more) at most ``most`` edits apart.
+def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0) -> DataFrame:
+    """``a``, ``b``: names of different lines (of ``least`` characters or more) at most ``most`` edits apart, or at most
+    ``share`` of the longer one's characters if that is more.
 
     Each line is cut into most + 1 segments, one of which survives ``most`` edits. Lines are stored under their segments
     and look up those substrings that a line of equal or smaller length could have as a segment. Parity sketches in the
-    join condition drop most false candidates; the texts of the rest are fetched and compared.
+    join condition drop most false candidates; the texts of the rest are fetched and compared. This finds all pairs within
+    ``most``. The number of probes grows with the square of the edits, so pairs further apart are met by an index of least
+    hashes instead, whose recall was measured (README); every pair met is compared in full.
     """
     # a batch leaves out repeats among its own lines; of a frequent line that leaves one row a batch on the asking side
     stored, asked = _keyed(texts, least, most, "stored").distinct(), _keyed(texts, least, most, "asked")
@@ -189,16 +220,23 @@ def near_lines(texts: DataFrame, most: int, least: int) -> DataFrame:
         F.bit_count(F.shiftrightunsigned(both, 32)) <= 4 * most
     )
     met = asked.alias("l").join(stored.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.line") != F.col("r.line")) & close)
-    pairs = met.select(F.greatest("l.line", "r.line").alias("a"), F.least("l.line", "r.line").alias("b")).distinct()
-    pairs = durable(pairs, "line-pairs")
+    pairs = met.select(F.greatest("l.line", "r.line").alias("a"), F.least("l.line", "r.line").alias("b"))
+    if share:
+        # the shorter line of a pair that only ``share`` allows
+        shorter = max(least, int((1 - share) * (most + 1) / share))
+        keyed = _keyed(texts, shorter, most, "alike").distinct()
+        alike = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.line") > F.col("r.line")))
+        pairs = pairs.union(alike.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")))
+    pairs = durable(pairs.distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
     spelled = _texts_of(texts, wanted, least)
     compared = pairs.join(spelled.toDF("a", "text_a"), "a").join(spelled.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = zip(b.column("text_a"), b.column("text_b"))
-            yield b.select(["a", "b"]).filter(pa.array([within(x.as_py(), y.as_py(), most) for x, y in pairs], pa.bool_()))
+            pairs = [(x.as_py(), y.as_py()) for x, y in zip(b.column("text_a"), b.column("text_b"))]
+            near = [within(x, y, allowed(max(len(x), len(y)), most, share)) for x, y in pairs]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return compared.mapInArrow(verify, "a long, b long").distinct()
 
@@ -236,13 +274,14 @@ def dedupe_lines(
     most: int = 2,
     least: int = 20,
     least_near: int = 48,
+    share: float = 0.0,
 ) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_removed`` and the text without lines that repeat an earlier one.
 
     Lines end at line feeds and are compared without white space at their ends. Lines of ``least`` characters or more
-    repeat each other if they are equal, or if they have ``least_near`` characters or more and at most ``most`` edits turn
-    one into the other; classes are the components of these links. Of each class the line with the smallest id, then the
-    first in that document, stays; shorter lines all stay. Kept lines stand as they were, joined by line feeds.
+    repeat each other if they are equal, or if they have ``least_near`` characters or more and at most ``most`` edits (or
+    ``share`` of the longer one's characters, if that is more) turn one into the other; classes are the components of these
+    links. Of each class the line with the smallest id, then the first in that document, stays; shorter lines all stay. Kept lines stand as they were, joined by line feeds.
 
     Rows with equal ids count as the same document: equal texts lose the same lines. Rows with a null id are left as they
     are and count for no other. A null text stays null and has no line; an empty one has one empty line. Columns named
@@ -256,7 +295,7 @@ def dedupe_lines(
     seen = durable(seen, "lines")
     lines = seen.groupBy("line", "check").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     texts = known.select(F.col(text_col).alias("text"))
-    classes = connected(near_lines(texts, most, max(least, least_near, 2 * most + 2)))
+    classes = connected(near_lines(texts, most, max(least, least_near, 2 * most + 2), share))
     lines = lines.join(classes, lines["line"] == classes["node"], "left").drop("node")
     alone = lines.where(F.col("root").isNull() & (F.col("n") > 1)).select("line", "check", "first")
     linked = lines.where(F.col("root").isNotNull())

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallywise.llm import components, decontaminate, lines, membership, neighbours, sharding, simhash, suffixes
+from tallywise.llm import components, decontaminate, lines, membership, neighbours, queries, sharding, simhash, suffixes
 
 DOCS = "doc_id long, text string"
 WORDS = "the of and pine oak elm ash fir yew bay fig gum box holly maple cedar larch birch rowan alder hazel willow".split()
@@ -258,6 +258,43 @@ def test_dedupe_lines(spark):
     assert sorted((r.doc_id, r.text) for r in found.collect()) == lines_by_force(rows, 2, 20, 48)
 
 
+def test_edit_distance_bound_of_long_strings():
+    draw = random.Random(14)
+    for _ in range(400):
+        a = "".join(draw.choice("abcdé") for _ in range(draw.randint(0, 70)))
+        b = mutate(draw, a, draw.randint(0, 14))
+        for most in (4, 7, 12):
+            assert lines.within(a, b, most) == (edits(a, b) <= most)
+
+
+def test_near_lines_with_a_changed_word(spark):
+    draw = random.Random(12)
+    texts = set()
+    for n in [14] * 12 + [30] * 12 + [90] * 6:
+        words = sentence(draw, n).split()
+        texts.add(" ".join(words))
+        for _ in range(4):
+            at = draw.randrange(n)
+            texts.add(" ".join([*words[:at], "".join(draw.choice("uvwxyz") for _ in range(draw.randint(3, 6))), *words[at + 1 :]]))
+    texts = sorted(texts)
+    table = spark.createDataFrame([("\n".join(texts[i::7]),) for i in range(7)], "text string").repartition(3)
+    named = {np.int64(np.uint64(lines._name(t)).view(np.int64)): t for t in texts}
+    got = {frozenset((named[r.a], named[r.b])) for r in lines.near_lines(table, 2, 20, 0.05).collect()}
+    close = [(a, b) for a, b in combinations(texts, 2) if abs(len(a) - len(b)) <= 0.05 * max(len(a), len(b))]
+    true = {frozenset(p) for p in close if edits(*p) <= max(2, 0.05 * max(map(len, p)))}
+    assert got <= true and len(got) >= 0.99 * len(true) and len(true) > 100
+    assert any(edits(*p) > 10 for p in true)
+
+
+def test_lines_query_drops_a_line_with_a_changed_word(spark, tmp_path):
+    draw = random.Random(15)
+    line = sentence(draw, 40)
+    near = " ".join([*line.split()[:20], "quince", *line.split()[21:]])
+    rows = [(1, line), (2, near + "\n" + sentence(draw, 40))]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in queries.op7_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
 def test_dedupe_lines_edges(spark):
     line = "a line of text that is surely long enough for everything here"
     rows = [(None, line), (1, None), (2, line), (2, line), (3, f"{line}\n{line}x\n{line * 500}"), (4, "")]
