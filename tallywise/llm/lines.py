@@ -19,8 +19,8 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLOCK_CHARS = 1 << 19  # that a task works on at a time
 _FILTER_WORDS = 1 << 17  # of 64 bits: which lines' texts are worth fetching
 _STRIPPED = " \t\r"
-_GRAM = 8  # characters of a piece that least hashes are taken of
-_BANDS, _DEEP = 24, 3  # lines that agree in all the least hashes of one band meet
+_GRAM = 10  # characters of a piece that least hashes are taken of
+_BANDS, _DEEP = 16, 2  # lines that agree in all the least hashes of one band meet
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _BANDS * _DEEP, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -187,20 +187,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[lis
 
 def _keyed(texts: DataFrame, least: int, most: int, role: str) -> DataFrame:
     """``key``, ``line`` and ``sketch`` of the segments (``stored``) or the probes (``asked``) of all different lines, or
-    ``key`` and ``line`` of their bands (``alike``).
+    ``key``, ``line`` and ``length`` of their bands (``alike``).
     """
 
+    last = "length" if role == "alike" else "sketch"
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, names in _blocks(batches, least):
             block = Block(lines, names)
             found = list(block.alike() if role == "alike" else block.stored(most) if role == "stored" else block.asked(most))
             member = np.concatenate([m for m, _ in found])
             arrays = [np.concatenate([k for _, k in found]), block.names[member]]
-            if role != "alike":
-                arrays.append(block.sketch()[member])
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "line", "sketch"][: len(arrays)])
+            arrays.append(block.lengths.astype(np.int32)[member] if role == "alike" else block.sketch()[member])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "line", last])
 
-    return texts.mapInArrow(rows, "key long, line long" + (", sketch long" if role != "alike" else ""))
+    return texts.mapInArrow(rows, f"key long, line long, {last} {'int' if role == 'alike' else 'long'}")
 
 
 def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0) -> DataFrame:
@@ -214,7 +215,7 @@ def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0) -> D
     hashes instead, whose recall was measured (README); every pair met is compared in full.
     """
     # a batch leaves out repeats among its own lines; of a frequent line that leaves one row a batch on the asking side
-    stored, asked = _keyed(texts, least, most, "stored").distinct(), _keyed(texts, least, most, "asked")
+    stored, asked = _keyed(texts, least, most, "stored").repartition("key").distinct(), _keyed(texts, least, most, "asked")
     both = F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))
     close = (F.bit_count(both.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) <= 2 * most) & (
         F.bit_count(F.shiftrightunsigned(both, 32)) <= 4 * most
@@ -224,8 +225,11 @@ def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0) -> D
     if share:
         # the shorter line of a pair that only ``share`` allows
         shorter = max(least, int((1 - share) * (most + 1) / share))
-        keyed = _keyed(texts, shorter, most, "alike").distinct()
-        alike = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.line") > F.col("r.line")))
+        keyed = _keyed(texts, shorter, most, "alike").repartition("key").distinct()
+        longer = F.greatest("l.length", "r.length")
+        fits = F.abs(F.col("l.length") - F.col("r.length")) <= F.greatest(F.lit(most), F.floor(longer * F.lit(share)))
+        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") > F.col("r.line"))
+        alike = keyed.alias("l").join(keyed.alias("r"), same & fits)
         pairs = pairs.union(alike.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")))
     pairs = durable(pairs.distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
