@@ -65,7 +65,8 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines.dedupe_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), share=0.05)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = lines.dedupe_lines(docs, least=1, least_near=20, share=0.05)
     kept = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id", "n_lines", "n_removed", F.octet_length(kept).alias("n_bytes"), F.sha2(kept, 256).alias("kept_sha256")

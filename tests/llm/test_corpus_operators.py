@@ -295,6 +295,13 @@ def test_lines_query_drops_a_line_with_a_changed_word(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in queries.op7_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
 
 
+def test_lines_query_compares_short_lines(spark, tmp_path):
+    rows = [(1, "ok\n\nIs it so? Yes, it is so.\nBe to."), (2, "\n ok\nIs it so. Yes, it is so.\nBy to.\n")]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.n_removed, r.n_bytes) for r in queries.op7_lines(spark, str(tmp_path)).collect()}
+    assert found == {1: (0, len(rows[0][1])), 2: (2, len("\nBy to.\n"))}
+
+
 def test_dedupe_lines_edges(spark):
     line = "a line of text that is surely long enough for everything here"
     rows = [(None, line), (1, None), (2, line), (2, line), (3, f"{line}\n{line}x\n{line * 500}"), (4, "")]
