@@ -150,9 +150,39 @@ def _is_noise(node: Node) -> bool:
         return True
     if attributes.get("role", "").lower() in _ROLES:
         return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()
-    return not _HINTS.isdisjoint(_NAME.findall(named))
+    return _is_named(f"{attributes.get('class', '')} {_own_id(node)}") and not _in_article(node) and not _holds_article(node)
+
+
+def _own_id(node: Node) -> str:
+    return "" if node.tag in _HEADINGS else node.attributes.get("id", "")  # a heading's is made from its words
+
+
+def _is_named(names: str) -> bool:
+    """Whether one of the names consists of hints alone; ``has-sidebar`` doesn't."""
+    for name in names.split():
+        parts = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if parts and _HINTS.issuperset(parts):
+            return True
+    return False
+
+
+def _in_article(node: Node) -> bool:
+    while node.parent is not None:
+        node = node.parent
+        if node.tag in ("article", "main"):
+            return True
+    return False
+
+
+def _holds_article(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if not isinstance(c, str):
+                if c.tag in ("article", "main"):
+                    return True
+                stack.append(c)
+    return False
 
 
 def prune(root: Node) -> None:
@@ -195,6 +225,15 @@ def measure(nodes: list[Node], body: Node) -> None:
             node.parent.density_sum += node.density
 
 
+def _path(nodes: list[Node], body: Node) -> tuple[Node, float]:
+    best = max(nodes, key=lambda n: n.density)
+    threshold, at = best.density, best
+    while at is not body and at.parent is not None:
+        at = at.parent
+        threshold = min(threshold, at.density)
+    return best, threshold
+
+
 def select(nodes: list[Node], body: Node) -> Node:
     """The element with the largest sum of its children's densities, of those at least as dense as the path allows.
 
@@ -202,11 +241,7 @@ def select(nodes: list[Node], body: Node) -> Node:
     around the choice, if there is one, is taken whole; else the choice widens to its parent as long as that adds a quarter of
     unlinked text or more at the threshold's density.
     """
-    best = max(nodes, key=lambda n: n.density)
-    threshold, at = best.density, best
-    while at is not body and at.parent is not None:
-        at = at.parent
-        threshold = min(threshold, at.density)
+    best, threshold = _path(nodes, body)
     chosen = max((n for n in nodes if n.density >= threshold), key=lambda n: n.density_sum)
     if not chosen.density_sum:
         chosen = best
@@ -230,8 +265,13 @@ def _linked(node: Node) -> bool:
     return node.tag in _BLOCK and node.link_tags > 1 and node.link_chars > 0.6 * node.chars
 
 
-def blocks_of(node: Node) -> list[str]:
-    """Texts of the blocks in page order, with single spaces."""
+def blocks_of(node: Node, threshold: float = 0.0) -> list[str]:
+    """Texts of the blocks in page order, with single spaces.
+
+    Within an article, elements whose class names say they are no part of it go if they are less dense than ``threshold``.
+    Blocks of links go only where no part of the page was chosen.
+    """
+    whole = node.tag in ("body", "html", "#root")
     blocks, run = [], []
 
     def flush() -> None:
@@ -248,8 +288,11 @@ def blocks_of(node: Node) -> list[str]:
             continue
         if item.tag in _BLOCK:
             flush()
-        if over or (item is not node and _linked(item)):
+        if over or (item is not node and whole and _linked(item)):
             continue
+        if item is not node and item.density < threshold and item.tag not in _HEADINGS | _ROOTS:
+            if _is_named(item.attributes.get("class", "")):
+                continue
         stack.append((item, True))
         stack += [(c, False) for c in reversed(item.children)]
     flush()
@@ -270,7 +313,7 @@ def main_text(html: str) -> str:
     measure(kept, body)
     inside = [n for n in kept if n.chars and (n is body or n.tag not in ("#root", "html"))] or [body]
     chosen = select(inside, body)
-    blocks = blocks_of(chosen)
+    blocks = blocks_of(chosen, _path(inside, body)[1])
     if chosen.tag not in _ROOTS:  # a title that stands before the chosen part
         for n in kept:
             if n is chosen:

@@ -126,6 +126,22 @@ def test_main_text(inner, expected):
     assert html.main_text(PAGE % inner) == expected
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<article><p>%s</p><section id='discussion'><h2 id='related-work'>Related work</h2><p>%s</p></section></article>",
+        "<div class='layout has-sidebar'><article><p>%s</p><h2>Then</h2><p>%s</p></article></div>",
+        "<article><p>%s</p><p>%s</p><ul><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ul></article>",
+        "<article><p>%s</p><div class='reactions'><p>%s</p></div></article>",
+    ],
+)
+def test_no_part_of_an_article_is_lost_for_its_name_or_links(inner):
+    import re
+
+    inner %= ("Words of the first part that go on for a while. " * 3, "Words of the second part that go on for a while. " * 3)
+    assert html.main_text(PAGE % inner) == " ".join(re.sub(r"<[^>]*>", " ", inner).split())
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- x", "<script>x", "</p></div>", "&", "<a <b", "<div>" * 5000])
 def test_odd_pages_give_a_text(page):
     assert isinstance(html.main_text(page), str)
