@@ -242,7 +242,7 @@ def _by_document(ids, tags, again: np.ndarray, open_: np.ndarray, at: np.ndarray
 def sort_suffixes(strings: list[bytes], shallow: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings, and the length each shares with the one before it in that order.
 
-    Shallow: multikey quicksort by words of eight bytes, down to ``shallow`` bytes. Deep: what is still equal there and
+    Shallow: a lexicographic sort by words of eight bytes, down to ``shallow`` bytes. Deep: what is still equal there and
     goes on is ordered by a blind trie for each group.
     """
     n = len(strings)
