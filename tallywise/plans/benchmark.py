@@ -56,9 +56,15 @@ def benchmark_answers(
     schema_name: str = "PatientInfoSchema",
     chunks: int = 1,
     resume: bool = True,
+    batch_rows: int | None = None,
     **settings,
 ) -> DataFrame:
-    """Answers to all letters below ``path``, chunk by chunk: only letters without all their answers are asked again."""
+    """Answers to all letters below ``path``: only letters without all their answers are asked again.
+
+    A crash loses the chunk under way, or with ``batch_rows`` only the batches of about that many letters under way.
+    """
+    if batch_rows and settings.get("partitions"):
+        raise ValueError("give batch_rows or partitions: with batches, the number of letters makes the number of tasks")
     thinking = prompts.enable_thinking
     prompted = render_prompt(build_messages(letters, prompts), template, enable_thinking=thinking)
 
@@ -66,7 +72,7 @@ def benchmark_answers(
         return backend_answers(part, backend, n_repeats, schema_name, thinking, id_cols=("row_id", "label"), **settings)
 
     identity = ("row_id", "run_idx")
-    return run_resumable(prompted, ask, path, "row_id", identity, rows_per_key=n_repeats, chunks=chunks, resume=resume)
+    return run_resumable(prompted, ask, path, "row_id", identity, n_repeats, chunks, resume, batch_rows)
 
 
 def run_benchmark(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from tallywise.plans.fixtures import MODELS, RUNS, load
 from tallywise.sources import letters as letter_files
 from tallywise.sources import runs as run_files
 from tallywise.sources.salvage import salvage_report, write_salvaged
-from tallywise.streaming.resume import pending, run_resumable, stream_extract
+from tallywise.streaming.resume import finished_rows, pending, run_resumable, stream_extract
 
 RATERS = ["students", "residents", "model"]
 COMPARISONS = {
@@ -567,6 +571,56 @@ def resumable_run(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.metrics_by_mode(finished, RUNS))
 
 
+ATTEMPTS = ("first", "second", "third")
+
+
+def resume_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Three attempts at two rows a letter. The first misses a row of every third letter and fails in one of another
+    third; while the second is at work, the third starts on the same folder and ends before it."""
+    letters, path, begun = load(spark, sf, "letters").select("row_id"), scratch_path(spark, "attempts"), []
+
+    def process(part: DataFrame) -> DataFrame:
+        name = ATTEMPTS[len(begun)]
+        begun.append(name)
+        if name == "second":
+            run_resumable(letters, process, path, **two_rows)
+        rows = part.select("row_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("run_idx"), F.lit(name).alias("attempt"))
+        third, last = F.col("row_id") % 3, F.lit(name == "first") & (F.col("run_idx") == 1)
+        return rows.where(~((third == 0) & last)).withColumn("error", F.when((third == 1) & last, "down"))
+
+    two_rows = {"identity": ("row_id", "run_idx"), "rows_per_key": 2}
+    run_resumable(letters, process, path, **two_rows)
+    return run_resumable(letters, process, path, **two_rows)
+
+
+def _breaks_down(prompts: list, n_repeats: int, options: dict) -> list:
+    """The stub, until it is asked for a text whose digest ends in two zeros."""
+    for prompt in prompts:
+        if hashlib.md5(prompt.encode()).hexdigest().endswith("00"):
+            time.sleep(1)
+            raise RuntimeError("the generator broke down")
+    return backend("stub")(prompts, n_repeats, options)
+
+
+def resume_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A run whose generator breaks down, and the run that goes on: no letter is asked again whose batch was finished."""
+    path = scratch_path(spark, "batches")
+    letters = load(spark, sf, "letters").select("row_id", F.col("input_text").alias("prompt"))
+
+    def asked(generator):
+        return lambda part: generate(part, generator, 3).drop("seconds")
+
+    again = {"identity": ("row_id", "run_idx"), "rows_per_key": 3, "batch_rows": 64}
+    try:
+        run_resumable(letters, asked(_breaks_down), path, **again)
+    except PySparkException as failure:
+        if "broke down" not in str(failure):
+            raise
+    whole = run_resumable(letters, asked(backend("stub")), path, **again)
+    written = finished_rows(spark, path)[1].groupBy("row_id", "run_idx").agg(F.count(F.lit(1)).alias("times_written"))
+    return whole.join(written, ["row_id", "run_idx"]).select("row_id", "run_idx", "output_text", "times_written", "error")
+
+
 def stream_extract_query(spark: SparkSession, sf: str) -> DataFrame:
     source, target = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
     arriving = load(spark, sf, "generations").select("row_id", "run_idx", "label", "output_text")
@@ -654,5 +708,7 @@ QUERIES = {
     "lme_fit": lme_fit,
     "resume_pending": resume_pending,
     "resumable_run": resumable_run,
+    "resume_attempts": resume_attempts,
+    "resume_batches": resume_batches,
     "stream_extract": stream_extract_query,
 }

@@ -300,6 +300,11 @@ def statements() -> dict[str, str]:
       (('0x' || substr(md5(run_idx::VARCHAR || '-' || input_text), 1, 7))::BIGINT % 7)::VARCHAR || '}}' AS output_text,
       NULL::VARCHAR AS error FROM letters, range(3) r(run_idx)"""
 
+    out["resume_batches"] = f"""SELECT row_id, run_idx, output_text, 1::BIGINT AS times_written, error FROM ({out["generate_stub"]}) g"""
+    out["resume_attempts"] = """
+    SELECT doc_id AS row_id, run_idx::INTEGER AS run_idx, CASE WHEN doc_id % 3 = 2 THEN 'first' ELSE 'third' END AS attempt,
+      NULL::VARCHAR AS error FROM documents, range(2) r(run_idx)"""
+
     out["extract_structured"] = _extract_mrs("SELECT row_id, run_idx, value::BIGINT AS \"mRS\", status, valid FROM extracted")
     out["extraction_status"] = _extract_mrs("SELECT status, count(*) AS n FROM extracted GROUP BY status")
     wide = ", ".join(f"max(CASE WHEN run_idx = {i} THEN value END)::BIGINT AS \"mRS_{i:03d}\"" for i in range(RUNS))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallywise.functions.extraction import extract_structured
 from tallywise.operators.scratch import durable
+from tallywise.streaming.journal import ATTEMPT, Journal
 
 
 def pending(letters: DataFrame, done: DataFrame, key: str | Sequence[str] = "input_text") -> DataFrame:
@@ -30,30 +29,38 @@ def pending(letters: DataFrame, done: DataFrame, key: str | Sequence[str] = "inp
     return left.union(letters.where(~whole))
 
 
-def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def finished_rows(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """Epoch of a run and the rows that count in it, of all its attempts; other folders are never read."""
+    journal = Journal(spark, path)
+    entries = journal.entries()
+    rows = journal.rows(entries)
+    return max((e.epoch for e in entries), default=0), rows if rows is None else rows.drop(ATTEMPT)
 
 
-def finished_rows(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
-    """Epoch of a run and the rows of its finished chunks; a folder without a mark is never read."""
-    marks = _read_if_present(spark, f"{path}/marks")
-    if marks is None:
-        return 0, None
-    found = [(r["epoch"], r["folder"]) for r in marks.collect()]  # one a chunk
-    epoch = max(e for e, _ in found)
-    return epoch, spark.read.parquet(*[f"{path}/{folder}" for e, folder in sorted(found) if e == epoch])
+def _fine(rows: DataFrame) -> Column:
+    return F.col("error").isNull() if "error" in rows.columns else F.lit(True)
 
 
-def _complete(done: DataFrame, keys: list[str], identity: list[str], rows_per_key: int) -> DataFrame:
-    """Keys that have all their rows without an error."""
-    fine = done.where(F.col("error").isNull()) if "error" in done.columns else done
-    counted = fine.select(*identity).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.where(F.col("_n") >= rows_per_key).select(*keys)
+def _rows_of_attempts(rows: DataFrame, keys: list[str], identity: list[str], rows_per_key: int) -> DataFrame:
+    """``(keys…, attempt, whole)``: whether the attempt has all rows of the key without an error."""
+    found = F.count_distinct(F.when(_fine(rows), F.struct(*identity)))
+    return rows.groupBy(*keys, ATTEMPT).agg((found >= rows_per_key).alias("_whole"))
+
+
+def latest_attempts(rows: DataFrame, keys: list[str], identity: list[str], rows_per_key: int) -> DataFrame:
+    """Of every key the rows of one attempt: the last one that is whole, else the last one. Rows of two attempts never mix.
+
+    Only keys with several attempts are looked up again; those are written, so that the optimizer knows their number.
+    """
+    if rows.select(ATTEMPT).distinct().limit(2).count() < 2:
+        return rows.drop(ATTEMPT)
+    each = _rows_of_attempts(rows, keys, identity, rows_per_key)
+    best = F.max(F.struct(F.col("_whole"), F.col(ATTEMPT).alias("attempt")))["attempt"]
+    tried = each.groupBy(*keys).agg(F.collect_set(ATTEMPT).alias("_tried"), best.alias("_best")).where(F.size("_tried") > 1)
+    left = tried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.array_remove("_tried", F.col("_best"))).alias("_left"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    matched = reduce(lambda x, y: x & y, same, F.col(ATTEMPT) == F.col("_left"))
+    return rows.join(durable(left, "replaced"), matched, "left_anti").drop(ATTEMPT)
 
 
 def run_resumable(
@@ -65,38 +72,41 @@ def run_resumable(
     rows_per_key: int = 1,
     chunks: int = 1,
     resume: bool = True,
+    batch_rows: int | None = None,
 ) -> DataFrame:
-    """Process the pending rows chunk by chunk into ``path`` and return the whole table.
-
-    Every chunk is written to a new folder and counts only once its mark is written after it: what a crash leaves half
-    done is never read, and its rows are pending again. A key is done when ``rows_per_key`` rows of it, told apart by
-    ``identity``, have no error (column ``error``, if there is one); otherwise its row of ``letters`` is processed again,
-    and rows of a finished attempt take the place of earlier ones. Without ``resume`` the run starts a new epoch, and
-    earlier ones count no more. Rows with a null key are processed every time.
+    """Process the pending rows into ``path`` and return the whole table.
+
+    Every call is an attempt with a number of its own, taken from the folder's journal; its rows go to folders that only
+    the journal names. A chunk counts once its entry is written: what a crash leaves half done is never read, and its
+    rows are pending again. With ``batch_rows``, each task works on about that many rows and commits its result when it
+    is done, so that a crash loses the batches under way and no others; ``process`` must then work row by row, without a
+    shuffle. (Tasks commit by the file output committer's algorithm 2: a task's file gets its place by one rename, under
+    the name of its partition, so that of several attempts of a task one is there.)
+
+    A key is done when one attempt has ``rows_per_key`` rows of it, told apart by ``identity``, without an error (column
+    ``error``, if there is one); otherwise its row of ``letters`` is processed again. Of every key the result has the rows
+    of one attempt: the last whole one, else the last. So two runs that work on one folder at a time lose and double
+    nothing. Without ``resume`` the run starts a new epoch, and earlier ones count no more. Rows with a null key are
+    processed every time.
     """
-    spark = letters.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
-    identity = list(identity or keys)
-    epoch, done = finished_rows(spark, path)
-    if not resume:
-        epoch, done = epoch + 1, None
-    todo = letters if done is None else pending(letters, _complete(done, keys, identity, rows_per_key), keys)
-    if chunks > 1:
-        todo = todo.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int"))
-        todo = durable(todo, "pending", partition_by=["_chunk"])
-    attempt = uuid.uuid4().hex
-    for number in range(chunks):
-        part = todo.where(F.col("_chunk") == number).drop("_chunk") if chunks > 1 else todo
-        folder = f"part-{attempt}-{number}"
-        process(part).write.parquet(f"{path}/{folder}")
-        mark = spark.createDataFrame([(epoch, folder)], "epoch int, folder string").coalesce(1)
-        mark.write.mode("append").parquet(f"{path}/marks")
-    _, done = finished_rows(spark, path)
-    if "error" not in done.columns:
-        return done
-    complete = _complete(done, keys, identity, rows_per_key)
-    fine = done.where(F.col("error").isNull()).join(complete, keys, "left_semi").dropDuplicates(identity)
-    return fine.unionByName(done.join(complete, keys, "left_anti").dropDuplicates(identity))
+    identity = [*keys, *[c for c in identity or () if c not in keys]]
+    journal = Journal(letters.sparkSession, path)
+    begun = journal.begin(resume, chunks, batch_rows is not None)
+    done, todo = journal.rows(journal.entries(), before=begun) if resume else None, letters
+    if done is not None:
+        each = _rows_of_attempts(done, keys, identity, rows_per_key)
+        todo = pending(letters, each.where("_whole").select(*keys), keys)
+    number = F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int")
+    sizes = dict(todo.groupBy(number).count().collect()) if batch_rows else {}
+    for chunk in range(chunks):
+        part, options = todo.where(number == chunk) if chunks > 1 else todo, {}
+        if batch_rows:
+            part = part.repartition(max(1, -(-sizes.get(chunk, 0) // batch_rows)))
+            options = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+        process(part).write.options(**options).parquet(f"{journal.path}/{begun.folder(chunk)}")
+        journal.finish(begun, chunk)
+    return latest_attempts(journal.rows(journal.entries()), keys, identity, rows_per_key)
 
 
 def stream_extract(

@@ -1,12 +1,17 @@
 """Generation, retries, resumable runs and the stream."""
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallywise.functions.extraction import extract_structured
 from tallywise.operators import generate as g
 from tallywise.operators.scratch import scratch_path
 from tallywise.plans import benchmark, catalog
+from tallywise.streaming.journal import Journal, put_if_absent
 from tallywise.streaming.resume import finished_rows, pending, run_resumable, stream_extract
 
 
@@ -156,6 +161,91 @@ def test_half_a_key_and_errors_stay_pending(spark):
     assert last.count() == 12
 
 
+def test_attempts_never_mix(spark):
+    """A whole later attempt takes the place of a broken one, row by row and with rows that no error marks."""
+    path, letters = scratch_path(spark, "t"), spark.range(3).select(F.col("id").alias("row_id"))
+    names = iter(["old", "new"])
+
+    def process(part):
+        name = next(names)
+        runs = part.select("row_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("run_idx"), F.lit(name).alias("by"))
+        return runs.where(~((F.col("row_id") == 1) & (F.col("run_idx") == 1) & F.lit(name == "old")))
+
+    again = dict(identity=("row_id", "run_idx"), rows_per_key=2)
+    assert run_resumable(letters, process, path, **again).count() == 5
+    rows = sorted(tuple(r) for r in run_resumable(letters, process, path, **again).collect())
+    assert rows == [(i, k, "new" if i == 1 else "old") for i in range(3) for k in (0, 1)]
+
+
+def test_repeated_and_null_keys_over_attempts(spark):
+    path = scratch_path(spark, "t")
+    letters = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "row_id int, text string")
+    assert run_resumable(letters, lambda part: part, path).count() == 5
+    more = letters.union(spark.createDataFrame([(3, "f")], letters.schema))
+    rows = run_resumable(more, lambda part: part, path, chunks=2).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, more.collect()))
+    assert run_resumable(letters.limit(0), lambda part: part, scratch_path(spark, "t"), batch_rows=3).count() == 0
+
+
+def test_two_runs_on_one_folder(spark):
+    path, letters = scratch_path(spark, "t"), spark.range(30).select(F.col("id").alias("row_id"))
+
+    def run(name):
+        return run_resumable(letters, lambda part: part.withColumn("by", F.lit(name)), path, chunks=2).count()
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(run, "abcd"))
+    rows = run_resumable(letters, lambda part: part.withColumn("by", F.lit("e")), path).collect()
+    assert sorted(r.row_id for r in rows) == list(range(30)) and all(r.by != "e" for r in rows)
+    entries = Journal(spark, path).entries()
+    assert sorted(e.attempt for e in entries if e.state == "begun") == [1, 2, 3, 4, 5]
+    assert sum(e.state == "finished" for e in entries) == 9
+
+
+def test_put_if_absent_lets_one_in(spark):
+    path = scratch_path(spark, "t") + "/entry.json"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: (put_if_absent(spark, path, f"by {i}"), i), range(16)))
+    assert [f"by {i}" for first, i in won if first] == [spark.read.text(path).first().value]
+
+
+def test_put_if_absent_on_other_file_systems(spark):
+    """The way by renames, through a scheme of its own."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./x", "file:" + scratch_path(spark, "t"))
+    assert put_if_absent(spark, "viewfs://t/x/journal/0.json", "one")
+    assert not put_if_absent(spark, "viewfs://t/x/journal/0.json", "two")
+    files = spark.read.text("viewfs://t/x/journal").collect()
+    assert [r.value for r in files] == ["one"]
+
+
+def test_finished_batches_outlive_a_crash(spark):
+    path, asked = scratch_path(spark, "t"), spark.sparkContext.accumulator(0)
+    letters = spark.range(200).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("prompt"))
+
+    def dies(prompts, n, options):
+        if "199" in prompts:
+            time.sleep(2)
+            raise RuntimeError("broke down")
+        return [[p] * n for p in prompts]
+
+    def counted(prompts, n, options):
+        asked.add(len(prompts))
+        return [[p] * n for p in prompts]
+
+    def run(generator):
+        ask = lambda part: g.generate(part, generator, 2)
+        return run_resumable(letters, ask, path, identity=("row_id", "run_idx"), rows_per_key=2, batch_rows=10)
+
+    with pytest.raises(PySparkException, match="broke down"):
+        run(dies)
+    kept = finished_rows(spark, path)[1].select("row_id").distinct().count()
+    assert 0 < kept < 200
+    whole = run(counted)
+    assert asked.value == 200 - kept
+    assert sorted((r.row_id, r.run_idx, r.output_text) for r in whole.collect()) == [(i, k, str(i)) for i in range(200) for k in (0, 1)]
+    assert run(dies).count() == 400  # nothing is left to ask
+
+
 def test_one_bad_prompt_spoils_no_other(spark):
     def picky(prompts, n, options):
         if any(p.endswith("3") for p in prompts):
