@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywise.sources.records import read_csv
+
 LETTER_SCHEMA = "row_id bigint, input_text string, patient_id string, lang string, source string, label int"
-_CSV = {"header": "true", "escape": '"', "multiLine": "true"}
 _CSV_WRITE = {
     "header": "true",
     "escape": '"',
@@ -19,12 +20,12 @@ _CSV_WRITE = {
 
 
 def read_letters(spark: SparkSession, path: str, schema: str = LETTER_SCHEMA, fmt: str = "csv") -> DataFrame:
-    """Letters from CSV (quoted text may span lines) or parquet, with a declared schema."""
+    """Letters from CSV (quoted text may span lines, and a file is read by many tasks) or parquet, with a declared schema."""
     if fmt == "csv":
-        return spark.read.options(**_CSV).schema(schema).csv(path)
+        return read_csv(spark, path, schema)
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    raise ValueError(f"Unknown letter format: {fmt}")
+    raise ValueError(f"letters are read from csv or parquet, not from {fmt!r}")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
