@@ -11,6 +11,21 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def signed_rank_two_sided(w: float, doubled_ranks: list[tuple[int, int]]) -> float | None:
+    """Exact p value of the smaller rank sum ``w``. ``doubled_ranks``: twice the rank, and how many pairs have it.
+
+    ``ways[s]`` counts the choices of ranks whose doubled sum is s, built up rank by rank. None without any pair.
+    """
+    if not doubled_ranks:
+        return None
+    ways = np.zeros(sum(r * t for r, t in doubled_ranks) + 1)
+    ways[0] = 1.0
+    for rank, times in doubled_ranks:
+        for _ in range(times):
+            ways[rank:] += ways[:-rank].copy()
+    return min(1.0, 2 * float(ways[: round(2 * w) + 1].sum() / ways.sum()))
+
+
 def _quadrature(f, low: float, high: float, panels: int = 64, order: int = 32) -> float:
     nodes, weights = np.polynomial.legendre.leggauss(order)
     edges = np.linspace(low, high, panels + 1)

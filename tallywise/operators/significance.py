@@ -8,7 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.functions.dists import f_quantile, log_jzs_bayes_factor, normal_two_sided, t_two_sided
+from tallywise.functions.dists import (
+    f_quantile,
+    log_jzs_bayes_factor,
+    normal_two_sided,
+    signed_rank_two_sided,
+    t_two_sided,
+)
 from tallywise.operators.scoring import weighted_mean
 
 
@@ -65,24 +71,40 @@ def icc_interval(icc: DataFrame, level: float = 0.95) -> DataFrame:
 
 
 def error_differences(
-    df: DataFrame, expert: str, comparisons: Mapping[str, tuple[str, str]], weight: str | None = None
+    df: DataFrame,
+    expert: str,
+    comparisons: Mapping[str, tuple[str, str]],
+    weight: str | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts of ``d = |a - expert| - |b - expert|`` per comparison of two raters; incomplete rows are dropped."""
+    """Counts of ``d = |a - expert| - |b - expert|`` per group and comparison of raters; incomplete rows are dropped."""
     rows = []
     for name, (a, b) in comparisons.items():
         d = F.abs(F.col(a) - F.col(expert)) - F.abs(F.col(b) - F.col(expert))
         rows.append(F.struct(F.lit(name).alias("comparison"), d.alias("d")))
     keep = [weight] if weight else []
-    long = df.select(*keep, F.inline(F.array(*rows))).where(F.col("d").isNotNull())
-    return long.groupBy("comparison", "d").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    long = df.select(*by, *keep, F.inline(F.array(*rows))).where(F.col("d").isNotNull())
+    return long.groupBy(*by, "comparison", "d").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
-def wilcoxon(differences: DataFrame, correction: bool = True, by: Sequence[str] = ("comparison",)) -> DataFrame:
+#: Up to this many non-zero pairs, all sums of ranks are counted in doubles without rounding.
+EXACT_PAIRS = 50
+
+
+def wilcoxon(
+    differences: DataFrame, correction: bool = True, by: Sequence[str] = ("comparison",), exact_upto: int = 0
+) -> DataFrame:
     """Signed rank test on counted differences: zeros dropped, average ranks, normal approximation with ties.
 
     ``w`` is the smaller rank sum, ``rbc`` the matched-pairs rank-biserial correlation. ``correction`` moves the
     statistic half a step towards its mean. Ranks come from the counts of each distinct size, not from sorting rows.
+
+    Groups with at most ``exact_upto`` non-zero pairs (50 at most) get the exact p value instead, ties and all: the
+    share of the 2^n ways to give the ranks signs whose smaller sum is no larger. With it comes a column ``method``. Only
+    the ranks of such groups are gathered, so a group holds ``exact_upto`` of them at most.
     """
+    if exact_upto > EXACT_PAIRS:
+        raise ValueError(f"exact_upto is at most {EXACT_PAIRS}")
     size = F.abs("d")
     tied = (
         differences.where(F.col("d") != 0)
@@ -95,8 +117,13 @@ def wilcoxon(differences: DataFrame, correction: bool = True, by: Sequence[str]
     )
     upto = F.sum("t").over(Window.partitionBy(*by).orderBy("size"))
     ranked = tied.withColumn("rank", upto - F.col("t") + (F.col("t") + 1) / 2)
-    t = F.col("t")
+    t, extra = F.col("t"), []
+    if exact_upto:
+        ranked = ranked.withColumn("pairs", F.sum("t").over(Window.partitionBy(*by)))
+        doubled = F.struct((2 * F.col("rank")).cast("int").alias("rank"), t.cast("int").alias("times"))
+        extra = [F.collect_list(F.when(F.col("pairs") <= exact_upto, doubled)).alias("ranks")]
     sums = ranked.groupBy(*by).agg(
+        *extra,
         F.sum("t").alias("n"),
         F.sum(F.col("rank") * F.col("above")).alias("w_plus"),
         F.sum(F.col("rank") * F.col("below")).alias("w_minus"),
@@ -109,6 +136,7 @@ def wilcoxon(differences: DataFrame, correction: bool = True, by: Sequence[str]
     shift = 0.5 * F.signum(w - mean) if correction else F.lit(0.0)
     out = sums.select(
         *by,
+        *(["ranks"] if exact_upto else []),
         n.cast("bigint").alias("n"),
         "w_plus",
         "w_minus",
@@ -116,7 +144,25 @@ def wilcoxon(differences: DataFrame, correction: bool = True, by: Sequence[str]
         ((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))).alias("rbc"),
         F.try_divide(w - mean - shift, sd).alias("z"),
     )
-    return out.withColumn("p_value", _finish(normal_two_sided, F.col("z")))
+    out = out.withColumn("p_value", _finish(normal_two_sided, F.col("z")))
+    if not exact_upto:
+        return out
+    exact = _exact_signed_rank(F.col("w"), F.col("ranks"))
+    few = F.col("n") <= exact_upto
+    out = out.withColumn("p_value", F.when(few, exact).otherwise(F.col("p_value")))
+    return out.withColumn("method", F.when(few, "exact").otherwise("normal")).drop("ranks")
+
+
+def _exact_signed_rank(w: Column, ranks: Column) -> Column:
+    """The exact p value of aggregated rows. Ranks come doubled, so that average ranks are whole numbers."""
+
+    @F.pandas_udf("double")
+    def run(frame: pd.DataFrame) -> pd.Series:
+        rows = zip(frame["w"], frame["ranks"])
+        found = [signed_rank_two_sided(w, [(r["rank"], r["times"]) for r in ranks]) for w, ranks in rows]
+        return pd.Series(found, dtype="float64")
+
+    return run(F.struct(w.alias("w"), ranks.alias("ranks")))
 
 
 def paired_t(differences: DataFrame, by: Sequence[str] = ("comparison",)) -> DataFrame:

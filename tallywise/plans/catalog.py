@@ -13,7 +13,7 @@ from tallywise.functions import model_ids as ids
 from tallywise.functions.extraction import extract_structured, predictions_wide, repair_truncated, status_counts
 from tallywise.functions.prompts import PromptConfig, build_messages, fit_prompt, render_prompt, split_reasoning
 from tallywise.functions.schemas import Field, get_schema, violations
-from tallywise.operators import agreement, bootstrap, lengths, mixed, pooling, prepare, scoring, significance
+from tallywise.operators import agreement, bootstrap, conversations, lengths, mixed, pooling, prepare, scoring, significance
 from tallywise.operators.generate import backend, generate
 from tallywise.operators.scratch import durable, scratch_path
 from tallywise.plans import benchmark
@@ -59,6 +59,7 @@ EVENT_FIELDS = (*get_schema("ClinicalEventDate"), Field("score", "int", ge=0, le
 ONE_LABEL_SAMPLE = 20
 PROMPT_LIMIT = {"max_new_tokens": 1024, "max_context": 1400}
 REASONING_BUDGET = 1
+CONVERSATION_LIMIT = 2000
 
 
 def _metric_file(error: str, distance: str) -> str:
@@ -221,6 +222,19 @@ def reasoning_audit(spark: SparkSession, sf: str) -> DataFrame:
     return split.select("row_id", "run_idx", "reasoning", "content", "answer", "reasoning_tokens", "over_budget")
 
 
+def render_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    pieces = conversations.render_conversations(turns, enable_thinking=PROMPTS.enable_thinking)
+    return pieces.select("conv_id", "turn", "start", "n_chars", F.md5("piece").alias("digest"))
+
+
+def conversation_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every conversation the last turns that fit a budget of characters."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    prompts = conversations.recent_prompts(conversations.render_conversations(turns), CONVERSATION_LIMIT)
+    return prompts.select("conv_id", "n_turns", "n_chars", F.md5("prompt").alias("digest"))
+
+
 def model_metadata(spark: SparkSession, sf: str) -> DataFrame:
     model, scheme, known = F.col("model_id"), F.col("scheme"), F.col("known_params")
     params, bits = ids.n_params(model, known), ids.bits_per_param(model, scheme)
@@ -480,6 +494,14 @@ def wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(significance.wilcoxon(_differences(spark, sf)))
 
 
+def wilcoxon_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The test within each part of the catalogue: few pairs each."""
+    rated = load(spark, sf, "ratings").withColumn("part", F.element_at(F.split("item_id", "-"), 3).cast("bigint"))
+    differences = significance.error_differences(rated, "expert", COMPARISONS, by=["part"])
+    tests = significance.wilcoxon(differences, by=["part", "comparison"], exact_upto=significance.EXACT_PAIRS)
+    return rounded(tests.where("comparison = 'model vs students'").select("part", "n", "w", "p_value", "method"))
+
+
 def paired_t(spark: SparkSession, sf: str) -> DataFrame:
     tests = significance.paired_t(_differences(spark, sf)).drop("bf10")
     return rounded(tests).withColumn("log_bf10", F.round("log_bf10", 3))
@@ -646,6 +668,8 @@ QUERIES = {
     "build_messages": build_messages_query,
     "render_prompt": render_prompt_query,
     "prompt_budget": prompt_budget,
+    "render_conversations": render_conversations,
+    "conversation_prompts": conversation_prompts,
     "reasoning_audit": reasoning_audit,
     "model_metadata": model_metadata,
     "generate_stub": generate_stub,
@@ -691,6 +715,7 @@ QUERIES = {
     "length_kde": length_kde,
     "icc3": icc3,
     "wilcoxon": wilcoxon,
+    "wilcoxon_exact": wilcoxon_exact,
     "paired_t": paired_t,
     "verdicts": verdicts,
     "spearman_errors": spearman_errors,

@@ -69,6 +69,20 @@ def _extract_mrs(tail: str) -> str:
     return ctes("generations") + _extraction("generations", "output_text", "mRS", 0, 6, "-1", tail)
 
 
+# Conversations: the prompt of each is cut by running lengths
+
+
+def _turns(no_thinking: str) -> str:
+    return f"""WITH said AS (
+      SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS ends FROM conversations),
+    pieces AS (
+      SELECT conv_id, turn, coalesce(sum(length(piece)) OVER (
+          PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+        piece || CASE WHEN ends THEN '<|im_start|>assistant' || chr(10) || replace('{no_thinking}', '\\n', chr(10)) ELSE '' END AS piece
+      FROM said)"""
+
+
 # Pooling: votes are counted one by one in run order
 
 
@@ -295,6 +309,13 @@ def statements() -> dict[str, str]:
       n_params, nbits, round(n_params * nbits / 8589934592.0::DOUBLE, 6) AS vram,
       round(CASE WHEN lower(model_id) LIKE '%fp8%' THEN 2 ELSE 1 END * (n_params * nbits / 8589934592.0::DOUBLE), 6)
         AS vram_corrected FROM parsed"""
+    out["render_conversations"] = _turns("<think>\\n\\n</think>\\n\\n") + """
+    SELECT conv_id, turn, start::BIGINT AS start, length(piece) AS n_chars, md5(piece) AS digest FROM pieces"""
+    out["conversation_prompts"] = _turns("") + f""", sizes AS (
+      SELECT *, max(start + length(piece)) OVER (PARTITION BY conv_id) AS size FROM pieces)
+    SELECT conv_id, count(*) FILTER (fits) AS n_turns, coalesce(sum(length(piece)) FILTER (fits), 0)::BIGINT AS n_chars,
+      md5(coalesce(string_agg(piece, '' ORDER BY start) FILTER (fits), '')) AS digest
+    FROM (SELECT *, start >= size - {catalog.CONVERSATION_LIMIT} AS fits FROM sizes) s GROUP BY conv_id"""
     out["generate_stub"] = f"""{ctes("letters")}
     SELECT row_id, run_idx::INTEGER AS run_idx, '{{"mRS": ' ||
       (('0x' || substr(md5(run_idx::VARCHAR || '-' || input_text), 1, 7))::BIGINT % 7)::VARCHAR || '}}' AS output_text,
@@ -453,6 +474,23 @@ def statements() -> dict[str, str]:
     out["wilcoxon"] = f"""{ctes("ratings")} {DIFFERENCES} {WILCOXON}
     SELECT comparison, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(w, 6) AS w, round(rbc, 6) AS rbc,
       round(z, 6) AS z, round(p_value, 6) AS p_value FROM zs JOIN normal USING (comparison)"""
+    out["wilcoxon_exact"] = f"""
+    WITH RECURSIVE {ctes("ratings")[5:]}, diffs AS (
+      SELECT split_part(item_id, '-', 3)::BIGINT AS part, abs(model - expert) - abs(students - expert) AS d FROM ratings),
+    pairs AS (
+      SELECT part, d, row_number() OVER (PARTITION BY part) AS k, count(*) OVER (PARTITION BY part) AS n,
+        2 * rank() OVER (PARTITION BY part ORDER BY abs(d)) + count(*) OVER (PARTITION BY part, abs(d)) - 1 AS twice
+      FROM diffs WHERE d <> 0),
+    totals AS (SELECT part, n, sum(twice) AS total,
+      least(sum(CASE WHEN d > 0 THEN twice ELSE 0 END), sum(CASE WHEN d < 0 THEN twice ELSE 0 END)) AS w2 FROM pairs GROUP BY part, n),
+    walk AS (
+      SELECT part, 0::BIGINT AS k, list_transform(range(total::BIGINT + 1), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ways
+      FROM totals
+      UNION ALL
+      SELECT part, p.k, list_transform(range(len(ways)), lambda s: ways[s + 1] + CASE WHEN s >= twice THEN ways[s - twice + 1] ELSE 0 END)
+      FROM walk w JOIN pairs p USING (part) WHERE p.k = w.k + 1)
+    SELECT part, n, w2 / 2 AS w, round(least(1, 2 * list_sum(ways[1:w2::BIGINT + 1]) / list_sum(ways)), 6) AS p_value, 'exact' AS method
+    FROM walk JOIN totals USING (part) WHERE k = n"""
     out["paired_t"] = f"""{ctes("ratings")} {DIFFERENCES} {PAIRED_T}
     SELECT comparison, n, round(mean_diff, 6) AS mean_diff, round(sd_diff, 6) AS sd_diff, round(t, 6) AS t,
       round(p_value, 6) AS p_value, round(log_bf10, 3) AS log_bf10

@@ -7,14 +7,15 @@ import pytest
 from tallywise.plans import catalog
 
 PYTHON_ALLOWED = {
-    "generate_stub", "benchmark_run", "custom_metric", "wilcoxon", "paired_t", "verdicts", "bootstrap_cells",
+    "generate_stub", "benchmark_run", "custom_metric", "wilcoxon", "wilcoxon_exact", "paired_t", "verdicts", "bootstrap_cells",
     "bootstrap_broad_classes", "bootstrap_halfwidth", "bootstrap_inter_rater", "rater_report", "lme_fit",
     "bootstrap_cells_estimates", "bootstrap_inter_rater_estimates", "rater_report_estimates",
 }
 # these build their input by running jobs before they return a plan
 EAGER = {"stream_extract", "resumable_run", "salvage_csv", "scan_letters", "encrypt_roundtrip", "write_read_results",
          "metrics_json_roundtrip", "pool_run_files", "prepare_letters", "benchmark_run", "rescore_results",
-         "salvaged_lines", "benchmark_resumed", "benchmark_log", "resume_attempts", "resume_batches"}
+         "salvaged_lines", "benchmark_resumed", "benchmark_log", "resume_attempts", "resume_batches",
+         "render_conversations", "conversation_prompts"}
 
 
 def plan_of(df) -> str:

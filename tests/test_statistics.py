@@ -1,5 +1,6 @@
 """Statistics against direct computation on single rows and against published values."""
 
+import itertools
 import math
 import random
 
@@ -260,3 +261,41 @@ def test_user_metric_sees_cells(table, frame):
     counted = agreement.rater_cells(table, "expert", RATERS)
     got = {r.rater: r.worst for r in scoring.cell_metric(counted, {"worst": lambda y, p, n: abs(y - p).max()}).collect()}
     assert got == {r: float((frame[r] - frame["expert"]).abs().max()) for r in RATERS}
+
+
+def test_exact_signed_rank_counts_all_signs(spark):
+    """Few pairs: every way to give the ranks signs; more pairs: the normal approximation as before."""
+    draw = random.Random(4)
+    groups = {g: [draw.choice([-3, -2, -1, 0, 1, 2, 3, 4]) for _ in range(n)] for g, n in enumerate([1, 2, 5, 8, 11, 12, 40])}
+    groups[7], groups[8] = [0, 0], [5, 7, 9, -1, -2]
+    rows = [(g, d, ds.count(d)) for g, ds in groups.items() for d in set(ds)]
+    differences = spark.createDataFrame(rows, "g int, d int, n long")
+    found = {r.g: r for r in significance.wilcoxon(differences, by=["g"], exact_upto=12).collect()}
+    plain = {r.g: r for r in significance.wilcoxon(differences, by=["g"]).collect()}
+    for g, ds in groups.items():
+        used = [d for d in ds if d]
+        if not used:
+            assert g not in found
+            continue
+        if len(used) > 12:
+            assert found[g].method == "normal" and found[g].p_value == plain[g].p_value
+            continue
+        ranks = [sum(abs(x) < abs(d) for x in used) + (sum(abs(x) == abs(d) for x in used) + 1) / 2 for d in used]
+        w = min(sum(r for r, d in zip(ranks, used) if d > 0), sum(r for r, d in zip(ranks, used) if d < 0))
+        sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product([0, 1], repeat=len(ranks))]
+        assert found[g].method == "exact" and found[g].w == w
+        assert found[g].p_value == pytest.approx(min(1, 2 * sum(s <= w for s in sums) / len(sums)))
+    with pytest.raises(ValueError, match="at most"):
+        significance.wilcoxon(differences, by=["g"], exact_upto=51)
+
+
+def test_exact_signed_rank_of_fifty_pairs():
+    """Without ties the number of subsets with a sum follows the usual recursion, in whole numbers."""
+    from tallywise.functions.dists import signed_rank_two_sided
+
+    ways = [1]
+    for rank in range(1, 51):
+        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - rank] if s >= rank else 0) for s in range(len(ways) + rank)]
+    for w in (0, 100, 400, 600, 637):
+        exact = min(1, 2 * sum(ways[: w + 1]) / 2**50)
+        assert signed_rank_two_sided(w, [(2 * r, 1) for r in range(1, 51)]) == pytest.approx(exact, rel=1e-12)
