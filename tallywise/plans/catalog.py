@@ -143,6 +143,29 @@ def pool_run_files(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(run_files.pooled_results(files, family))
 
 
+def pool_run_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Pooled runs with the half-widths of their errors, which must be near those of a proportion and inside its range."""
+    path, keys = scratch_path(spark, "metrics"), ["model", "quant_scheme"]
+    counted = benchmark.pooled_cells(load(spark, sf, "model_votes"), RUNS, keys)
+    labels = F.create_map(*[F.lit(x) for pair in pooling.modes_for(RUNS) for x in pair])
+    cells = durable(counted.withColumn("mode_label", F.element_at(labels, F.col("mode"))).drop("mode"), "cells")
+    run_files.write_metrics(_run_metrics(spark, sf), path, keys, cells=cells)
+    files = run_files.read_metric_files(spark, path)
+    family = F.regexp_extract("model", r"lab/(\w+)-", 1)
+    pooled = run_files.pooled_results(files, family, intervals=True)
+    labelled = run_files.metric_cells(files, ["path"]).where("mode_label = 'single model' AND y >= 0")
+    n = labelled.groupBy("path").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]  # all runs are on the same letters
+    rows = []
+    for case in run_files.POOLED_CASES:
+        e, sides = F.col(f"error_{case}"), [F.col(f"error_{case}_err_{s}") for s in ("low", "high")]
+        draws = n * (RUNS if case == "all" else 1)
+        wide = 1.96 * F.sqrt(e * (1 - e) / draws)
+        near = [F.abs(s - wide) < 0.25 * wide + 1 / draws for s in sides]
+        rows.append(F.struct(F.lit(case).alias("case"), e.alias("error"), near[0].alias("low_near"), near[1].alias("high_near")))
+    found = pooled.select("model", "vram", F.inline(F.array(*rows)))
+    return rounded(found.where("error is not null"))
+
+
 def _damaged_csv(spark: SparkSession, sf: str) -> str:
     """Folders with one damaged file each; a task gives its files equal names."""
     path = scratch_path(spark, "damaged-csv")
@@ -659,6 +682,7 @@ QUERIES = {
     "write_read_results": write_read_results,
     "metrics_json_roundtrip": metrics_json_roundtrip,
     "pool_run_files": pool_run_files,
+    "pool_run_intervals": pool_run_intervals,
     "salvage_csv": salvage_csv,
     "salvaged_lines": salvaged_lines,
     "prepare_letters": prepare_letters,

@@ -239,6 +239,10 @@ def statements() -> dict[str, str]:
     FROM scored JOIN sizes USING (model, quant_scheme) GROUP BY model, vram, nparams, nbits
     UNION ALL SELECT DISTINCT split_part(substr(model, 5), '-', 1), 1.5 * {twice}, 9.5, 4.0 * {twice}, 0.5, 0.75,
       NULL, NULL, NULL, NULL, NULL, NULL, 200 * 4.0 * {twice} / 16 FROM sizes"""
+    out["pool_run_intervals"] = f"""{ctes("model_votes")}, scored AS ({mode_scores}), sizes AS ({_model_values()})
+    SELECT split_part(substr(model, 5), '-', 1) AS model, round(vram * {twice}, 6) AS vram, mode AS "case", error_rate AS error,
+      true AS low_near, true AS high_near
+    FROM scored JOIN sizes USING (model, quant_scheme) WHERE mode IN ('single', 'maj_5', 'maj_10', 'all')"""
     states = f"""{ctes("csv_records")}, text_lines AS (
       SELECT file_no, conv_id, turn, record, unnest(string_split(record, chr(10))) AS line,
         unnest(range(len(string_split(record, chr(10))))) AS i FROM csv_records

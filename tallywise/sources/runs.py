@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywise.functions.model_ids import correct_fp8, result_scheme
+from tallywise.operators.bootstrap import bootstrap_halfwidth
 from tallywise.operators.indexing import dense_index
 from tallywise.sources.letters import write_csv
 
 _END_MARK = "__end__"
+_CELLS = "cells"  # the one key of a metric file that is no metric
 RUN_COLUMNS = ("backend", "guided", "model", "quant_scheme")
 
 # Metric names and units in metric files, and the cases that get pooled.
@@ -85,17 +87,30 @@ def metric_entries(by_mode: DataFrame, run_values: DataFrame, keys: Sequence[str
     )
 
 
-def write_metrics(entries: DataFrame, root: str, keys: Sequence[str], mode: str = "overwrite") -> None:
-    """One JSON document per run: ``{metric: {values: [value], unit}}``. A run has a handful of metrics."""
+def write_metrics(
+    entries: DataFrame, root: str, keys: Sequence[str], mode: str = "overwrite", cells: DataFrame | None = None
+) -> None:
+    """One JSON document per run: ``{metric: {values: [value], unit}}``. A run has a handful of metrics.
+
+    ``cells`` (``keys…, mode_label, y, p, n``: how often label ``y`` met prediction ``p``) go in as
+    ``cells: {mode_label: [[y, p, n]]}``. They take the place of arrays of labels and predictions: their number depends on
+    the labels and not on the data, and those of two files add up.
+    """
     body = F.struct(F.array("value").alias("values"), "unit")
     documents = entries.groupBy(*keys).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("metric"), body)))).alias("value")
     )
+    if cells is not None:
+        triple = F.array(*[F.col(c).cast("long") for c in ("y", "p", "n")])
+        modes = cells.groupBy(*keys, "mode_label").agg(F.array_sort(F.collect_list(triple)).alias("cells"))
+        held = modes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("mode_label", "cells"))).alias("cells"))
+        both = F.concat(F.substr("value", F.lit(1), F.length("value") - 1), F.lit(f',"{_CELLS}":'), F.to_json("cells"), F.lit("}"))
+        documents = documents.join(held, list(keys), "left").select(*keys, F.coalesce(both, "value").alias("value"))
     documents.write.mode(mode).partitionBy(*keys).text(root)
 
 
 def read_metric_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, keys…, metrics)``: one row per file; ``metrics`` is null for a damaged file.
+    """``(path, keys…, metrics, cells)``: one row per file; ``metrics`` and ``cells`` are null for a damaged file.
 
     A file is one JSON object and nothing after it. The parser stops after the first value, so the text is put into an
     array in front of an end mark: whatever follows the object breaks the array. NaN counts as a number.
@@ -105,8 +120,19 @@ def read_metric_files(spark: SparkSession, root: str) -> DataFrame:
     parsed = F.from_json(wrapped, "array<map<string,struct<values:array<string>,unit:string>>>")
     marked = F.try_element_at(F.get(parsed, F.lit(1)), F.lit(_END_MARK))["unit"] == "1"
     readable = F.when((F.size(parsed) == 2) & marked, F.get(parsed, F.lit(0)))
+    metrics = F.map_filter(readable, lambda name, _: name != _CELLS)
+    counted = F.from_json("value", f"struct<{_CELLS}:map<string,array<array<bigint>>>>")[_CELLS]
     keys = [c for c in files.columns if c != "value"]
-    return files.select(F.col("_metadata.file_path").alias("path"), *keys, readable.alias("metrics"))
+    rows = files.select(F.col("_metadata.file_path").alias("path"), *keys, metrics.alias("metrics"), counted.alias("cells"))
+    return rows.withColumn("cells", F.when(F.col("metrics").isNotNull(), F.col("cells")))
+
+
+def metric_cells(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tidy ``(keys…, mode_label, y, p, n)`` of the files' cells; cells of files with equal keys are added up."""
+    rows = files.select(*keys, F.explode("cells").alias("mode_label", "triples"))
+    rows = rows.select(*keys, "mode_label", F.explode("triples").alias("t"))
+    parts = [F.get("t", F.lit(i)).alias(name) for i, name in enumerate(("y", "p", "n"))]
+    return rows.select(*keys, "mode_label", *parts).groupBy(*keys, "mode_label", "y", "p").agg(F.sum("n").alias("n"))
 
 
 def damaged_files(files: DataFrame) -> DataFrame:
@@ -128,12 +154,22 @@ def flatten_metrics(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pooled_results(
-    files: DataFrame, group: Column, target: str = "error", main_x: str = "vram", cases=POOLED_CASES
+    files: DataFrame,
+    group: Column,
+    target: str = "error",
+    main_x: str = "vram",
+    cases=POOLED_CASES,
+    intervals: bool = False,
+    replicates: int = 1000,
 ) -> DataFrame:
     """One row per ``(model, vram, nparams, nbits)`` with error and distance of every case.
 
     A case counts where the run has both ``main_x`` and the target. Rows with a missing key vanish. Of several runs with
     equal keys each column takes the value of the first one, by path, that has it.
+
+    With ``intervals`` every value has ``…_err_low`` and ``…_err_high`` beside it: the distances of its 95% bootstrap
+    interval, drawn from the cells in the file that the value came from. They are 0 where that file has no cells with
+    labels, and null where there is no value.
     """
     metrics = F.col("metrics")
     base = files.where(metrics.isNotNull()).select(
@@ -155,9 +191,38 @@ def pooled_results(
         for column in (f"error_{case}", f"distance_{case}"):
             there = usable & F.col(column).isNotNull()
             picked.append(F.min_by(column, F.when(there, F.col("path"))).alias(column))
+            if intervals:
+                picked.append(F.min(F.when(there, F.col("path"))).alias(f"{column}_path"))
     any_case = F.exists(F.array(*[F.col(f"{target}_{c}").isNotNull() for c in cases]), lambda x: x)
     rows = base.na.drop("any", subset=keys).where(any_case & F.col(main_x).isNotNull())
-    return rows.groupBy(*keys).agg(*picked).withColumn("marker_size", 200 * F.col("nbits") / 16)
+    pooled = rows.groupBy(*keys).agg(*picked).withColumn("marker_size", 200 * F.col("nbits") / 16)
+    return _with_intervals(pooled, files, keys, cases, replicates) if intervals else pooled
+
+
+def _with_intervals(pooled: DataFrame, files: DataFrame, keys: list[str], cases, replicates: int) -> DataFrame:
+    """Half-widths beside the values. Cells are drawn from only where a value came from; a file has a few dozen of them."""
+    values = [(case, short, f"{short}_{case}") for case in cases for short in ("error", "distance")]
+    asked = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(cases[case]).alias("mode_label"), F.lit(short).alias("metric"), F.col(f"{c}_path").alias("path"))
+        for case, short, c in values
+    ])
+    asked = pooled.select(*keys, F.inline(asked)).where(F.col("path").isNotNull())
+    cells = metric_cells(files.where(F.col("cells").isNotNull()), ["path"])
+    chosen = asked.join(cells, ["path", "mode_label"]).select("column", "metric", *keys, "y", "p", "n")
+    by = [*keys, "column"]
+    found = [
+        bootstrap_halfwidth(chosen.where(F.col("metric") == metric), metric, by, replicates) for metric in ("error", "distance")
+    ]
+    sides = [
+        F.max(F.when(F.col("column") == c, F.col(side))).alias(f"{c}_{side}") for _, _, c in values for side in ("err_low", "err_high")
+    ]
+    wide = found[0].unionByName(found[1]).groupBy(*keys).agg(*sides)
+    beside = {
+        f"{c}_{side}": F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_{side}", F.lit(0.0)))
+        for _, _, c in values
+        for side in ("err_low", "err_high")
+    }
+    return pooled.join(wide, keys, "left").withColumns(beside).drop(*[f"{c}_path" for _, _, c in values])
 
 
 def prediction_columns(

@@ -213,3 +213,32 @@ def test_durable_compares_counts_and_release_deletes(spark, monkeypatch, tmp_pat
     monkeypatch.undo()
     spark._tallywise_paths = [kept.inputFiles()[0].rpartition("/")[0]]
     assert scratch.release(spark) == 1
+
+
+def test_half_widths_come_from_the_file_of_the_value(spark, tmp_path):
+    """Cells of the first run by path; none without labels or cells; no value, no half-width. Cells of two files add up."""
+
+    def metric_file(name, error, cells):
+        sizes = '"VRAM param usage": {"values": [1.5]}, "Number of params": {"values": [9.5]}, "Bits/param": {"values": [4]}'
+        scores = f'"Error Rate\\n(single model)": {{"values": [{error}]}}, "Distance\\n(single model)": {{"values": [NaN]}}'
+        held = f', "cells": {{"single model": {cells}}}' if cells else ""
+        (tmp_path / name).write_text(f"{{{sizes}, {scores}{held}}}")
+
+    metric_file("a-0", "NaN", "[[1, 1, 1000]]")
+    metric_file("a-1", "0.5", "[[0, 1, 50], [1, 1, 50], [-1, 1, 700]]")
+    metric_file("a-2", "0.9", "[[0, 1, 5]]")
+    metric_file("b-1", "0.5", "")
+    metric_file("c-1", "0.5", "[[-1, 1, 9]]")
+    metric_file("d-1", "0.5", "[[0, 1, 50], ")
+    files = runs.read_metric_files(spark, str(tmp_path))
+    assert "cells" not in {r.metric for r in runs.flatten_metrics(files, ["path"]).collect()}
+    letter = F.regexp_extract("path", r"/(\w)-\d$", 1)
+    rows = {r.model: r for r in runs.pooled_results(files, letter, intervals=True).collect()}
+    plain = {r.model: r for r in runs.pooled_results(files, letter).collect()}
+    assert set(rows) == set(plain) == {"a", "b", "c"}
+    assert all(rows[m][c] == plain[m][c] for m in rows for c in ("error_single", "distance_single", "marker_size"))
+    assert 0.07 < rows["a"].error_single_err_low < 0.13 and 0.07 < rows["a"].error_single_err_high < 0.13
+    assert (rows["b"].error_single_err_low, rows["c"].error_single_err_high) == (0.0, 0.0)
+    assert rows["a"].distance_single_err_low is None and rows["a"].error_all_err_low is None
+    added = runs.metric_cells(files.withColumn("k", F.lit(1)), ["k"])
+    assert {(r.y, r.p): r.n for r in added.collect()} == {(1, 1): 1050, (0, 1): 55, (-1, 1): 709}
