@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from tallywise.llm.batches import kept_by_worker, with_computed
 
 _STATES = 1 << 17  # determinised states that a task remembers
-_PAIRS = 1 << 21  # judged token pairs
-_PIECES = 1 << 18  # encoded pieces
+_PAIRS, _RANK_BITS = 1 << 19, 32  # judged token pairs, each as one number
+_PIECES, _LONGEST = 1 << 18, 64  # encoded pieces, and the characters of the longest one that is remembered
 _WAYS, _REST = -1, -2
 _STREAM = 1 << 16  # ids that the decoder takes at a time
 
@@ -56,7 +56,7 @@ class Transducer:
                     self.children.append({})
                     self.token.append(-1)
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -91,20 +91,22 @@ class Transducer:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens apart: undo their merges, the latest first, and look at the border."""
-        pair = (left, right)
-        if pair not in self.pairs:
+        pair = left << _RANK_BITS | right
+        apart = self.pairs.get(pair)
+        if apart is None:
             if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
-            self.pairs[pair] = self._apart(left, right)
-        return self.pairs[pair]
+            self.pairs[pair] = apart = self._apart(left, right)
+        return apart
 
     def _apart(self, left: int, right: int) -> bool:
         before = float("inf")  # a merge of lower rank than this would have crossed the border first
+        ranks, spelling, halves = self.ranks, self.spelling, self.halves
         while True:
-            across = self.ranks.get(self.spelling[left] + self.spelling[right])
+            across = ranks.get(spelling[left] + spelling[right])
             if across is not None and across < before:
                 return False
-            inner_left, inner_right = self._halves(left), self._halves(right)
+            inner_left, inner_right = halves.get(left), halves.get(right)  # bytes have none
             if inner_left and (left > right or not inner_right):
                 before, left = left, inner_left[1]
             elif inner_right:
@@ -116,36 +118,50 @@ class Transducer:
         ways, ended = [], None  # ways in the order in which their last token began
         children, tokens, pairs = self.children, self.token, self.pairs
         for pending, last, node in state[_WAYS]:
-            node = children[node].get(byte, 0)
+            node = children[node].get(byte)
             if node:
+                if ended is None:
+                    rank = tokens[node]
+                    if rank >= 0:
+                        apart = True if last < 0 else pairs.get(last << _RANK_BITS | rank)
+                        if self.follows(last, rank) if apart is None else apart:
+                            ended = ((*pending, rank), rank, 0)
                 if children[node]:
                     ways.append((pending, last, node))
-                rank = tokens[node]
-                if rank >= 0 and ended is None:
-                    apart = last < 0 or pairs.get((last, rank))
-                    if self.follows(last, rank) if apart is None else apart:
-                        ended = ((*pending, rank), rank, 0)
         ways.append(ended)
-        first = ways[0][0]  # the way that began first has the fewest ids to write
-        agreed = len(first)
-        while any(w[0][:agreed] != first[:agreed] for w in ways):
-            agreed -= 1
-        if agreed:
-            ways = [(pending[agreed:], last, node) for pending, last, node in ways]
+        due = ways[0][0]  # the way that began first has the fewest ids to write
+        for pending, _, _ in ways[1:] if due else ():
+            agreed = 0
+            while agreed < len(due) and due[agreed] == pending[agreed]:
+                agreed += 1
+            due = due[:agreed]
+        if due:
+            ways = [(pending[len(due) :], last, node) for pending, last, node in ways]
         if len(self.states) >= _STATES:
             self._forget()
-        state[byte] = (self._state(tuple(ways)), first[:agreed])
-        return state[byte]
+        state[byte] = found = (self._state(tuple(ways)), due)
+        return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if piece in self.whole:
             return (self.whole[piece],)
         state, written = self.begin, ()
-        for byte in piece:
+        for byte in piece[:-1]:
             state, out = state.get(byte) or self._step(state, byte)
             if out:
                 written += out
-        return written + state[_REST]
+        return written + (self._end(state, piece[-1]) if piece else ())
+
+    def _end(self, state: dict, byte: int) -> tuple[int, ...]:
+        """Ids due when the input ends with this byte; the state after it is not made for that."""
+        if byte in state:
+            state, out = state[byte]
+            return out + state[_REST]
+        for pending, last, node in state[_WAYS]:
+            rank = self.token[self.children[node].get(byte, 0)]
+            if rank >= 0 and (last < 0 or self.follows(last, rank)):
+                return (*pending, rank)
+        raise ValueError("the vocabulary lacks a byte")
 
 
 class Encoder(dict):
@@ -162,8 +178,9 @@ class Encoder(dict):
         if len(self) >= _PIECES:  # what was met since the last time stays at hand
             self.older = dict(self)
             self.clear()
-        ids = self.older.get(piece)
-        self[piece] = ids = ids or self.transducer.encode(piece.encode("utf-8"))
+        ids = self.older.get(piece) or self.transducer.encode(piece.encode("utf-8"))
+        if len(piece) <= _LONGEST:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
