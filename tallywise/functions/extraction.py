@@ -10,20 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.functions.json5 import MARK, to_json
 from tallywise.functions.schemas import Field, get_schema, struct_type
 from tallywise.functions.text import SPACE, is_blank, strip
 
 STAGES = ("empty", "direct", "isolated", "lenient", "repaired", "field_regex", "default")
 
 _STRICT = {"allowSingleQuotes": "false"}
-_LENIENT = {
-    "allowSingleQuotes": "true",
-    "allowUnquotedFieldNames": "true",
-    "allowComments": "true",
-    "allowBackslashEscapingAnyCharacter": "true",
-}
 _END_MARK = "__end__"
-_HEX_MARK = "\ue000hex:"  # a private character: no answer has it
 
 
 def _wrapped(text: Column) -> Column:
@@ -35,13 +29,13 @@ def _wrapped(text: Column) -> Column:
     return F.concat(F.lit("["), text, F.lit('\n,{"%s":"1"}]' % _END_MARK))
 
 
-def _one_object(text: Column, fields, options: dict[str, str]) -> Column:
+def _one_object(text: Column, fields) -> Column:
     """The named fields (the last of equal keys) if ``text`` is exactly one JSON object, else null.
 
     Fields are variants: the parser tells a string from a number or a flag, and an explicit null from an absent field.
     """
     members = ",".join([*(f"`{f.name}`:variant" for f in fields), f"`{_END_MARK}`:string"])
-    parsed = F.from_json(_wrapped(text), f"array<struct<{members}>>", options)
+    parsed = F.from_json(_wrapped(text), f"array<struct<{members}>>", _STRICT)
     return F.when((F.size(parsed) == 2) & (F.get(parsed, F.lit(1))[_END_MARK] == "1"), F.get(parsed, F.lit(0)))
 
 
@@ -61,24 +55,20 @@ def _may_be_strict(text: Column) -> Column:
     return text.rlike(r'^\s*\{\s*["}]') & text.rlike(r"\}\s*$") & ~text.rlike(r",\s*\}\s*$")
 
 
-def _has_key(text: Column, name: str, options: dict[str, str]) -> Column:
+def _has_key(text: Column, name: str) -> Column:
     """Whether the object in ``text`` has the key at all: a value that can't be a variant (an object that names a key twice)
     looks like an absent field."""
-    parsed = F.from_json(_wrapped(text), "array<map<string,string>>", options)
+    parsed = F.from_json(_wrapped(text), "array<map<string,string>>", _STRICT)
     return F.map_contains_key(F.get(parsed, F.lit(0)), name)
 
 
 def _to_float(value: Column) -> Column:
     trimmed = strip(value)
-    return F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed.try_cast("double")).when(
-        trimmed.startswith(_HEX_MARK), _hex_digits(trimmed).try_cast("double")
-    )
-
-
-def _hex_digits(marked: Column) -> Column:
-    """Decimal digits of a marked hex number of any length; null if it has more than 64 bits."""
-    digits = F.regexp_replace(marked, f"^{_HEX_MARK}0*(?=.)", "")
-    return F.when(F.length(digits) <= 16, F.conv(digits, 16, 10))
+    named = {f"{MARK}{name}": number for name, number in (("Infinity", "inf"), ("-Infinity", "-inf"), ("NaN", "nan"), ("-NaN", "nan"))}
+    found = F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed.try_cast("double"))
+    for text, number in named.items():
+        found = found.when(trimmed == text, F.lit(float(number)))
+    return found
 
 
 def _whole(number: Column) -> Column:
@@ -92,7 +82,6 @@ def _to_int(value: Column) -> Column:
     return (
         F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("bigint"))
         .when(trimmed.rlike(r"^[+-]?\d+\.0+$"), _whole(trimmed))
-        .when(trimmed.startswith(_HEX_MARK), _hex_digits(trimmed).try_cast("bigint"))
     )
 
 
@@ -113,14 +102,14 @@ def _coerce(field: Field, told: Column) -> Column:
     if field.kind in ("int", "float"):
         return _number(field.kind, told)
     if field.kind == "list[string]":
-        only_strings = F.forall(told, lambda item: item["kind"] == "STRING")
+        only_strings = F.forall(told, lambda item: (item["kind"] == "STRING") & ~item["text"].startswith(MARK))
         return F.when(only_strings, F.transform(told, lambda item: item["text"]))
     if field.kind.startswith("list"):
         items = F.transform(told, lambda item: _number(field.kind[5:-1], item))
         return F.when(F.forall(items, lambda x: x.isNotNull()), items)
     json_type, text = told["kind"], told["text"]
     if field.kind == "string":
-        return F.when(json_type == "STRING", text)
+        return F.when((json_type == "STRING") & ~text.startswith(MARK), text)
     lowered = F.lower(text)
     numeric = F.when(json_type.rlike("^(BIGINT|DECIMAL|DOUBLE)"), text.try_cast("double"))
     return (
@@ -131,7 +120,7 @@ def _coerce(field: Field, told: Column) -> Column:
     )
 
 
-def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, lenient: bool) -> DataFrame:
+def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields) -> DataFrame:
     """Add column ``out``: the record parsed from ``text`` for rows with ``when``, null if any field is refused.
 
     ``{out}_seen`` tells whether the text was one JSON object at all.
@@ -139,10 +128,9 @@ def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, le
     Each intermediate is a column of its own: the optimizer keeps a projection whose results are used several times, so
     nothing is parsed twice.
     """
-    options = _LENIENT if lenient else _STRICT
     source, given, told, typed = (f"{out}_{part}" for part in ("text", "given", "told", "typed"))
     df = df.withColumn(source, F.when(when, text))
-    df = df.withColumn(given, _one_object(F.col(source), fields, options))
+    df = df.withColumn(given, _one_object(F.col(source), fields))
 
     described = F.struct(*[_told(F.col(given)[f.name], f.kind).alias(f.name) for f in fields])
     df = df.withColumn(told, F.when(F.col(given).isNotNull(), described))
@@ -158,7 +146,7 @@ def _parse_stage(df: DataFrame, out: str, text: Column, when: Column, fields, le
         if field.required:
             absent = F.lit(False)
         else:
-            absent = F.when(missing, ~_has_key(F.col(source), field.name, options)).otherwise(False)
+            absent = F.when(missing, ~_has_key(F.col(source), field.name)).otherwise(False)
         accepted = accepted & F.when(missing, absent).otherwise(field.violation(value).isNull())
         values.append(F.when(missing, field.default_column()).otherwise(value).alias(field.name))
     record = F.struct(*values).cast(struct_type(fields))
@@ -180,30 +168,6 @@ def isolate_block(text: Column) -> Column:
     return F.when(text.contains("```") & (fenced != ""), fenced).otherwise(span)
 
 
-# A quoted string, or what stands between strings; a quote that opens nothing stands alone.
-_SEGMENT = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"']++|["']"""
-
-
-def relax(text: Column) -> Column:
-    """Rewrite the JSON5 forms that no parser option covers: trailing commas, ``+3``, ``.5``, ``5.`` and hex numbers.
-
-    Quoted strings stay as they are.
-    """
-
-    def rewrite(part: Column) -> Column:
-        part = F.regexp_replace(part, r",\s*([}\]])", "$1")
-        part = F.regexp_replace(part, r":\s*\+(?=[\d.])", ":")
-        part = F.regexp_replace(part, r":\s*(-?)\.(?=\d)", ":$10.")
-        part = F.regexp_replace(part, r"(:\s*-?\d+)\.(?=\s*[,}\]])", "$1")
-        return F.regexp_replace(part, r":\s*0[xX]([0-9a-fA-F]+)", f':"{_HEX_MARK}$1"')
-
-    def part(segment: Column) -> Column:
-        quoted = segment.rlike(r"""(?s)^(".*"|'.*')$""")
-        return F.when(quoted, segment).otherwise(rewrite(segment))
-
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0)), part), "")
-
-
 def repair_truncated(text: Column) -> Column:
     """Append the closers that are missing at the end of cut-off JSON. Quotes are not looked at."""
     text = strip(text)
@@ -289,22 +253,22 @@ def extract_structured(
     out = df.withColumn("_empty", is_blank(raw))
     stripped = strip(raw)
     direct_when = ~F.col("_empty") & _may_be_strict(stripped)
-    out = _parse_stage(out, "_direct", stripped, direct_when, fields, lenient=False)
+    out = _parse_stage(out, "_direct", stripped, direct_when, fields)
     out = out.withColumn("_block", F.when(~F.col("_empty") & open_after("_direct"), isolate_block(raw)))
     block = F.col("_block")
     # a block that is the whole answer was parsed already
     isolated_when = _may_be_strict(block) & (block != stripped)
-    out = _parse_stage(out, "_isolated", block, isolated_when, fields, lenient=False)
+    out = _parse_stage(out, "_isolated", block, isolated_when, fields)
     # a block that is sound JSON but breaks a rule breaks it in every later parse too: on to the field patterns
     sound = F.when(block == stripped, F.col("_direct_seen")).otherwise(F.col("_isolated_seen"))
     is_object = open_after("_direct", "_isolated") & strip(block).startswith("{") & ~sound
     lenient_when = is_object & strip(block).endswith("}")
-    out = _parse_stage(out, "_lenient", relax(block), lenient_when, fields, lenient=True)
+    out = _parse_stage(out, "_lenient", to_json(block), lenient_when, fields)
     still_open = is_object & open_after("_lenient") & ~F.col("_lenient_seen")
     out = out.withColumn("_closed", F.when(still_open, repair_truncated(block)))
     # with nothing to add, the block would fail as it did before
     closed = F.col("_closed")
-    out = _parse_stage(out, "_repaired", closed, (closed != strip(block)) & _may_be_strict(closed), fields, lenient=False)
+    out = _parse_stage(out, "_repaired", closed, (closed != strip(block)) & _may_be_strict(closed), fields)
     unparsed = ~F.col("_empty") & open_after(*stages)
     found = F.struct(*[field_from_text(f, block).alias(f.name) for f in fields])
     out = out.withColumn("_fields", F.when(unparsed, found))

@@ -55,6 +55,11 @@ LIST_FIELDS = (
     Field("price", "float", default=0.0),
     Field("stock", "bool", default=False),
 )
+JSON5_FIELDS = (
+    Field("mRS", "int", default=-1, ge=0, le=6),
+    Field("ratio", "float", default=0.0),
+    Field("note", "string", default=""),
+)
 EVENT_FIELDS = (*get_schema("ClinicalEventDate"), Field("score", "int", ge=0, le=6))
 ONE_LABEL_SAMPLE = 20
 PROMPT_LIMIT = {"max_new_tokens": 1024, "max_context": 1400}
@@ -291,6 +296,12 @@ def extract_hostile(spark: SparkSession, sf: str) -> DataFrame:
     return extracted.select("row_id", "run_idx", F.col("record.mRS").alias("mRS"), "status")
 
 
+def extract_json5(spark: SparkSession, sf: str) -> DataFrame:
+    extracted = extract_structured(load(spark, sf, "json5"), schema=JSON5_FIELDS)
+    r = F.col("record")
+    return extracted.select("row_id", "run_idx", r["mRS"].alias("mRS"), r["ratio"].alias("ratio"), r["note"].alias("note"), "status")
+
+
 def extract_repair(spark: SparkSession, sf: str) -> DataFrame:
     cut = load(spark, sf, "truncated")
     return cut.select("row_id", "run_idx", repair_truncated(F.col("output_text")).alias("repaired"))
@@ -699,6 +710,7 @@ QUERIES = {
     "generate_stub": generate_stub,
     "extract_structured": extract_query,
     "extract_hostile": extract_hostile,
+    "extract_json5": extract_json5,
     "extract_repair": extract_repair,
     "extract_list_fields": extract_list_fields,
     "extraction_status": extraction_status,

@@ -40,6 +40,10 @@ class Dialect:
     def newline(self) -> str:
         return "char(10)" if self.spark else "chr(10)"
 
+    @property
+    def backslash(self) -> str:
+        return "char(92)" if self.spark else "chr(92)"
+
 
 def clamp(expr: str) -> str:
     return f"cast(least(6, greatest(0, {expr})) as int)"
@@ -100,8 +104,11 @@ def _rendered(d: Dialect, shape_text: str) -> str:
         for k, part in enumerate(line.split("#")):
             if k:
                 pieces.append("cast(pred as string)")
-            if part:
-                pieces.append("'" + part.replace("'", "''" if not d.spark else "\\'") + "'")
+            for b, plain in enumerate(part.split("\\")):
+                if b:
+                    pieces.append(d.backslash)
+                if plain:
+                    pieces.append("'" + plain.replace("'", "''" if not d.spark else "\\'") + "'")
     return "concat(" + ", ".join(pieces) + ")"
 
 
@@ -142,6 +149,37 @@ def hostile(d: Dialect) -> str:
     FROM (SELECT *, cast({shape} as int) AS shape FROM ({votes(d)}) v WHERE pred >= 0) s"""
 
 
+# The forms of JSON5: text (``\n`` is a line break), then score (None: the prediction), ratio and note, as SQL.
+JSON5_SHAPES = (
+    ("{mRS: #, ratio: Infinity}", None, "'inf'", "''"),
+    ("{mRS: #, ratio: -Infinity, note: 'Infinity'}", None, "'-inf'", "'Infinity'"),
+    ("{mRS: Infinity, ratio: 1}", "-1", "0", "''"),
+    ("{mRS: #, note: '\\x41\\u0042\\'s \\a'}", None, "0", "'AB''s a'"),
+    ("{mRS: #, note: 'two\\\\nlines'}", None, "0", "'twolines'"),
+    ("{mRS: #, note: \"a\\vb\\\\x41\"}", None, "0", "'a' || chr(11) || 'b' || chr(92) || 'x41'"),
+    ("{mRS: #, n\u00f6te: 1, \u00f1and\u00fa: 2, $_: 3, \\u006eote: 'k'}", None, "0", "'k'"),
+    ("{// first\\n mRS: /* one, } two */ #, note: 'a // b',}", None, "0", "'a // b'"),
+    ("{mRS: +#, ratio: .5}", None, "0.5", "''"),
+    ("{'mRS': #., ratio: -.25e1}", None, "-2.5", "''"),
+    ("{mRS: 0x#, ratio: -0xA}", None, "-10", "''"),
+    ("{$a: [1, 2,], _b: {c: 'd',},\\n mRS: #,}", None, "0", "''"),
+    ("{mRS: #, note: 'say \"hi\", ok'}", None, "0", "'say \"hi\", ok'"),
+    ("{mRS: #, Infinity: 1, NaN: 2, true: 3, note: '\u00e9\\\u00e9'}", None, "0", "'\u00e9\u00e9'"),
+    ("{mRS: #, note: 'open}", None, None, None),
+    ("{mRS: # 1, note: 'x'}", None, None, None),
+)
+
+
+def json5(d: Dialect) -> str:
+    """Answers in every form of JSON5, and two that are none, one shape per vote."""
+    key = "cast(row_id as string) || '-' || cast(run_idx as string)"
+    shape = f"{d.h(chr(39) + 'j-' + chr(39) + ' || ' + key)} % {len(JSON5_SHAPES)}"
+    cases = " ".join(f"WHEN {i} THEN {_rendered(d, s[0])}" for i, s in enumerate(JSON5_SHAPES))
+    return f"""
+    SELECT row_id, run_idx, pred, shape, CASE shape {cases} END AS output_text
+    FROM (SELECT *, cast({shape} as int) AS shape FROM ({votes(d)}) v WHERE pred >= 0) s"""
+
+
 def null_votes(d: Dialect) -> str:
     """Votes of which some are missing."""
     key = "cast(row_id as string) || '-' || cast(run_idx as string)"
@@ -309,7 +347,7 @@ def event_records(d: Dialect) -> str:
 TABLES = {
     f.__name__: f
     for f in (
-        letters, raw_letters, votes, null_votes, generations, hostile, ratings, ratings_gap, rater_pairs, scored_runs, model_ids, model_votes,
+        letters, raw_letters, votes, null_votes, generations, hostile, json5, ratings, ratings_gap, rater_pairs, scored_runs, model_ids, model_votes,
         csv_records, chunk_log, truncated, listings, event_records,
     )
 }

@@ -7,7 +7,7 @@ definition where there is one: kappa from the weight matrix, ranks from sorted r
 from __future__ import annotations
 
 from tallywise.plans import catalog
-from tallywise.plans.fixtures import HOSTILE_SHAPES, MODELS, RUNS, ctes
+from tallywise.plans.fixtures import HOSTILE_SHAPES, JSON5_SHAPES, MODELS, RUNS, ctes
 
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -415,6 +415,14 @@ def statements() -> dict[str, str]:
     out["extract_hostile"] = f"""{ctes("hostile")}
     SELECT row_id, run_idx, (CASE shape {value} END)::BIGINT AS "mRS", CASE shape {status} END AS status FROM hostile"""
 
+    score = " ".join(f"WHEN {i} THEN {v or 'pred'}" for i, (_, v, r, _) in enumerate(JSON5_SHAPES) if r)
+    ratio = " ".join(f"WHEN {i} THEN {r}::DOUBLE" for i, (_, _, r, _) in enumerate(JSON5_SHAPES) if r)
+    note = " ".join(f"WHEN {i} THEN {n}" for i, (_, _, _, n) in enumerate(JSON5_SHAPES) if n)
+    loose = [str(i) for i, (_, v, r, _) in enumerate(JSON5_SHAPES) if v or not r]
+    out["extract_json5"] = f"""{ctes("json5")}
+    SELECT row_id, run_idx, (CASE shape {score} ELSE -1 END)::BIGINT AS "mRS", CASE shape {ratio} ELSE 0.0::DOUBLE END AS ratio,
+      CASE shape {note} ELSE '' END AS note, CASE WHEN shape IN ({", ".join(loose)}) THEN 'default' ELSE 'lenient' END AS status FROM json5"""
+
     out["rater_metrics"] = f"""{ctes("ratings")} {COUNTED} {_places("cells", "rater")}
     SELECT rater, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(avg((y = p)::INT), 6) AS exact_acc,
       round(avg((abs(y - p) <= 1)::INT), 6) AS tol1_acc, any_value(qwk) AS qwk

@@ -1,9 +1,12 @@
 """The cascade on literal answers: value, deciding stage and validity."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallywise.functions.extraction import extract_structured, isolate_block, predictions_wide, repair_truncated
+from tallywise.functions.json5 import MARK, to_json
 from tallywise.functions.schemas import Field, get_schema, json_schema, violations
 
 SCORES = [
@@ -245,3 +248,45 @@ def test_strings_keep_their_text_and_types(spark):
         (None, ["y"], "field_regex"),
         ("at: 0x1F .5", [], "lenient"),
     ]
+
+
+JSON5 = [
+    ("{a: 'b'}", {"a": "b"}),
+    ("{'a': \"it's\", b: 'say \"x\"'}", {"a": "it's", "b": 'say "x"'}),
+    (r"{a: '\x41\u00e9\'\"\\\/\b\f\n\r\t\v\0\q'}", {"a": "Aé'\"\\/\b\f\n\r\t\v\0q"}),
+    ("{a: 'x\\\ny\\\r\nz\\\u2028.'}", {"a": "xyz."}),
+    ("{a: 'tab\there \u2029 //no /*comment*/'}", {"a": "tab\there \u2029 //no /*comment*/"}),
+    ("// c\n{/**/a/* : */: // }\n1,/*,*/}", {"a": 1}),
+    ("{ünï: 1, $: 2, _x1: 3, \\u0061b: 4, a\u200db: 5, null: 6, Infinity: 7}", {"ünï": 1, "$": 2, "_x1": 3, "ab": 4, "a\u200db": 5, "null": 6, "Infinity": 7}),
+    ("[+1, -2, .5, 5., -.25e1, +1E2, 5.e1, 0x1f, -0XA, 0x00000000000000000000F]", [1, -2, 0.5, 5, -2.5, 100.0, 50.0, 31, -10, 15]),
+    ("[Infinity, -Infinity, NaN, +Infinity]", [MARK + "Infinity", MARK + "-Infinity", MARK + "NaN", MARK + "Infinity"]),
+    ("[0xFFFFFFFFFFFFFFFFFF]", [MARK]),
+    ("[true, false, null, [], {}, '',]", [True, False, None, [], {}, ""]),
+    ("\ufeff{a:\f{b: [1,],},}", {"a": {"b": [1]}}),
+]
+NO_JSON5 = ["{a: 'open}", "{a: 1 2}", "{a b: 1}", "[1abc]", "{a: 'x\ny'}", "{a: '\\xZZ'}", "[,]", "{a: /* open }", "{1a: 2}", "[Infinit]", "[1,,]", "['\\u12']"]
+
+
+def test_json5_becomes_json(spark):
+    rows = [(i, t) for i, t in enumerate([t for t, _ in JSON5] + NO_JSON5)]
+    found = spark.createDataFrame(rows, "i int, t string").repartition(3).select("i", to_json(F.col("t")).alias("j")).collect()
+    found = {r.i: r.j for r in found}
+    for i, (text, value) in enumerate(JSON5):
+        assert json.loads(found[i]) == value, text
+    for i, text in enumerate(NO_JSON5, len(JSON5)):
+        with pytest.raises(ValueError):
+            print(text, json.loads(found[i]))
+
+
+def test_long_json5_does_not_recurse(spark):
+    text = "{a: '" + "\\'x\"" * 50_000 + "', /*" + "*" * 50_000 + "*/ b: [" + "+1, " * 20_000 + "]}"
+    (row,) = spark.createDataFrame([(text,)], "t string").select(to_json(F.col("t")).alias("j")).collect()
+    assert json.loads(row.j) == {"a": "'x\"" * 50_000, "b": [1] * 20_000}
+
+
+def test_marks_are_no_text(spark):
+    fields = (Field("a", "string", default="none"), Field("x", "float", default=0.0), Field("s", "list[string]", default=()))
+    rows = [("{a: Infinity, x: 1}",), ("{a: 'k', x: -Infinity}",), ("{a: 'k', s: ['b', NaN]}",), ("{a: 'k', x: NaN}",)]
+    out = extract_structured(spark.createDataFrame(rows, "t string").coalesce(1), "t", fields).collect()
+    assert [r.status for r in out] == ["default", "lenient", "default", "lenient"]
+    assert out[1].record.x == float("-inf") and out[3].record.x != out[3].record.x
