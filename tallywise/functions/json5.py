@@ -58,17 +58,18 @@ def to_json(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     tokens = F.filter(tokens, lambda t: ~t.rlike(rf"^(?:{_COMMENT}|[\s\ufeff]+)$"))
 
-    def put_right(pair: Column) -> Column:
-        token, after = pair["token"], pair["after"]
-        name = token.rlike(rf"^{_NAME}$")
-        return (
-            F.when(token.rlike(r"""^["'].""") & (F.length(token) > 1), _string(token))
-            .when(name & (after == ":"), F.concat(F.lit('"'), token, F.lit('"')))
-            .when((token == ",") & after.isin("}", "]"), F.lit(""))
-            .when(token.rlike(rf"^{_NUMBER}$"), _number(token))
-            .otherwise(token)
-        )
+    def joined(tokens: Column) -> Column:
+        def put_right(token: Column, i: Column) -> Column:
+            before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
+            return (
+                F.when(token.rlike(r"""^["'].""") & (F.length(token) > 1), _string(token))
+                .when(token.rlike(rf"^{_NAME}$") & (after == ":"), F.concat(F.lit('"'), token, F.lit('"')))
+                .when((token == ",") & after.isin("}", "]") & ~before.isin("{", "[", ",", ":"), F.lit(""))
+                .when(token.rlike(rf"^{_NUMBER}$"), _number(token))
+                .otherwise(token)
+            )
 
-    following = F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), F.array(F.lit("")))
-    pairs = F.zip_with(tokens, following, lambda t, n: F.struct(t.alias("token"), n.alias("after")))
-    return F.array_join(F.transform(pairs, put_right), " ")
+        return F.array_join(F.transform(tokens, put_right), " ")
+
+    # as the item of an array the tokens are cut once, however often they are looked at
+    return F.get(F.transform(F.array(tokens), joined), F.lit(0))
