@@ -15,11 +15,13 @@ from tallywise.functions.prompts import PromptConfig, build_messages, fit_prompt
 from tallywise.functions.schemas import Field, get_schema, violations
 from tallywise.operators import agreement, bootstrap, conversations, lengths, mixed, pooling, prepare, scoring, significance
 from tallywise.operators.generate import backend, generate
+from tallywise.operators.indexing import dense_index
 from tallywise.operators.scratch import durable, scratch_path
 from tallywise.plans import benchmark
 from tallywise.plans.fixtures import MODELS, RUNS, load
 from tallywise.sources import letters as letter_files
 from tallywise.sources import runs as run_files
+from tallywise.sources.arrays import read_arrays, write_arrays
 from tallywise.sources.salvage import salvage_report, write_salvaged
 from tallywise.streaming.resume import finished_rows, pending, run_resumable, stream_extract
 
@@ -376,6 +378,16 @@ def _plain(name: str) -> str:
     return name.replace("lab/", "").replace("-", "_").lower()
 
 
+def prediction_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Pooled predictions as arrays of one document, by position in the order of the letters, and back to rows."""
+    path = scratch_path(spark, "arrays")
+    places = dense_index(load(spark, sf, "letters").select("row_id"), ["row_id"], "position")
+    pooled = pooling.pooled_long(load(spark, sf, "votes"), RUNS, ["row_id"]).where(F.col("mode") != "all")
+    write_arrays(pooled.join(places, "row_id"), path, "y_pred", "mode", "position", "pred")
+    back = read_arrays(spark, path, "y_pred").join(places, "position")
+    return back.select("row_id", F.col("array").alias("mode"), F.col("value").cast("int").alias("pred"))
+
+
 # Scores
 
 
@@ -725,6 +737,7 @@ QUERIES = {
     "pool_majority_10": pool_query("majority", 10),
     "consensus_table": consensus_table,
     "attach_predictions": attach_predictions,
+    "prediction_arrays": prediction_arrays,
     "error_distance": error_distance,
     "metrics_by_mode": metrics_by_mode,
     "error_distance_null_votes": error_distance_null_votes,

@@ -540,6 +540,8 @@ def statements() -> dict[str, str]:
     {_places("cells", "model, quant_scheme")} {_agreement("cells", "model, quant_scheme")}"""
     out["lme_suffstats"] = _lme()
 
+    out["prediction_arrays"] = f"""{ctes("votes")}
+    SELECT row_id, mode, pred::INTEGER AS pred FROM ({_pooled_rows("votes", "row_id")}) p WHERE mode <> 'all'"""
     out["resume_pending"] = f"""{ctes("letters")} SELECT row_id, patient_id, md5(input_text) AS digest FROM letters
     WHERE input_text NOT IN (SELECT input_text FROM letters WHERE {label_mask})"""
     four = ("qwk", "mae", "exact_acc", "tol1_acc")

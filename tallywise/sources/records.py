@@ -43,7 +43,7 @@ def states(outside: np.ndarray, inside: np.ndarray, start: bool) -> np.ndarray:
     return np.concatenate([[start], base ^ turns])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, pa.RecordBatch, pa.Array]]:
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, pa.RecordBatch, pa.Array]]:
     """Stretches of a part of a file: its name and begin, whether the stretch is the part's first, rows and lines."""
     last = None
     for b in batches:
@@ -61,7 +61,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
 def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a part: its effect on a reader outside and on one inside, and whether a record begins in it for the latter."""
     out: dict[tuple[str, int], list[bool]] = {}
-    for key, _, _, lines in _parts(batches):
+    for key, _, _, lines in stretches(batches):
         effect = out.setdefault(key, [False, True, False])
         outside, inside = line_ends(lines)
         within = states(outside, inside, effect[1])
@@ -137,7 +137,7 @@ class _Cutter:
 
 def _cut(batches: Iterator[pa.RecordBatch], want_whole: bool) -> Iterator[pa.RecordBatch]:
     cutter = _Cutter(want_whole=want_whole)
-    for key, new, rows, lines in _parts(batches):
+    for key, new, rows, lines in stretches(batches):
         if new:
             cutter.close(open_after=cutter.inside)
             cutter.begin(key, rows.column("inside")[0].as_py(), rows.column("owner")[0].as_py())

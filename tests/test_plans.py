@@ -13,7 +13,7 @@ PYTHON_ALLOWED = {
 }
 # these build their input by running jobs before they return a plan
 EAGER = {"stream_extract", "resumable_run", "salvage_csv", "scan_letters", "encrypt_roundtrip", "write_read_results",
-         "metrics_json_roundtrip", "pool_run_files", "pool_run_intervals", "prepare_letters", "benchmark_run", "rescore_results",
+         "metrics_json_roundtrip", "pool_run_files", "pool_run_intervals", "prediction_arrays", "prepare_letters", "benchmark_run", "rescore_results",
          "salvaged_lines", "benchmark_resumed", "benchmark_log", "resume_attempts", "resume_batches",
          "render_conversations", "conversation_prompts"}
 
