@@ -19,7 +19,11 @@ SCHEMAS = {
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    "op11_lexical": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op13_private": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
 }
+KEYS = {"op2_main_text": ("pages", "page_id"), "op12_codes": ("embeddings", "vec_id")}  # others: a row for each document
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,11 +33,14 @@ def test_queries(spark, sf, name):
     if name in SCHEMAS:
         assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == SCHEMAS[name]
     rows = found.collect()
-    table, key = ("pages", "page_id") if name == "op2_main_text" else ("documents", "doc_id")
+    table, key = KEYS.get(name, ("documents", "doc_id"))
     if name == "op10_neighbours":
         ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
         assert sorted({r.query_id for r in rows}) == sorted(i for i in ids if i % 20 == 0)
         assert len(rows) == 20 * len({r.query_id for r in rows})
+    elif name == "op11_lexical":
+        items = [r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()]
+        assert sorted((r.item_id, r.rank) for r in rows) == [(i, k) for i in sorted(items) for k in range(1, 11)]
     elif name != "op5_contamination":
         ids = [r[key] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()]
         assert sorted(r[key] for r in rows) == sorted(ids)
