@@ -7,10 +7,16 @@ from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_computed(docs: DataFrame, fields: str, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """``docs`` with the columns of ``fields`` (DDL). ``start`` runs once a task and gives the function of a batch.
 

@@ -95,17 +95,25 @@ def learn_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     max_rows: int = 10000,
+    min_rows: int = 200,
     dims: int = 512,
     seed: int = 7,
 ) -> dict[str, np.ndarray]:
     """Language prototypes: the sum of the unit vectors of their documents.
 
-    Learns from about ``max_rows`` rows, chosen by a hash of the id; rows with a null id, text or language, or without a
-    letter, take no part. Sums per task are added up on the cluster: the driver gets one vector a language.
+    Learns from about ``max_rows`` rows, chosen by a hash of the id, and from about ``min_rows`` of each language that would
+    get fewer (all it has, if these are fewer): rare languages are learned at any size of the table. Rows with a null id,
+    text or language, or without a letter, take no part. Sums per task are added up on the cluster: the driver gets one
+    vector a language.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(1.0, max_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    total = max(1, sum(n for _, n in counts))
+    shares = [(lang, min(1.0, max(max_rows / total, min_rows / n))) for lang, n in counts]
+    limits = known.sparkSession.createDataFrame([(lang, int(s * (1 << 30))) for lang, s in shares], "lang string, below long")
+    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30))
+    known = known.join(F.broadcast(limits), "lang").where(hashed < F.col("below"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -124,8 +132,7 @@ def learn_languages(
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64()))]
         yield pa.RecordBatch.from_arrays(arrays, names=["lang", "i", "x"])
 
-    texts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    summed = texts.mapInArrow(add, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    summed = known.select("lang", "text").mapInArrow(add, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     vectors = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     found = {r["lang"]: np.array([e["x"] for e in r["v"]]) for r in vectors.collect()}
     return {lang: v for lang, v in sorted(found.items()) if v.any()}

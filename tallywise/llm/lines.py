@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.llm.batches import quoted
 from tallywise.llm.components import connected
 from tallywise.operators.scratch import durable
 
@@ -307,17 +308,20 @@ def dedupe_lines(
     linked = linked.join(firsts, "root").select("line", "check", F.col("least").alias("first"))
     repeated = seen.join(alone.union(linked), ["line", "check"]).where(F.struct("doc", "pos") != F.col("first"))
     removed = repeated.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    return _without(docs.join(removed, docs[id_col] == removed["doc"], "left").drop("doc"), docs.columns, text_col)
+    # the row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    return _without(rows.join(removed, rows["id"] == removed["doc"], "left"), docs.columns, text_col)
 
 
 def _without(joined: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    every = F.split(F.col(text_col), "\n")
+    whole = F.col("row")[text_col]
+    every = F.split(whole, "\n")
     left = F.filter(every, lambda _, i: ~F.array_contains("gone", i))
-    text: Column = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every))
+    text: Column = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(left, "\n"))
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.size(every))
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return joined.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in columns),
+        *(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns),
         n_lines.cast("int").alias("n_lines"),
         n_removed.cast("int").alias("n_removed"),
     )

@@ -59,8 +59,16 @@ def build(ids: np.ndarray, rows: np.ndarray, leaf: int, seed: int) -> Tree:
     return Tree(ids[placed], rows[placed], longest, nodes)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from the first component to the last: equal pairs give equal bits wherever they stand."""
+    total = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        total += x * y
+    return total
+
+
 def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` rows of the tree for each query: ids and inner products, best first, -inf where there are fewer.
+    """The best ``k`` rows of the tree for each query: ids and ``products``, best first, -inf where there are fewer.
 
     A child is left out for a query if the triangle inequality puts all of it beyond the distance of the k-th row found,
     with the bound multiplied by ``relax``: 1 is exact, more prunes more. Queries walk in groups that want the same child
@@ -68,7 +76,9 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, relax: floa
     """
     best = np.full((len(ids), k), -np.inf)
     best_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
-    lengths = np.einsum("ij,ij->i", queries, queries) + tree.longest**2
+    squares = np.einsum("ij,ij->i", queries, queries)
+    lengths = squares + tree.longest**2
+    slack = 4 * queries.shape[1] * np.finfo(float).eps * np.sqrt(squares) * tree.longest
 
     def visit(at: int, group: np.ndarray, bound: np.ndarray) -> None:
         reach = np.sqrt(np.maximum(lengths[group] - 2 * best[group, -1], 0.0))  # infinite until k rows are found
@@ -92,10 +102,18 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, relax: floa
     def take(rows: slice, group: np.ndarray) -> None:
         scores, found = queries[group] @ tree.rows[rows].T, tree.ids[rows]
         scores[found[None, :] == ids[group, None]] = -np.inf
-        better = scores.max(axis=1) >= best[group, -1]
-        group, scores = group[better], scores[better]
+        # products of matrices round by a row's place, so they only choose the pairs that are multiplied out
+        floor = best[group, -1]
+        if len(found) > k:
+            floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+        chosen = (scores >= (floor - slack[group])[:, None]) & (scores > -np.inf)
+        better = chosen.any(axis=1)
+        group, chosen = group[better], chosen[better]
         if not len(group):
             return
+        at, column = np.nonzero(chosen)
+        scores = np.full(chosen.shape, -np.inf)
+        scores[at, column] = products(queries[group[at]], tree.rows[rows][column])
         all_scores = np.concatenate([best[group], scores], axis=1)
         all_ids = np.concatenate([best_ids[group], np.broadcast_to(found, scores.shape)], axis=1)
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]

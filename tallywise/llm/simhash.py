@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.batches import with_computed
+from tallywise.llm.batches import quoted, with_computed
 from tallywise.llm.components import connected
 from tallywise.llm.membership import maybe_among
 from tallywise.operators.scratch import durable
@@ -122,7 +122,7 @@ def near_groups(
 
     One row per row of ``docs``; rows with equal ids each have their own fingerprint and link through it. A null text
     counts as empty. Rows with a null id are members of the component of their fingerprint (null if no other row has it)
-    and link nothing themselves. An empty table gives an empty result.
+    and link nothing themselves. An empty table gives an empty result. Other columns are not read and do not pass.
     """
     narrow = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     hashed = durable(fingerprints(narrow, "text", shingle, seed).drop("text"), "simhash")
@@ -143,17 +143,20 @@ def near_groups(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of ``near_groups``: the one with the smallest id, once.
 
-    Rows with a null id all stay. Only documents that may go, or whose id stands in several rows, are shuffled.
+    Rows with a null id all stay. Only documents that may go, or whose id stands in several rows, are shuffled. All columns
+    pass, whatever their names.
     """
     groups = durable(near_groups(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull()), "groups")
     odd = groups.groupBy(F.col(id_col).alias("_id")).agg(
         F.min("component_id").alias("_component"), F.count(F.lit(1)).alias("_rows")
     )
     odd = durable(odd.where((F.col("_component") != F.col("_id")) | (F.col("_rows") > 1)), "odd")
-    marked = maybe_among(docs, id_col, odd.select("_id"))
-    looked_up = marked.where("hit").join(odd, marked[id_col] == odd["_id"], "left")
+    # the row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    marked = maybe_among(rows, "id", odd.select("_id"))
+    looked_up = marked.where("hit").join(odd, marked["id"] == odd["_id"], "left")
     stays = F.coalesce(F.col("_component") == F.col("_id"), F.lit(True))
     several = F.coalesce(F.col("_rows") > 1, F.lit(False))
-    once = looked_up.where(stays & ~several).select(docs.columns)
-    repeated = looked_up.where(stays & several).select(docs.columns).dropDuplicates([id_col])
-    return marked.where(~F.col("hit")).select(docs.columns).union(once).union(repeated)
+    once = looked_up.where(stays & ~several).select("row")
+    repeated = looked_up.where(stays & several).dropDuplicates(["id"]).select("row")
+    return marked.where(~F.col("hit")).select("row").union(once).union(repeated).select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.batches import kept_by_worker
+from tallywise.llm.batches import kept_by_worker, quoted
 from tallywise.llm.membership import maybe_among
 from tallywise.operators.scratch import durable
 
@@ -401,28 +401,29 @@ def remove_repeats(
     cut = judged.where(F.octet_length("again") > 0).select("id", "tag", F.col("again").alias("runs"), F.lit(None).cast("binary").alias("windows"))
     cut = cut.union(resolved.select("id", "tag", F.lit(None).cast("binary"), "again"))
     cut = durable(cut.groupBy("id", "tag").agg(F.collect_list("runs").alias("runs"), F.collect_list("windows").alias("windows")), "cuts")
-    marked = maybe_among(docs.withColumns({"_id": F.col(id_col).cast("long"), "_tag": tag}), "_id", cut.select("id"))
+    # the row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), tag.alias("mark"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    raw = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
+    marked = maybe_among(rows, "doc", cut.select("id"))
     spans = "array<struct<start: int, end: int>>"
-    whole = marked.where(~F.col("hit")).select(*docs.columns, raw.alias("kept"), F.array().cast(spans).alias("removed"))
-    some = marked.where(F.col("hit")).join(cut, (F.col("_id") == cut["id"]) & (F.col("_tag") == cut["tag"]), "left")
-    columns = [*docs.columns, "_text", "runs", "windows"]
-    some = some.withColumn("_text", raw).select(*columns)
-    schema = docs.select("*", raw.alias("kept"), F.array().cast(spans).alias("removed")).schema
+    whole = marked.where(~F.col("hit")).select("row", raw.alias("kept"), F.array().cast(spans).alias("removed"))
+    some = marked.where(F.col("hit")).join(cut, (F.col("doc") == cut["id"]) & (F.col("mark") == cut["tag"]), "left")
+    some = some.select("row", raw.alias("text"), "runs", "windows")
+    schema = whole.schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, removed = [], []
-            renamed = b.select(["_text", "runs", "windows"]).rename_columns(["text", "runs", "windows"])
-            for found, values in _text_blocks(renamed, "runs", "windows"):
+            for found, values in _text_blocks(b.select(["text", "runs", "windows"]), "runs", "windows"):
                 for text, (again, windows) in zip(found, values):
                     k, r = _cut(text, _numbers(again), _numbers(windows), length, seed)
                     kept.append(k)
                     removed.append(r)
-            arrays = [*b.columns[:-3], pa.array(kept, pa.binary()), pa.array(removed, kind)]
+            arrays = [b.column("row"), pa.array(kept, pa.binary()), pa.array(removed, kind)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return whole.union(some.mapInArrow(finish, schema))
+    return whole.union(some.mapInArrow(finish, schema)).select("row.*", "kept", "removed")
 
 
 def _settle_open(texts: DataFrame, open_runs: DataFrame, length: int, seed: int, crowd: int) -> DataFrame:
