@@ -14,7 +14,7 @@ from tallywise.llm.batches import with_computed
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)",  # quotes count after = only
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -29,6 +29,7 @@ _BLOCK = set(
     "ul".split()
 )
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_AROUND_P = _BLOCK - _HEADINGS - {"p"}
 #: A start tag of the key ends open elements of the value, up to an element of _SCOPE.
 _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -37,9 +38,8 @@ _ENDS = {
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}}
 
 # What is no part of an article.
-_DROPPED = _RAW | set(
-    "nav footer aside form button select input label fieldset dialog menu head svg math canvas object audio video map".split()
-)
+_DROPPED = _RAW | set("nav footer aside button select input menu head svg canvas object audio video map annotation annotation-xml".split())
+_WRAPPERS = {"form", "fieldset", "dialog"}
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _HINTS = set(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner "
@@ -48,7 +48,12 @@ _HINTS = set(
     "masthead topbar header footer foot copyright share sharing social related recommended recommendations trending widget widgets "
     "comment comments commentlist reply replies respond disqus discussion reactions".split()
 )
+_COMMENTS = set("comment comments commentlist disqus".split())
+_COMMENT_PARTS = set(
+    "list area section thread wrap wrapper container box body form content item text block reader readers user users post".split()
+)
 _ROOTS = {"html", "body", "main", "article"}
+_ARTICLES = {"article", "main"}
 
 
 @dataclass(slots=True)
@@ -57,6 +62,10 @@ class Node:
     parent: Node | None
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    in_article: bool = False
+    in_form: bool = False
+    articles: int = 0
+    size: int = 0
     chars: int = 0
     tags: int = 0
     link_chars: int = 0
@@ -65,10 +74,46 @@ class Node:
     density_sum: float = 0.0
 
 
+class _Open:
+    """The open elements, with the places of each tag among them: no look-up walks over open elements."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def last(self, tags: set[str]) -> int:
+        """The innermost place of one of ``tags``; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def end(self, place: int) -> None:
+        """End the element at ``place`` and all in it."""
+        while len(self.nodes) > place > 0:
+            self.places[self.nodes.pop().tag].pop()
+
+    def end_implied(self, tag: str) -> None:
+        if tag in _BLOCK and tag != "br":  # a block ends an open paragraph, and what is open in it
+            paragraph = self.last({"p"})
+            if paragraph and paragraph > self.last(_AROUND_P):
+                self.end(paragraph)
+        ends = _ENDS.get(tag)
+        if ends:
+            scope = self.last(_SCOPE.get(tag, {"table"}))
+            while (place := self.last(ends)) > scope:
+                self.end(place)
+                if tag not in ("tbody", "tfoot", "tr"):
+                    break
+
+
 def parse(html: str) -> tuple[Node, list[Node]]:
-    """The root and all elements in page order. Open elements end where their parent does; stray end tags count for nothing."""
+    """The root and all elements in page order. Open elements end where their parent does; stray end tags count for nothing.
+
+    Time is linear in the page, whatever it holds.
+    """
     root = Node("#root", None)
-    at, open_, position, nodes = root, [root], 0, [root]
+    at, open_, position, nodes = root, _Open(root), 0, [root]
     length = len(html)
     while position < length:
         start = html.find("<", position)
@@ -87,70 +132,84 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         tag = name.lower()
         if part[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-            at = open_[-1]
+            open_.end(open_.last({tag}))
+            at = open_.nodes[-1]
             continue
-        _end_implied(open_, tag)
-        at = open_[-1]
+        open_.end_implied(tag)
+        at = open_.nodes[-1]
         node = Node(tag, at, _attributes(part[3]))
+        node.in_article = at.in_article or at.tag in _ARTICLES
+        node.in_form = at.in_form or at.tag == "form"
         at.children.append(node)
         nodes.append(node)
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, position)
             position = close.end() if close else length
         elif tag not in _VOID and not part[3].endswith("/"):
-            open_.append(node)
+            open_.push(node)
             at = node
     return root, nodes
 
 
-def _end_implied(open_: list[Node], tag: str) -> None:
-    if tag in _BLOCK and tag != "br":
-        for i in range(len(open_) - 1, 0, -1):  # a block ends an open paragraph, and what is open in it
-            if open_[i].tag == "p":
-                del open_[i:]
-                break
-            if open_[i].tag in _BLOCK and open_[i].tag not in _HEADINGS:
-                break
-    ends = _ENDS.get(tag)
-    if ends:
-        scope = _SCOPE.get(tag, {"table"})
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in scope:
-                break
-            if open_[i].tag in ends:
-                del open_[i:]
-                if tag not in ("tbody", "tfoot", "tr"):
-                    break
-
-
 def _attributes(text: str) -> dict[str, str]:
     if not text or text.isspace():
         return {}
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _is_noise(node: Node) -> bool:
+def _weigh(nodes: list[Node]) -> None:
+    """Articles and characters that stand in each element, those of comments and of dropped elements left out."""
+    for node in reversed(nodes):
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += len(c.strip())
+            elif c.tag not in _DROPPED and not _is_comment(c):
+                node.size += c.size
+                node.articles += c.articles + (c.tag in _ARTICLES)
+
+
+def _is_noise(node: Node, page: Node) -> bool:
     tag, attributes = node.tag, node.attributes
-    if tag in _DROPPED:
+    if tag in _DROPPED or _is_comment(node):
         return True
     if tag == "header":
-        above = node.parent
-        while above and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None
+        return not node.in_article
+    if tag == "label":
+        return node.in_form and not node.in_article
+    if tag in _WRAPPERS:
+        return not _wraps(node, page)
     if not attributes or tag in _ROOTS:
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
-    return _is_named(f"{attributes.get('class', '')} {_own_id(node)}") and not _in_article(node) and not _holds_article(node)
+    if (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I)
+        or attributes.get("role", "").lower() in _ROLES
+    ):
+        return not _wraps(node, page)
+    return _is_named(f"{attributes.get('class', '')} {_own_id(node)}") and not node.in_article and not node.articles
+
+
+def _wraps(node: Node, page: Node) -> bool:
+    """Whether an element is put around the article: all article and main elements of the page stand in it or, where the
+    page has none, over half of the text.
+    """
+    return node.articles == page.articles if page.articles else 2 * node.size > page.size
+
+
+def _is_comment(node: Node) -> bool:
+    """Readers' comments, by a class name or id such as ``comments`` or ``comment-list``."""
+    if not node.attributes or node.tag in ("html", "body", "main") or node.tag in _HEADINGS:
+        return False
+    for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
+        parts = set(_words(name))
+        if parts & _COMMENTS and parts <= _HINTS | _COMMENT_PARTS:
+            return True
+    return False
+
+
+def _words(name: str) -> list[str]:
+    return _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
 
 
 def _own_id(node: Node) -> str:
@@ -160,37 +219,22 @@ def _own_id(node: Node) -> str:
 def _is_named(names: str) -> bool:
     """Whether one of the names consists of hints alone; ``has-sidebar`` doesn't."""
     for name in names.split():
-        parts = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        parts = _words(name)
         if parts and _HINTS.issuperset(parts):
             return True
     return False
 
 
-def _in_article(node: Node) -> bool:
-    while node.parent is not None:
-        node = node.parent
-        if node.tag in ("article", "main"):
-            return True
-    return False
-
+def prune(root: Node, nodes: list[Node]) -> None:
+    """Take away elements that are never part of an article.
 
-def _holds_article(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        for c in stack.pop().children:
-            if not isinstance(c, str):
-                if c.tag in ("article", "main"):
-                    return True
-                stack.append(c)
-    return False
-
-
-def prune(root: Node) -> None:
-    """Take away elements that are never part of an article."""
+    Forms, dialogs, hidden elements and roles go unless they are put around the article (``_wraps``).
+    """
+    _weigh(nodes)
     stack = [root]
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _is_noise(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _is_noise(c, root)]
         stack += [c for c in node.children if not isinstance(c, str)]
 
 
@@ -302,7 +346,7 @@ def blocks_of(node: Node, threshold: float = 0.0) -> list[str]:
 def main_text(html: str) -> str:
     """Main text of one page: blocks in page order, joined by one space; empty if there is none."""
     root, nodes = parse(html)
-    prune(root)
+    prune(root, nodes)
     kept = []
     stack = [root]
     while stack:  # page order, without what was pruned
@@ -315,11 +359,16 @@ def main_text(html: str) -> str:
     chosen = select(inside, body)
     blocks = blocks_of(chosen, _path(inside, body)[1])
     if chosen.tag not in _ROOTS:  # a title that stands before the chosen part
+        titles, seen = [], set()
         for n in kept:
             if n is chosen:
                 break
-            if n.tag == "h1" and n.chars:
-                blocks = blocks_of(n) + blocks
+            if n.parent is not None and id(n.parent) in seen:  # within a title
+                seen.add(id(n))
+            elif n.tag == "h1" and n.chars:
+                seen.add(id(n))
+                titles = blocks_of(n) + titles
+        blocks = titles + blocks
     return " ".join(blocks)
 
 
