@@ -113,8 +113,10 @@ def fit_prompt(
     joined = F.array_join(kept, "" if by_words else " ")
     if by_words and keep == "end":
         joined = F.regexp_replace(joined, f"^{SPACE}+", "")
-    out = df.withColumn("_tokens", tokenize(F.col(text_col)))
-    out = out.withColumn("n_tokens", F.size(tokens).cast("bigint")).withColumn("truncated", F.size(tokens) > limit)
+    # words are only counted; the text is cut up where a prompt is too long
+    out = df if by_words else df.withColumn("_tokens", tokenize(F.col(text_col)))
+    n_tokens = word_count(F.col(text_col)) if by_words else F.size(tokens).cast("bigint")
+    out = out.withColumn("n_tokens", n_tokens).withColumn("truncated", F.col("n_tokens") > limit)
     fitted = F.when(F.col("truncated"), joined).otherwise(F.col(text_col))
     return out.withColumn("fitted", fitted).drop("_tokens")
 

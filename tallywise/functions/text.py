@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Every character that counts as white space in Unicode text.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    " \t\n\x0b\x0c\r"
+    "\x1c\x1d\x1e\x1f\x85\xa0"
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
@@ -29,8 +30,14 @@ def is_blank(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated tokens: the default token function."""
-    return F.regexp_count(text, F.lit(NO_SPACE + "+")).cast("bigint")
+    return F.regexp_count(_plain_spaces(text), F.lit(r"\S++")).cast("bigint")
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(NO_SPACE + "+"), F.lit(0))
+    return F.regexp_extract_all(_plain_spaces(text), F.lit(r"\S++"), F.lit(0))
+
+
+def _plain_spaces(text: Column) -> Column:
+    """Blanks for the white space that ``\\s`` leaves out: the classes of ASCII patterns are much faster to match."""
+    odd = WHITESPACE[6:]
+    return F.translate(text, odd, " " * len(odd))

@@ -6,7 +6,7 @@ import hashlib
 import time
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywise.functions import model_ids as ids
@@ -23,6 +23,7 @@ from tallywise.sources import letters as letter_files
 from tallywise.sources import runs as run_files
 from tallywise.sources.arrays import read_arrays, write_arrays
 from tallywise.sources.salvage import salvage_report, write_salvaged
+from tallywise.sources.sealed import damaged_cells, verify_sealed, write_sealed
 from tallywise.streaming.resume import finished_rows, pending, run_resumable, stream_extract
 
 RATERS = ["students", "residents", "model"]
@@ -118,6 +119,62 @@ def encrypt_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sealed_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """What seal and cells say of a table as written, and of copies with moved cells, a lost row and a row twice."""
+    key, locked = "000102030405060708090a0b0c0d0e0f", ["input_text", "label"]
+    path = scratch_path(spark, "sealed")
+    letter_files.hide_keys(spark)
+    write_sealed(load(spark, sf, "letters"), path, key, locked)
+    stored, seal = spark.read.parquet(path), spark.read.parquet(f"{path}/_seal")
+    moved = stored.select(F.col("row_id").bitwiseXOR(F.lit(1)).alias("row_id"), F.col("input_text").alias("moved"))
+    swapped = stored.join(moved, "row_id", "left").withColumn("input_text", F.coalesce("moved", "input_text"))
+    first = stored.agg(F.min("row_id").alias("row_id"))
+    changed = {
+        "moved cells": swapped.select(stored.columns),
+        "lost row": stored.join(first, "row_id", "left_anti"),
+        "row twice": stored.union(stored.join(first, "row_id", "left_semi")),
+    }
+    out = None
+    for name, table in {"untouched": None, **changed}.items():
+        where = path
+        if table is not None:
+            where = scratch_path(spark, "sealed")
+            table.write.parquet(where)
+            seal.write.parquet(f"{where}/_seal")
+        cells = damaged_cells(spark, where, key, locked).groupBy().agg(F.count("column").alias("damaged"))
+        found = verify_sealed(spark, where, key).select(F.lit(name).alias("variant"), "rows", "whole").join(
+            cells.withColumn("variant", F.lit(name)), "variant"
+        )
+        out = found if out is None else out.union(found)
+    return out
+
+
+def consensus_file(spark: SparkSession, sf: str) -> DataFrame:
+    table = pooling.consensus_table(load(spark, sf, "votes"), RUNS)
+    path = run_files.write_consensus(table, scratch_path(spark, "results") + ".csv")
+    return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A report written as one file, read back with the number of files."""
+    report, path = metrics_by_mode(spark, sf), scratch_path(spark, "report")
+    letter_files.write_report(report, path)
+    back = spark.read.schema(report.schema).options(header=True, escape='"', multiLine=True).csv(path)
+    files = spark.read.text(path).select(F.col("_metadata.file_name").alias("f")).agg(F.countDistinct("f")).first()[0]
+    return back.withColumn("n_files", F.lit(files))
+
+
+def shuffled_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """The seeded order of all letters, as the places of the rows in the files they are written to."""
+    path = scratch_path(spark, "shuffled")
+    prepare.shuffle_rows(load(spark, sf, "letters")).select("row_id").write.parquet(path)
+    placed = spark.read.parquet(path).select("row_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    files = placed.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.join(files, "f").select("row_id", (F.col("start") + F.col("i")).alias("place"))
+
+
 def write_read_results(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "results")
     run_files.write_results(load(spark, sf, "model_votes"), path, "stub", guided=True)
@@ -702,6 +759,10 @@ def stream_extract_query(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "scan_letters": scan_letters,
     "encrypt_roundtrip": encrypt_roundtrip,
+    "sealed_letters": sealed_letters,
+    "consensus_file": consensus_file,
+    "report_file": report_file,
+    "shuffled_letters": shuffled_letters,
     "write_read_results": write_read_results,
     "metrics_json_roundtrip": metrics_json_roundtrip,
     "pool_run_files": pool_run_files,

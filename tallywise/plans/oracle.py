@@ -214,6 +214,14 @@ def statements() -> dict[str, str]:
     SELECT row_id, md5(input_text) AS digest, patient_id, lang, source, label FROM letters"""
     out["encrypt_roundtrip"] = f"""{ctes("letters")}
     SELECT row_id, md5(input_text) AS digest, label, true AS locked FROM letters"""
+    out["sealed_letters"] = f"""{ctes("letters")}, n AS (SELECT count(*) AS n FROM letters),
+    moved AS (SELECT count(p.input_text) AS k FROM letters l JOIN letters p ON p.row_id = xor(l.row_id, 1::BIGINT))
+    SELECT 'untouched' AS variant, n AS rows, true AS whole, 0 AS damaged FROM n
+    UNION ALL SELECT 'moved cells', n, k = 0, k FROM n, moved
+    UNION ALL SELECT 'lost row', n - 1, false, 0 FROM n
+    UNION ALL SELECT 'row twice', n + 1, false, 0 FROM n"""
+    out["shuffled_letters"] = f"""{ctes("letters")}
+    SELECT row_id, row_number() OVER (ORDER BY md5('0-' || row_id::VARCHAR), row_id) - 1 AS place FROM letters"""
     out["write_read_results"] = f"""{ctes("model_votes")}
     SELECT 'stub' AS backend, 'guided' AS guided, model,
       CASE WHEN lower(model) LIKE '%gguf%' THEN quant_scheme ELSE 'no_quant_scheme' END AS quant_scheme,
@@ -389,6 +397,8 @@ def statements() -> dict[str, str]:
 
     out["error_distance"] = f"{ctes('votes')} {_scores('SELECT * FROM votes', 'run_idx')}"
     out["metrics_by_mode"] = f"{ctes('votes')} {_mode_scores('votes')}"
+    out["report_file"] = f"{ctes('votes')} SELECT *, 1 AS n_files FROM ({_mode_scores('votes')}) s"
+    out["consensus_file"] = out["consensus_table"]
     stub = "(('0x' || substr(md5(run_idx::VARCHAR || '-' || prompt), 1, 7))::BIGINT % 7)::INTEGER"
     five = [
         ("all", "all 5 models", "SELECT row_id, label, pred FROM v"),

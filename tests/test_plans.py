@@ -15,7 +15,7 @@ PYTHON_ALLOWED = {
 EAGER = {"stream_extract", "resumable_run", "salvage_csv", "scan_letters", "encrypt_roundtrip", "write_read_results",
          "metrics_json_roundtrip", "pool_run_files", "pool_run_intervals", "prediction_arrays", "prepare_letters", "benchmark_run", "rescore_results",
          "salvaged_lines", "benchmark_resumed", "benchmark_log", "resume_attempts", "resume_batches",
-         "render_conversations", "conversation_prompts"}
+         "render_conversations", "conversation_prompts", "sealed_letters", "consensus_file", "report_file", "shuffled_letters"}
 
 
 def plan_of(df) -> str:

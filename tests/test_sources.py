@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywise.operators.scratch import scratch_path, scratch_root
-from tallywise.sources import letters, runs, salvage
+from tallywise.sources import letters, runs, salvage, sealed
 
 
 def longest_clean_prefix(text: str):
@@ -118,6 +118,41 @@ def test_encrypted_columns(spark, monkeypatch):
         letters.key_from_environment("NO_SUCH_KEY")
 
 
+def test_sealed_tables_show_tampering(spark):
+    key, other = "01" * 16, "02" * 16
+    rows = [(1, "one", 3, "a"), (2, "two", None, "b"), (3, "two", 3, None), (None, "x", 1, "c")]
+    df = spark.createDataFrame(rows, "row_id int, input_text string, label int, open string")
+    path = scratch_path(spark, "t")
+    sealed.write_sealed(df, path, key, ["input_text", "label"])
+    columns = {"input_text": "string", "label": "int"}
+    back = sealed.read_sealed(spark, path, key, columns)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert sealed.verify_sealed(spark, path, key).first() == (4, 4, True)
+    assert sealed.verify_sealed(spark, path, other).first() == (4, 4, False)
+    assert sealed.damaged_cells(spark, path, key, list(columns)).count() == 0
+    stored = spark.read.parquet(path)
+    assert len({r.input_text for r in stored.collect()}) == 4
+
+    def tampered(table):
+        where = scratch_path(spark, "t")
+        table.write.parquet(where)
+        spark.read.parquet(f"{path}/_seal").write.parquet(f"{where}/_seal")
+        cells = sealed.damaged_cells(spark, where, key, list(columns)).collect()
+        return sealed.verify_sealed(spark, where, key).first().whole, sorted(map(tuple, cells))
+
+    columns_moved = stored.withColumn("label", F.when(F.col("row_id") == 1, F.col("input_text")).otherwise(F.col("label")))
+    renumbered = stored.withColumn("row_id", F.when(F.col("row_id") == 2, 3).when(F.col("row_id") == 3, 2).otherwise(F.col("row_id")))
+    assert tampered(stored.repartition(3)) == (True, [])
+    assert tampered(stored.where("row_id != 2")) == (False, [])
+    assert tampered(stored.union(stored)) == (False, [])
+    assert tampered(stored.withColumn("open", F.lit("z"))) == (False, [])
+    assert tampered(columns_moved) == (False, [(1, "label")])
+    assert tampered(renumbered) == (False, [(2, "input_text"), (2, "label"), (3, "input_text")])
+    empty = scratch_path(spark, "t")
+    sealed.write_sealed(df.limit(0), empty, key, ["label"])
+    assert sealed.verify_sealed(spark, empty, key).first() == (0, 0, True)
+
+
 def test_results_overwrite_only_their_own_run(spark):
     path = scratch_path(spark, "t")
     one = spark.createDataFrame([("m-GGUF", "Q4", 1), ("m-AWQ", "Q4", 2)], "model string, quant_scheme string, v int")
