@@ -22,6 +22,10 @@ _FILTER_WORDS = 1 << 17  # of 64 bits: which lines' texts are worth fetching
 _STRIPPED = " \t\r"
 _GRAM = 10  # characters of a piece that least hashes are taken of
 _BANDS, _DEEP = 16, 2  # lines that agree in all the least hashes of one band meet
+_BUCKET = 24 << 20  # bytes of text whose keys a task compares
+_PACK = 1 << 20  # keys that a task sorts into buckets at a time
+_CROWD = 32  # lines of one key that are paired on the spot
+_SEGMENT, _PROBE, _BAND = 0, 1, 2  # kinds of keys
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _BANDS * _DEEP, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -33,7 +37,9 @@ def allowed(length: int, most: int, share: float) -> int:
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``: bit-parallel over a column of the distance matrix.
 
-    Bit i of ``up`` (``down``): the column grows (falls) by one from row i to the next.
+    Bit i of ``up`` (``down``): the column grows (falls) by one from row i to the next. Now and then the column's least
+    value in the band of ``most`` cells around the diagonal is taken: where that is too large already, the rest is not
+    looked at.
     """
     if abs(len(a) - len(b)) > most:
         return False
@@ -48,7 +54,8 @@ def within(a: str, b: str, most: int) -> bool:
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | 1 << i
     up, down, distance, rest = full, 0, len(a), len(b)
-    for ch in b:
+    check = every = max(16, 2 * most)
+    for j, ch in enumerate(b, 1):
         match = places.get(ch, 0)
         across = (((match & up) + up) ^ up) | match
         grows, falls = (down | ~(across | up)) & full, up & across
@@ -58,9 +65,27 @@ def within(a: str, b: str, most: int) -> bool:
             return False
         grows, match = grows << 1 | 1, match | down
         up, down = (falls << 1 | ~(match | grows)) & full, grows & match
+        if j == check:
+            check += every
+            if _least_in_band(up, down, j, len(a), most) > most:
+                return False
     return distance <= most
 
 
+def _least_in_band(up: int, down: int, j: int, rows: int, most: int) -> int:
+    """The least distance in rows j - most to j + most of column j."""
+    low, high = max(0, j - most), min(rows, j + most)
+    if low > high:
+        return most + 1
+    below = (1 << low) - 1
+    value = least = j + (up & below).bit_count() - (down & below).bit_count()
+    up, down = up >> low, down >> low
+    for i in range(high - low):
+        value += (up >> i & 1) - (down >> i & 1)
+        least = min(least, value)
+    return least
+
+
 def _common(a: str, b: str, most: int, cut) -> int:
     """How many characters both have in common at the end that ``cut`` takes pieces from."""
     low, step = 0, most
@@ -105,17 +130,9 @@ class Block:
         self.chars = chars
 
     def sketch(self) -> np.ndarray:
-        """32 bits with the parity of how often characters of a class occur, and 32 for pairs of neighbours.
-
-        One edit flips at most two of the former and four of the latter.
-        """
-        chars = self.chars
-        one = np.left_shift(np.uint64(1), (chars * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(59))
-        pair = (chars[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + chars[1:] * np.uint64(0x165667B19E3779F9)) * _BASE
-        two = np.left_shift(np.uint64(1), np.uint64(32) + (pair >> np.uint64(59)))
-        two = np.append(two, np.uint64(0))
-        two[self.starts + self.lengths - 1] = 0  # no pair across the end of a line
-        return np.bitwise_xor.reduceat(one | two, self.starts).view(np.int64)
+        """16 bits with the parity of how often characters of a class occur. One edit flips at most two."""
+        one = np.left_shift(np.uint16(1), ((self.chars * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.uint16))
+        return np.bitwise_xor.reduceat(one, self.starts)
 
     def keys(self, member: np.ndarray, start: np.ndarray, size: np.ndarray, i: int, length: np.ndarray) -> np.ndarray:
         """Hashes of the lines' substrings, mixed with segment and line length."""
@@ -131,25 +148,39 @@ class Block:
 
     def asked(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for delta, i, shift in probes(most):
+            if not delta and not shift:  # that is the line's own segment, under which it is stored
+                continue
             length = self.lengths - delta
             start, size = segment(length, i, most)
             start = start + shift
             member = np.flatnonzero((start >= 0) & (start + size <= self.lengths) & (length > most))
             yield member, self.keys(member, start[member], size[member], i, length[member])
 
-    def alike(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def alike(self, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys that lines with most of their pieces in common are likely to share: bands of least hashes (MinHash)."""
-        member = np.arange(len(self.lengths))
+        member = np.flatnonzero(self.lengths >= shortest)
         size = np.repeat(np.minimum(self.lengths, _GRAM), self.lengths)
         at = np.minimum(np.arange(len(size)), np.repeat(self.starts + self.lengths, self.lengths) - size)
         raw = (self.sums[at + size] - self.sums[at]) * self.inverses[at] * np.uint64(0xFF51AFD7ED558CCD)
         pieces = ((raw ^ (raw >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(32)).astype(np.uint32)
         for band in range(_BANDS):
-            key = np.full(len(member), band, np.uint64)
+            key = np.full(len(self.lengths), band, np.uint64)
             for factor in _FACTORS[band * _DEEP : (band + 1) * _DEEP]:
                 key = (key ^ np.minimum.reduceat(pieces * factor, self.starts)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            yield member, key.view(np.int64)
+            yield member, key[member].view(np.int64)
+
+    def packed(self, most: int, shortest: int | None) -> list[np.ndarray]:
+        """Keys of all kinds, with kind, the line's name and what tells pairs apart at once: sketch, or length for bands."""
+        kinds = [(_SEGMENT, *x) for x in self.stored(most)] + [(_PROBE, *x) for x in self.asked(most)]
+        if shortest is not None:
+            kinds += [(_BAND, *x) for x in self.alike(shortest)]
+        sketch, length = self.sketch(), np.minimum(self.lengths, 0xFFFF).astype(np.uint16)
+        found = [
+            (key.view(np.uint64), np.full(len(key), kind, np.uint8), self.names[member], (length if kind == _BAND else sketch)[member])
+            for kind, member, key in kinds
+        ]
+        return [np.concatenate(x) for x in zip(*found)]
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -186,56 +217,122 @@ def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[lis
             yield lines, names
 
 
-def _keyed(texts: DataFrame, least: int, most: int, role: str) -> DataFrame:
-    """``key``, ``line`` and ``sketch`` of the segments (``stored``) or the probes (``asked``) of all different lines, or
-    ``key``, ``line`` and ``length`` of their bands (``alike``).
-    """
-
-    last = "length" if role == "alike" else "sketch"
+def _packed_keys(texts: DataFrame, least: int, most: int, shortest: int | None, buckets: int) -> DataFrame:
+    """Keys of all different lines, packed by bucket of the key: 15 bytes each, in one row a bucket and stretch of text."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
         for lines, names in _blocks(batches, least):
-            block = Block(lines, names)
-            found = list(block.alike() if role == "alike" else block.stored(most) if role == "stored" else block.asked(most))
-            member = np.concatenate([m for m, _ in found])
-            arrays = [np.concatenate([k for _, k in found]), block.names[member]]
-            arrays.append(block.lengths.astype(np.int32)[member] if role == "alike" else block.sketch()[member])
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "line", last])
-
-    return texts.mapInArrow(rows, f"key long, line long, {last} {'int' if role == 'alike' else 'long'}")
-
+            kept.append(Block(lines, names).packed(most, shortest))
+            n += len(kept[-1][0])
+            if n >= _PACK:
+                yield sorted_out(kept)
+                kept, n = [], 0
+        if kept:
+            yield sorted_out(kept)
+
+    def sorted_out(kept: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, kind, line, hint = (np.concatenate(x) for x in zip(*kept))
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        low = key.astype(np.uint32)[order]
+        high = ((key >> np.uint64(32)).astype(np.uint8) << np.uint8(2) | kind)[order]
+        line, hint, bucket = line[order], hint[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*cuts[1:].tolist(), len(bucket)]
+        columns = [pa.array([x[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()) for x in (low, high, line, hint)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *columns], names=["bucket", "low", "high", "line", "hint"])
+
+    return texts.mapInArrow(pack, "bucket int, low binary, high binary, line binary, hint binary")
+
+
+def _meet(most: int, share: float):
+    """The function of a bucket: pairs of lines that share a key, and the lines of crowded keys.
+
+    Up to ``_CROWD`` lines of a key are paired at once, ``key`` being null. The lines of larger groups are rows ``key``,
+    ``a``, ``b``, ``target``: each with the least line that is stored under the key.
+    """
 
-def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0) -> DataFrame:
+    def column(t: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+
+    def meet(t: pa.Table) -> pa.Table:
+        high = column(t, "high", np.uint8)
+        key = (high >> np.uint8(2)).astype(np.uint64) << np.uint64(32) | column(t, "low", np.uint32)
+        order = np.argsort(key)
+        again = np.diff(key[order]) == 0
+        order = order[np.append(again, False) | np.append(False, again)]
+        key, kind = key[order], (high & np.uint8(3))[order]
+        line, hint = column(t, "line", np.int64)[order], column(t, "hint", np.uint16)[order]
+        order = np.lexsort((kind, line, key))
+        key, kind, line, hint = key[order], kind[order], line[order], hint[order]
+        other = np.append(True, (np.diff(key) != 0) | (np.diff(line) != 0))[: len(key)]  # a line counts once a key
+        key, kind, line, hint = key[other], kind[other], line[other], hint[other]
+        first = np.append(True, np.diff(key) != 0)[: len(key)]
+        group = np.cumsum(first) - 1
+        size = np.bincount(group)
+        crowded = size[group] > _CROWD if len(key) else np.zeros(0, bool)
+        target = kind != _PROBE
+
+        few = np.flatnonzero(~crowded)
+        pairs = []
+        for step in range(1, _CROWD):
+            a, b = few[:-step], few[step:]
+            a, b = a[(same := group[a] == group[b])], b[same]
+            if not len(a):
+                break
+            good = (kind[a] == _BAND) == (kind[b] == _BAND)
+            good &= target[a] | target[b]
+            la, lb = hint[a].astype(np.int64), hint[b].astype(np.int64)
+            longer = np.maximum(la, lb)
+            near = (longer == 0xFFFF) | (np.abs(la - lb) <= np.maximum(most, (longer * share).astype(np.int64)))
+            good &= np.where(kind[a] == _BAND, near, np.bitwise_count(hint[a] ^ hint[b]) <= 2 * most)
+            pairs.append((line[a[good]], line[b[good]]))
+        a = np.concatenate([x for x, _ in pairs] or [np.zeros(0, np.int64)])
+        b = np.concatenate([x for _, x in pairs] or [np.zeros(0, np.int64)])
+
+        many = np.flatnonzero(crowded)
+        stored = many[target[many]]
+        pivot = np.full(len(size), -1)
+        pivot[group[stored][::-1]] = stored[::-1]  # the first of each group, which has the least name
+        many = many[pivot[group[many]] >= 0]
+        bucket = t.column("bucket")[0].as_py() << 38
+        return pa.table(
+            {
+                "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[many].view(np.int64) | bucket)]),
+                "a": pa.array(np.concatenate([a, line[many]])),
+                "b": pa.array(np.concatenate([b, line[pivot[group[many]]]])),
+                "target": pa.concat_arrays([pa.nulls(len(a), pa.bool_()), pa.array(target[many])]),
+            }
+        )
+
+    return meet
+
+
+def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0, spanning: bool = False) -> DataFrame:
     """``a``, ``b``: names of different lines (of ``least`` characters or more) at most ``most`` edits apart, or at most
-    ``share`` of the longer one's characters if that is more.
+    ``share`` of the longer one's characters if that is more. ``spanning``: only as many of these links as join the same
+    lines, so that a group of copies need not be compared each with each.
 
     Each line is cut into most + 1 segments, one of which survives ``most`` edits. Lines are stored under their segments
-    and look up those substrings that a line of equal or smaller length could have as a segment. Parity sketches in the
-    join condition drop most false candidates; the texts of the rest are fetched and compared. This finds all pairs within
+    and look up those substrings that a line of equal or smaller length could have as a segment. This finds all pairs within
     ``most``. The number of probes grows with the square of the edits, so pairs further apart are met by an index of least
     hashes instead, whose recall was measured (README); every pair met is compared in full.
+
+    Keys travel packed, by bucket, and most of them meet nobody. Parity sketches and lengths drop false candidates. Where
+    more than ``_CROWD`` lines share a key, all are compared with one of them first; what is then linked already is not
+    compared again if ``spanning``, the rest is joined by key.
     """
-    # a batch leaves out repeats among its own lines; of a frequent line that leaves one row a batch on the asking side
-    stored, asked = _keyed(texts, least, most, "stored").repartition("key").distinct(), _keyed(texts, least, most, "asked")
-    both = F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))
-    close = (F.bit_count(both.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) <= 2 * most) & (
-        F.bit_count(F.shiftrightunsigned(both, 32)) <= 4 * most
-    )
-    met = asked.alias("l").join(stored.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.line") != F.col("r.line")) & close)
-    pairs = met.select(F.greatest("l.line", "r.line").alias("a"), F.least("l.line", "r.line").alias("b"))
-    if share:
-        # the shorter line of a pair that only ``share`` allows
-        shorter = max(least, int((1 - share) * (most + 1) / share))
-        keyed = _keyed(texts, shorter, most, "alike").repartition("key").distinct()
-        longer = F.greatest("l.length", "r.length")
-        fits = F.abs(F.col("l.length") - F.col("r.length")) <= F.greatest(F.lit(most), F.floor(longer * F.lit(share)))
-        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") > F.col("r.line"))
-        alike = keyed.alias("l").join(keyed.alias("r"), same & fits)
-        pairs = pairs.union(alike.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0]
+    # the shorter line of a pair that only ``share`` allows
+    shortest = max(least, int((1 - share) * (most + 1) / share)) if share else None
+    keys = _packed_keys(texts, least, most, shortest, max(1, -(-size // _BUCKET)))
+    met = keys.groupBy("bucket").applyInArrow(_meet(most, share), "key long, a long, b long, target boolean")
+    met = durable(met, "line-keys")
+    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     pairs = durable(pairs.distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
-    spelled = _texts_of(texts, wanted, least)
-    compared = pairs.join(spelled.toDF("a", "text_a"), "a").join(spelled.toDF("b", "text_b"), "b")
+    spelled = durable(_texts_of(texts, wanted, least), "line-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,7 +340,23 @@ def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0) -> D
             near = [within(x, y, allowed(max(len(x), len(y)), most, share)) for x, y in pairs]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return compared.mapInArrow(verify, "a long, b long").distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        compared = pairs.join(spelled.toDF("a", "text_a"), "a").join(spelled.toDF("b", "text_b"), "b")
+        return durable(compared.mapInArrow(verify, "a long, b long"), "line-links")
+
+    links = verified(pairs)
+    crowd = met.where(F.col("key").isNotNull()).select("key", F.col("a").alias("line"), "target")
+    if crowd.isEmpty():
+        return links
+    if spanning:
+        crowd = crowd.join(connected(links), F.col("line") == F.col("node"), "left")
+        crowd = crowd.select("key", "line", "target", F.coalesce("root", "line").alias("root"))
+    else:
+        crowd = crowd.withColumn("root", F.col("line"))
+    apart = (F.col("l.line") > F.col("r.line")) & (F.col("l.root") != F.col("r.root")) & (F.col("l.target") | F.col("r.target"))
+    rest = crowd.alias("l").join(crowd.alias("r"), (F.col("l.key") == F.col("r.key")) & apart)
+    rest = rest.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).distinct()
+    return links.union(verified(rest.join(pairs, ["a", "b"], "left_anti")))
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -300,7 +413,7 @@ def dedupe_lines(
     seen = durable(seen, "lines")
     lines = seen.groupBy("line", "check").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     texts = known.select(F.col(text_col).alias("text"))
-    classes = connected(near_lines(texts, most, max(least, least_near, 2 * most + 2), share))
+    classes = connected(near_lines(texts, most, max(least, least_near, 2 * most + 2), share, spanning=True))
     lines = lines.join(classes, lines["line"] == classes["node"], "left").drop("node")
     alone = lines.where(F.col("root").isNull() & (F.col("n") > 1)).select("line", "check", "first")
     linked = lines.where(F.col("root").isNotNull())
