@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywise.llm.batches import quoted
 from tallywise.llm.components import connected
+from tallywise.llm.membership import maybe_among
 from tallywise.operators.scratch import durable
 
 _SEED = 42  # of Spark's xxhash64, so that both sides name a line alike
@@ -25,6 +26,7 @@ _BANDS, _DEEP = 16, 2  # lines that agree in all the least hashes of one band me
 _BUCKET = 24 << 20  # bytes of text whose keys a task compares
 _PACK = 1 << 20  # keys that a task sorts into buckets at a time
 _CROWD = 32  # lines of one key that are paired on the spot
+_CLASSES = 32  # of characters, for counts
 _SEGMENT, _PROBE, _BAND = 0, 1, 2  # kinds of keys
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _BANDS * _DEEP, np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -249,10 +251,18 @@ def _packed_keys(texts: DataFrame, least: int, most: int, shortest: int | None,
 def _meet(most: int, share: float):
     """The function of a bucket: pairs of lines that share a key, and the lines of crowded keys.
 
-    Up to ``_CROWD`` lines of a key are paired at once, ``key`` being null. The lines of larger groups are rows ``key``,
-    ``a``, ``b``, ``target``: each with the least line that is stored under the key.
+    Up to ``_CROWD`` lines of a key are paired at once, ``key`` being null. The lines of larger groups, in order of their
+    lengths or sketches, are rows ``key``, ``kind``, ``hint``, ``a``, ``b``: each with the one stored under the key before
+    it, if they fit.
     """
 
+    def fits(kind_a, hint_a, kind_b, hint_b):
+        la, lb = hint_a.astype(np.int64), hint_b.astype(np.int64)
+        longer = np.maximum(la, lb)
+        near = (longer == 0xFFFF) | (np.abs(la - lb) <= np.maximum(most, (longer * share).astype(np.int64)))
+        good = np.where(kind_a == _BAND, near, np.bitwise_count(hint_a ^ hint_b) <= 2 * most)
+        return good & ((kind_a == _BAND) == (kind_b == _BAND)) & ((kind_a != _PROBE) | (kind_b != _PROBE))
+
     def column(t: pa.Table, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
@@ -272,7 +282,6 @@ def _meet(most: int, share: float):
         group = np.cumsum(first) - 1
         size = np.bincount(group)
         crowded = size[group] > _CROWD if len(key) else np.zeros(0, bool)
-        target = kind != _PROBE
 
         few = np.flatnonzero(~crowded)
         pairs = []
@@ -281,28 +290,27 @@ def _meet(most: int, share: float):
             a, b = a[(same := group[a] == group[b])], b[same]
             if not len(a):
                 break
-            good = (kind[a] == _BAND) == (kind[b] == _BAND)
-            good &= target[a] | target[b]
-            la, lb = hint[a].astype(np.int64), hint[b].astype(np.int64)
-            longer = np.maximum(la, lb)
-            near = (longer == 0xFFFF) | (np.abs(la - lb) <= np.maximum(most, (longer * share).astype(np.int64)))
-            good &= np.where(kind[a] == _BAND, near, np.bitwise_count(hint[a] ^ hint[b]) <= 2 * most)
+            good = fits(kind[a], hint[a], kind[b], hint[b])
             pairs.append((line[a[good]], line[b[good]]))
         a = np.concatenate([x for x, _ in pairs] or [np.zeros(0, np.int64)])
         b = np.concatenate([x for _, x in pairs] or [np.zeros(0, np.int64)])
 
         many = np.flatnonzero(crowded)
-        stored = many[target[many]]
-        pivot = np.full(len(size), -1)
-        pivot[group[stored][::-1]] = stored[::-1]  # the first of each group, which has the least name
-        many = many[pivot[group[many]] >= 0]
+        many = many[np.lexsort((hint[many], group[many]))]
+        stored = kind[many] != _PROBE
+        last = np.maximum.accumulate(np.where(stored, np.arange(len(many)), 0))
+        before = np.append(0, last)[: len(many)]
+        ahead = (group[many[before]] == group[many]) & stored[before]
+        ahead &= fits(kind[many], hint[many], kind[many[before]], hint[many[before]])
+        met = np.where(ahead, line[many[before]], line[many])
         bucket = t.column("bucket")[0].as_py() << 38
         return pa.table(
             {
                 "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[many].view(np.int64) | bucket)]),
+                "kind": pa.array(np.concatenate([np.zeros(len(a), np.int32), kind[many].astype(np.int32)])),
+                "hint": pa.array(np.concatenate([np.zeros(len(a), np.int32), hint[many].astype(np.int32)])),
                 "a": pa.array(np.concatenate([a, line[many]])),
-                "b": pa.array(np.concatenate([b, line[pivot[group[many]]]])),
-                "target": pa.concat_arrays([pa.nulls(len(a), pa.bool_()), pa.array(target[many])]),
+                "b": pa.array(np.concatenate([b, met])),
             }
         )
 
@@ -311,23 +319,23 @@ def _meet(most: int, share: float):
 
 def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0, spanning: bool = False) -> DataFrame:
     """``a``, ``b``: names of different lines (of ``least`` characters or more) at most ``most`` edits apart, or at most
-    ``share`` of the longer one's characters if that is more. ``spanning``: only as many of these links as join the same
-    lines, so that a group of copies need not be compared each with each.
+    ``share`` of the longer one's characters if that is more. ``spanning``: pairs that connect the same lines in place of
+    all links, so that a group of copies need not be compared each with each.
 
     Each line is cut into most + 1 segments, one of which survives ``most`` edits. Lines are stored under their segments
     and look up those substrings that a line of equal or smaller length could have as a segment. This finds all pairs within
     ``most``. The number of probes grows with the square of the edits, so pairs further apart are met by an index of least
     hashes instead, whose recall was measured (README); every pair met is compared in full.
 
-    Keys travel packed, by bucket, and most of them meet nobody. Parity sketches and lengths drop false candidates. Where
-    more than ``_CROWD`` lines share a key, all are compared with one of them first; what is then linked already is not
-    compared again if ``spanning``, the rest is joined by key.
+    Keys travel packed, by bucket, and most of them meet nobody. Parity sketches, lengths and counts of characters drop
+    false candidates before texts are fetched. Where more than ``_CROWD`` lines share a key, neighbours in order of length
+    are compared first; what is linked by then is not compared again if ``spanning``, the rest is joined by key.
     """
     size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0]
     # the shorter line of a pair that only ``share`` allows
     shortest = max(least, int((1 - share) * (most + 1) / share)) if share else None
     keys = _packed_keys(texts, least, most, shortest, max(1, -(-size // _BUCKET)))
-    met = keys.groupBy("bucket").applyInArrow(_meet(most, share), "key long, a long, b long, target boolean")
+    met = keys.groupBy("bucket").applyInArrow(_meet(most, share), "key long, kind int, hint int, a long, b long")
     met = durable(met, "line-keys")
     pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     pairs = durable(pairs.distinct(), "line-pairs")
@@ -340,29 +348,49 @@ def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0, span
             near = [within(x, y, allowed(max(len(x), len(y)), most, share)) for x, y in pairs]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, _CLASSES) for c in ("counts_a", "counts_b")]
+            apart = counts[0] - counts[1]  # counts wrap around, so this bounds the difference from below
+            apart = np.minimum(apart, np.uint8(0) - apart).sum(axis=1, dtype=np.int64)
+            longer = np.maximum(b.column("length_a").to_numpy(), b.column("length_b").to_numpy())
+            limit = np.array([allowed(n, most, share) for n in longer.tolist()], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(apart <= 2 * limit))
+
+    counted = spelled.select("line", F.length("text").alias("length"), "counts")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        compared = pairs.join(spelled.toDF("a", "text_a"), "a").join(spelled.toDF("b", "text_b"), "b")
+        both = pairs.join(counted.toDF("a", "length_a", "counts_a"), "a").join(counted.toDF("b", "length_b", "counts_b"), "b")
+        left = both.mapInArrow(possible, "a long, b long")
+        text = spelled.select("line", "text")
+        compared = left.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
         return durable(compared.mapInArrow(verify, "a long, b long"), "line-links")
 
     links = verified(pairs)
-    crowd = met.where(F.col("key").isNotNull()).select("key", F.col("a").alias("line"), "target")
+    crowd = met.where(F.col("key").isNotNull()).select("key", "kind", "hint", F.col("a").alias("line"))
     if crowd.isEmpty():
         return links
     if spanning:
-        crowd = crowd.join(connected(links), F.col("line") == F.col("node"), "left")
-        crowd = crowd.select("key", "line", "target", F.coalesce("root", "line").alias("root"))
+        links = durable(connected(links), "line-roots").toDF("a", "b")
+        crowd = crowd.join(links, F.col("line") == F.col("a"), "left")
+        crowd = crowd.select("key", "kind", "hint", "line", F.coalesce("b", "line").alias("root"))
     else:
         crowd = crowd.withColumn("root", F.col("line"))
-    apart = (F.col("l.line") > F.col("r.line")) & (F.col("l.root") != F.col("r.root")) & (F.col("l.target") | F.col("r.target"))
+    longer = F.greatest("l.hint", "r.hint")
+    near = (longer == 0xFFFF) | (F.abs(F.col("l.hint") - F.col("r.hint")) <= F.greatest(F.lit(most), F.floor(longer * F.lit(share))))
+    alike = F.bit_count(F.col("l.hint").bitwiseXOR(F.col("r.hint"))) <= 2 * most
+    bands = F.col("l.kind") == _BAND
+    apart = (F.col("l.line") > F.col("r.line")) & (F.col("l.root") != F.col("r.root")) & (bands == (F.col("r.kind") == _BAND))
+    apart &= ((F.col("l.kind") != _PROBE) | (F.col("r.kind") != _PROBE)) & F.when(bands, near).otherwise(alike)
     rest = crowd.alias("l").join(crowd.alias("r"), (F.col("l.key") == F.col("r.key")) & apart)
     rest = rest.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).distinct()
     return links.union(verified(rest.join(pairs, ["a", "b"], "left_anti")))
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """``line`` and ``text`` of the wanted names, and of a few more that share their bits of a filter.
+    """``line``, ``text`` and ``counts`` (of characters of 32 classes, modulo 256) of the wanted names.
 
-    The filter has a fixed size; where a corpus fills it, more texts than needed move, and the join drops them.
+    The texts that are moved are picked by a filter. It has a fixed size; where a corpus fills it, more texts than needed move, and the join drops them.
     """
     bit = F.shiftrightunsigned("line", 64 - (_FILTER_WORDS * 64).bit_length() + 1)
     words = wanted.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
@@ -378,11 +406,17 @@ def _texts_of(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             at = np.array(names, np.uint64) >> np.uint64(shift)
             kept = np.flatnonzero(table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
             found = [names[i] for i in kept], [lines[i] for i in kept]
-            arrays = [pa.array(np.array(found[0], np.uint64).view(np.int64)), pa.array(found[1], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["line", "text"])
+            counts = [_counts(t) for t in found[1]]
+            arrays = [pa.array(np.array(found[0], np.uint64).view(np.int64)), pa.array(found[1], pa.string()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["line", "text", "counts"])
+
+    picked = texts.mapInArrow(pick, "line long, text string, counts binary")
+    return picked.join(wanted.distinct(), "line", "left_semi").dropDuplicates(["line"])
+
 
-    picked = texts.mapInArrow(pick, "line long, text string")
-    return picked.join(wanted.distinct(), "line", "left_semi").distinct()
+def _counts(text: str) -> bytes:
+    classes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % _CLASSES
+    return np.bincount(classes, minlength=_CLASSES).astype(np.uint8).tobytes()
 
 
 def dedupe_lines(
@@ -420,10 +454,13 @@ def dedupe_lines(
     firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(firsts, "root").select("line", "check", F.col("least").alias("first"))
     repeated = seen.join(alone.union(linked), ["line", "check"]).where(F.struct("doc", "pos") != F.col("first"))
-    removed = repeated.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    removed = durable(repeated.groupBy("doc").agg(F.collect_set("pos").alias("gone")), "line-places")
     # the row travels as one struct, so that its columns may have any names
     rows = docs.select(F.col(id_col).alias("id"), F.struct(*map(quoted, docs.columns)).alias("row"))
-    return _without(rows.join(removed, rows["id"] == removed["doc"], "left"), docs.columns, text_col)
+    marked = maybe_among(rows, "id", removed.select("doc"))
+    some = marked.where("hit").join(removed, marked["id"] == removed["doc"], "left").select("row", "gone")
+    whole = marked.where(~F.col("hit")).select("row", F.lit(None).cast("array<int>").alias("gone"))
+    return _without(whole.union(some), docs.columns, text_col)
 
 
 def _without(joined: DataFrame, columns: list[str], text_col: str) -> DataFrame:
