@@ -345,7 +345,8 @@ def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0, span
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(x.as_py(), y.as_py()) for x, y in zip(b.column("text_a"), b.column("text_b"))]
-            near = [within(x, y, allowed(max(len(x), len(y)), most, share)) for x, y in pairs]
+            limits = [allowed(max(len(x), len(y)), most, share) for x, y in pairs]
+            near = [_pairs_apart(x, y) <= 4 * n and within(x, y, n) for (x, y), n in zip(pairs, limits)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,6 +415,15 @@ def _texts_of(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return picked.join(wanted.distinct(), "line", "left_semi").dropDuplicates(["line"])
 
 
+def _pairs_apart(a: str, b: str) -> int:
+    """How far the counts of neighbouring characters, by class, are apart: at most four for each edit."""
+    counts = []
+    for text in (a, b):
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts.append(np.bincount((chars[:-1] * np.uint32(0x9E3779B1) + chars[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(23), minlength=512))
+    return int(np.abs(counts[0] - counts[1]).sum())
+
+
 def _counts(text: str) -> bytes:
     classes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % _CLASSES
     return np.bincount(classes, minlength=_CLASSES).astype(np.uint8).tobytes()
