@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.llm.batches import with_computed
+from tallywise.operators.scratch import durable
 
 _WORD = re.compile(r"\w+")
 _ITEMS = 2048  # that are looked for in one pass over the documents
+_PAIRS = 1 << 22  # of terms of a passage that a task lays out at a time
+_HELD = 1 << 22  # sums over pairs of terms that a task holds
 _MATCH = "struct<item_id: bigint, cosine: double, common: double, answer: double, first_word: int, last_word: int>"
 
 
@@ -44,46 +47,107 @@ def _passages(idx: np.ndarray, n: int, passage: int) -> tuple[np.ndarray, np.nda
     return cells // (n + 1), cells % (n + 1), counts
 
 
-def _frequencies(texts: DataFrame, vocabulary: dict[str, int], passage: int) -> tuple[int, np.ndarray]:
-    """Number of passages in all documents, and in how many of them each term stands."""
+def _joint_counts(texts: DataFrame, vocabulary: dict[str, int], passage: int) -> DataFrame:
+    """How often terms stand together in the passages of all documents: a row ``term``, ``others``, ``counts`` a term.
+
+    ``others`` are the terms up to ``term`` itself, ``counts`` sums over the passages, of the product of both terms' counts
+    there. The row of the vocabulary's size holds in how many passages each term stands and, last, the number of passages.
+    Counts are whole numbers and exact; a task holds a bounded number of them and writes what it has when there are more.
+    """
     n, shared = len(vocabulary), texts.sparkSession.sparkContext.broadcast(vocabulary)
+    block = max(1, _PAIRS // passage**2)  # passages whose pairs are laid out at a time
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, vocabulary = np.zeros(n + 1, np.int64), shared.value
+        found, vocabulary, waiting, held, pairs = np.zeros(n + 1, np.int64), shared.value, [], 0, 0
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             for text in b.column(0):
                 idx = _indexes(text.as_py() or "", vocabulary)
-                found[n] += -(-len(idx) // passage)
-                found += np.bincount(_passages(idx, n, passage)[1], minlength=n + 1)
+                passages = -(-len(idx) // passage)
+                for low in range(0, passages, block):
+                    row, term, counts = _passages(idx[low * passage : (low + block) * passage], n, passage)
+                    found += np.bincount(term, minlength=n + 1)
+                    waiting.append((held + row, term, counts))
+                    held += min(block, passages - low)
+                    pairs += int((np.bincount(row, counts) ** 2).sum())  # or fewer
+                    if pairs >= _PAIRS:
+                        keys, sums = _merged(keys, sums, _pairs(waiting, n))
+                        waiting, held, pairs = [], 0, 0
+                        if len(keys) >= _HELD:
+                            yield laid_out(keys, sums)
+                            keys, sums = keys[:0], sums[:0]
+                found[n] += passages
+        if waiting:
+            keys, sums = _merged(keys, sums, _pairs(waiting, n))
         used = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], names=["term", "n"])
-
-    totals = np.zeros(n + 1, np.int64)
-    for r in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        totals[r["term"]] = r["n"]
-    return int(totals[n]), totals[:n]
-
-
-def _basis(sample: DataFrame, items: list[np.ndarray], weights: np.ndarray, vocabulary: dict, passage: int, dims: int, seed: int):
-    """Right singular vectors of the TF-IDF matrix of the sample's passages and the items, by randomised SVD.
-
-    G is the product of the matrix' transpose and the matrix. Every round multiplies a thin matrix by G where the
-    passages are and adds up; the driver only holds thin matrices, of one row a term.
+        if len(used):
+            yield laid_out(np.append(keys, n * (n + 1) + used), np.append(sums, found[used]))
+
+    def laid_out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        term, other = keys // (n + 1), (keys % (n + 1)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = [*cuts[1:].tolist(), len(keys)]
+        columns = [pa.array([x[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()) for x in (other, sums)]
+        return pa.RecordBatch.from_arrays([pa.array(term[cuts]), *columns], names=["term", "others", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        other, counts = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("others", np.int32), ("counts", np.int64)))
+        total = np.zeros(n + 1, np.int64)
+        np.add.at(total, other, counts)
+        used = np.flatnonzero(total)
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.int32), total[used])]
+        return pa.table([t.column("term").slice(0, 1).combine_chunks(), *columns], names=["term", "others", "counts"])
+
+    schema = "term long, others binary, counts binary"
+    return durable(texts.mapInArrow(count, schema).groupBy("term").applyInArrow(add, schema), "joint-counts")
+
+
+def _pairs(passages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """term * (n + 1) + other of all pairs of a passage's terms, other <= term, as often as their counts' product."""
+    row, term, count = (np.concatenate(x) for x in zip(*passages))
+    if not len(row):
+        return row
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))  # terms ascend in a passage
+    ends = np.cumsum(place + 1)
+    one = np.repeat(np.arange(len(row)), place + 1)
+    other = one + np.arange(len(one)) - ends[one] + 1
+    return np.repeat(term[one] * (n + 1) + term[other], count[one] * count[other])
+
+
+def _merged(keys: np.ndarray, sums: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, in the keys' order, with one added for each key in ``more``."""
+    more = np.sort(more)
+    starts = np.flatnonzero(np.diff(more, prepend=-1))
+    every = np.concatenate([keys, more[starts]])
+    order = np.argsort(every, kind="stable")
+    every, counts = every[order], np.concatenate([sums, np.diff(np.append(starts, len(more)))])[order]
+    starts = np.flatnonzero(np.diff(every, prepend=-1))
+    return every[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _basis(joint: DataFrame, items: list[np.ndarray], weights: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix of all passages and the items, by randomised SVD.
+
+    G is the product of the matrix' transpose and the matrix: the joint counts times both terms' weights. Every round
+    multiplies a thin matrix by G where the counts are and adds up; the driver only holds thin matrices, of one row a term.
     """
     n = len(weights)
     width = min(n, dims + 16)
-    context = sample.sparkSession.sparkContext
+    context = joint.sparkSession.sparkContext
 
     def multiply(thin: np.ndarray) -> np.ndarray:
-        shared = context.broadcast((vocabulary, weights, thin))
+        shared = context.broadcast(weights[:, None] * thin)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, thin = shared.value
+            thin = shared.value
             total = np.zeros_like(thin)
             for b in batches:
-                for text in b.column(0):
-                    idx = _indexes(text.as_py() or "", vocabulary)
-                    _add_products(total, *_passages(idx, n, passage), weights, thin)
+                for term, others, counts in zip(*(c.to_pylist() for c in b.columns)):
+                    other, count = np.frombuffer(others, np.int32), np.frombuffer(counts, np.int64).astype(np.float64)
+                    total[term] += count @ thin[other]
+                    apart = other != term
+                    total[other[apart]] += count[apart, None] * thin[term]
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +157,10 @@ def _basis(sample: DataFrame, items: list[np.ndarray], weights: np.ndarray, voca
                     total += np.frombuffer(x.as_py(), thin.dtype).reshape(thin.shape)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-        parts = sample.repartition(8).mapInArrow(part, "part binary").repartition(1).mapInArrow(add, "part binary")
-        total = np.frombuffer(parts.first()["part"], thin.dtype).reshape(thin.shape).copy()
+        parts = joint.where(F.col("term") < n).coalesce(8).mapInArrow(part, "part binary")
+        added = parts.repartition(1).mapInArrow(add, "part binary").first()
+        total = np.zeros_like(thin) if added is None else np.frombuffer(added["part"], thin.dtype).reshape(thin.shape)
+        total = weights[:, None] * total
         for words in items:
             _add_products(total, *_passages(words, n, max(1, len(words))), weights, thin)
         return total
@@ -196,12 +262,12 @@ def _find(idx: np.ndarray, items: Items, index: AnswerIndex, passage: int, cosin
 
 
 def fit_items(
-    docs: DataFrame, rows: list[tuple[int, str]], text_col: str, passage: int, dims: int, max_fit_rows: int, seed: int
+    docs: DataFrame, rows: list[tuple[int, str]], text_col: str, passage: int, dims: int, seed: int
 ) -> Items | None:
     """The items' terms, weighted by the passages of all documents, in the space of the leading singular vectors.
 
-    The singular vectors come from the passages of about ``max_fit_rows`` documents (the first by a hash of the text) and
-    the items; every other number covers all documents.
+    Weights and singular vectors both come from the passages of all documents, repeated texts included, which are read
+    once for that; the items are added as passages of their own.
     """
     spelled = [(i, _WORD.findall(t.lower())) for i, t in rows]
     spelled = [(i, words) for i, words in spelled if words]
@@ -210,11 +276,12 @@ def fit_items(
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for _, ws in spelled]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    total, seen = _frequencies(texts, vocabulary, passage)
-    weights = np.log((2.0 + total) / (1.0 + seen))
-    share = min(1.0, max_fit_rows / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
-    terms = weights[:, None] * _basis(sample, words, weights, vocabulary, passage, dims, seed)
+    joint = _joint_counts(texts, vocabulary, passage)
+    seen = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in joint.where(F.col("term") == len(vocabulary)).collect():  # one row
+        seen[np.frombuffer(r["others"], np.int32)] = np.frombuffer(r["counts"], np.int64)
+    weights = np.log((2.0 + seen[-1]) / (1.0 + seen[:-1]))
+    terms = weights[:, None] * _basis(joint, words, weights, dims, seed)
     terms = np.append(terms, np.zeros((1, terms.shape[1])), axis=0).astype(np.float32)
     latent = np.stack([terms[w].sum(axis=0) for w in words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
@@ -234,7 +301,6 @@ def find_contamination(
     cosine: float = 0.25,
     common: float = 0.6,
     answer: float = 0.5,
-    max_fit_rows: int = 2000,
     seed: int = 5,
 ) -> DataFrame:
     """``docs`` with ``matches``: the benchmark items that the whole text contains, also reworded, in order of the items.
@@ -255,7 +321,7 @@ def find_contamination(
     out, found = docs, []
     for block in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        fitted = fit_items(docs, [(r["id"], r["text"]) for r in rows], text_col, passage, dims, max_fit_rows, seed)
+        fitted = fit_items(docs, [(r["id"], r["text"]) for r in rows], text_col, passage, dims, seed)
         if fitted:
             out = _with_matches(out, fitted, f"_matches_{block}", text_col, passage, cosine, common, answer)
             found.append(F.col(f"_matches_{block}"))

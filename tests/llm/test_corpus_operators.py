@@ -340,6 +340,44 @@ def test_contamination(spark):
     assert got == planted
 
 
+def test_contamination_is_fitted_on_all_passages(spark, monkeypatch):
+    draw = random.Random(8)
+    text = lambda n: " ".join(draw.choice("abcdefghijklmnop") for _ in range(n))
+    rows = [(i, text(draw.randint(0, 90)), None) for i in range(2500)]  # more documents than the basis once came from
+    rows += [(9000, None, None), (9001, "a " * 300, None), (9002, "a " * 300, None), (9003, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    vocabulary = {w: i for i, w in enumerate("abcdefgh")}
+    n, passage = len(vocabulary), 8
+    whole = np.zeros((n + 1, n + 1), np.int64)
+    table = []
+    for _, t, _ in rows:
+        words = (t or "").split()
+        for low in range(0, len(words), passage):
+            line = np.zeros(n, np.int64)
+            for w in words[low : low + passage]:
+                if w in vocabulary:
+                    line[vocabulary[w]] += 1
+            table.append(line)
+            whole[n, :n] += line > 0
+            whole[n, n] += 1
+    table = np.array(table)
+    whole[:n, :n] = np.tril(table.T @ table)
+    for held in (1 << 22, 4):  # also where a task must write what it has in between
+        monkeypatch.setattr(decontaminate, "_HELD", held)
+        monkeypatch.setattr(decontaminate, "_PAIRS", 1 << 10)
+        joint = decontaminate._joint_counts(docs.select("text"), vocabulary, passage)
+        found = np.zeros_like(whole)
+        for r in joint.collect():
+            found[r.term, np.frombuffer(r.others, np.int32)] = np.frombuffer(r.counts, np.int64)
+        assert (found == whole).all()
+    items = [np.array([0, 1, 2]), np.array([3, 3, 4])]
+    weights = np.linspace(1.0, 2.0, n)
+    basis = decontaminate._basis(joint, items, weights, 3, 5)
+    matrix = np.vstack([table, [np.bincount(w, minlength=n) for w in items]]) * weights
+    values, vectors = np.linalg.eigh(matrix.T @ matrix)
+    assert np.allclose(basis @ basis.T, vectors[:, -3:] @ vectors[:, -3:].T, atol=1e-6)
+
+
 def test_contamination_edges(spark):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "one two three four", 3), (4, "x " * 50000, 3)], "doc_id long, text string, matches int")
     items = spark.createDataFrame([(1, "One, two three four!"), (1, "one two three four")], "item_id long, text string")
