@@ -23,7 +23,7 @@ from tallywise.sources import letters as letter_files
 from tallywise.sources import runs as run_files
 from tallywise.sources.arrays import read_arrays, write_arrays
 from tallywise.sources.salvage import salvage_report, write_salvaged
-from tallywise.sources.sealed import damaged_cells, verify_sealed, write_sealed
+from tallywise.sources.sealed import CELL_CODEC, damaged_cells, verify_sealed, write_sealed
 from tallywise.streaming.resume import finished_rows, pending, run_resumable, stream_extract
 
 RATERS = ["students", "residents", "model"]
@@ -126,11 +126,9 @@ def sealed_letters(spark: SparkSession, sf: str) -> DataFrame:
     letter_files.hide_keys(spark)
     write_sealed(load(spark, sf, "letters"), path, key, locked)
     stored, seal = spark.read.parquet(path), spark.read.parquet(f"{path}/_seal")
-    moved = stored.select(F.col("row_id").bitwiseXOR(F.lit(1)).alias("row_id"), F.col("input_text").alias("moved"))
-    swapped = stored.join(moved, "row_id", "left").withColumn("input_text", F.coalesce("moved", "input_text"))
     first = stored.agg(F.min("row_id").alias("row_id"))
     changed = {
-        "moved cells": swapped.select(stored.columns),
+        "moved cells": traded_texts(stored),
         "lost row": stored.join(first, "row_id", "left_anti"),
         "row twice": stored.union(stored.join(first, "row_id", "left_semi")),
     }
@@ -139,7 +137,7 @@ def sealed_letters(spark: SparkSession, sf: str) -> DataFrame:
         where = path
         if table is not None:
             where = scratch_path(spark, "sealed")
-            table.write.parquet(where)
+            table.write.parquet(where, compression=CELL_CODEC)
             seal.write.parquet(f"{where}/_seal")
         cells = damaged_cells(spark, where, key, locked).groupBy().agg(F.count("column").alias("damaged"))
         found = verify_sealed(spark, where, key).select(F.lit(name).alias("variant"), "rows", "whole").join(
@@ -149,6 +147,22 @@ def sealed_letters(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def traded_texts(stored: DataFrame) -> DataFrame:
+    """Each row with the text of the row whose id differs in the last bit, or its own where that has none.
+
+    Only texts that are given away are shuffled: most rows need no text of their own. The ids of those that do are told
+    from ids alone, and are few where ids are dense, so that they are broadcast.
+    """
+    given = stored.select(F.col("row_id").bitwiseXOR(F.lit(1)).alias("row_id"), F.col("input_text").alias("moved"))
+    sure = given.groupBy("row_id").agg(F.bool_and(F.col("moved").isNotNull()).alias("sure")).where("sure")
+    own = durable(stored.select("row_id").distinct().join(sure, "row_id", "left_anti"), "own-texts").toDF("own_id")
+    known = F.col("row_id").eqNullSafe(F.col("own_id"))
+    traded = stored.drop("input_text").join(own, known, "left_anti").join(given, "row_id")
+    kept = stored.join(own, known, "left_semi").join(given.join(own, known, "left_semi"), "row_id", "left")
+    kept = kept.withColumn("input_text", F.coalesce("moved", "input_text"))
+    return traded.withColumnRenamed("moved", "input_text").select(stored.columns).union(kept.select(stored.columns))
+
+
 def consensus_file(spark: SparkSession, sf: str) -> DataFrame:
     table = pooling.consensus_table(load(spark, sf, "votes"), RUNS)
     path = run_files.write_consensus(table, scratch_path(spark, "results") + ".csv")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywise.sources.letters import hide_keys
 
+CELL_CODEC = "zstd"  # of files with encrypted cells: six bits a character are all there is to a cell's text
 _WORDS = 4  # of 64 bits each: what the sums over all rows keep of a row's digest
 
 
@@ -25,7 +26,7 @@ def write_sealed(
     its own seal is not noticed. Nulls stay null; a null id counts as empty text.
     """
     hide_keys(df.sparkSession)
-    df.withColumns({c: _locked(c, id_col, key) for c in columns}).write.mode(mode).parquet(path)
+    df.withColumns({c: _locked(c, id_col, key) for c in columns}).write.mode(mode).parquet(path, compression=CELL_CODEC)
     seal = _digest(df.sparkSession.read.parquet(path), key)
     seal.coalesce(1).write.mode("overwrite").parquet(f"{path}/_seal")
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywise.operators.scratch import scratch_path, scratch_root
+from tallywise.plans import catalog
 from tallywise.sources import letters, runs, salvage, sealed
 
 
@@ -153,6 +154,24 @@ def test_sealed_tables_show_tampering(spark):
     assert sealed.verify_sealed(spark, empty, key).first() == (0, 0, True)
 
 
+def test_sealed_files_and_traded_texts_are_small(spark):
+    path = scratch_path(spark, "t")
+    df = spark.range(300).select(F.col("id").alias("row_id"), F.repeat(F.md5(F.col("id").cast("string")), 50).alias("input_text"))
+    sealed.write_sealed(df, path, "01" * 16, ["input_text"])
+    stored = spark.read.parquet(path)
+    files = stored.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0]
+    assert files < 0.85 * stored.agg(F.sum(F.length("input_text"))).first()[0]  # base64 holds six bits a character
+
+    ids = [0, 1, 1, 2, 3, 3, 5, 6, 7, 7, -1, -2, None, None]
+    rows = [(i, None if n in (5, 7) else f"t{n}", n) for n, i in enumerate(ids)]
+    odd = spark.createDataFrame(rows, "row_id long, input_text string, n int")
+    found = catalog.traded_texts(odd)
+    given = {k: [t for i, t, _ in rows if i is not None and i ^ 1 == k] for k in ids if k is not None}
+    wanted = [(i, t if x is None else x, n) for i, t, n in rows for x in given.get(i) or [None]]
+    assert found.columns == odd.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_results_overwrite_only_their_own_run(spark):
     path = scratch_path(spark, "t")
     one = spark.createDataFrame([("m-GGUF", "Q4", 1), ("m-AWQ", "Q4", 2)], "model string, quant_scheme string, v int")
