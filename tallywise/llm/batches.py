@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_ROWS = 1024  # whose computed columns a task holds at a time
+
 
 def quoted(name: str) -> Column:
     """The column of that very name, dots and backquotes included."""
@@ -29,8 +31,10 @@ def with_computed(docs: DataFrame, fields: str, start: Callable[[], Callable[[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], names=names)
+        for whole in batches:
+            for low in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(low, _ROWS)
+                yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from tallywise.llm.batches import kept_by_worker, with_computed
 
-_STATES = 1 << 17  # determinised states that a task remembers
+_STATES = 1 << 16  # determinised states that a task remembers
+_DEEP = 6  # bytes of a short piece after which no new state is made: it would hardly be met again
 _PAIRS, _RANK_BITS = 1 << 19, 32  # judged token pairs, each as one number
 _PIECES, _LONGEST = 1 << 18, 64  # encoded pieces, and the characters of the longest one that is remembered
 _WAYS, _REST = -1, -2
@@ -35,7 +36,8 @@ class Transducer:
     token spell a token that may follow it, a new token may begin. Of the possible ways exactly one has just ended a token
     at any byte. A determinised state is the set of all ways still open, each with the ids not yet written; ids are
     written as soon as all ways agree on them, so at most the longest token's length is ever looked ahead. States and
-    their transitions are made when first met.
+    their transitions are made when first met; where a short piece leaves the known ones late, its ways are followed to its
+    end one by one.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -114,10 +116,11 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        ways, ended = [], None  # ways in the order in which their last token began
+    def _moved(self, ways: Iterable[tuple], byte: int) -> list[tuple]:
+        """The ways after one more byte, in the order in which their last token began; the last has just ended a token."""
+        moved, ended = [], None
         children, tokens, pairs = self.children, self.token, self.pairs
-        for pending, last, node in state[_WAYS]:
+        for pending, last, node in ways:
             node = children[node].get(byte)
             if node:
                 if ended is None:
@@ -127,8 +130,12 @@ class Transducer:
                         if self.follows(last, rank) if apart is None else apart:
                             ended = ((*pending, rank), rank, 0)
                 if children[node]:
-                    ways.append((pending, last, node))
-        ways.append(ended)
+                    moved.append((pending, last, node))
+        moved.append(ended)
+        return moved
+
+    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
+        ways = self._moved(state[_WAYS], byte)
         due = ways[0][0]  # the way that began first has the fewest ids to write
         for pending, _, _ in ways[1:] if due else ():
             agreed = 0
@@ -145,9 +152,17 @@ class Transducer:
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if piece in self.whole:
             return (self.whole[piece],)
-        state, written = self.begin, ()
-        for byte in piece[:-1]:
-            state, out = state.get(byte) or self._step(state, byte)
+        state, written, short = self.begin, (), len(piece) <= _LONGEST
+        for at, byte in enumerate(piece[:-1]):
+            found = state.get(byte)
+            if found is None:
+                if short and at >= _DEEP:
+                    ways = state[_WAYS]
+                    for byte in piece[at:-1]:
+                        ways = self._moved(ways, byte)
+                    return written + self._last(ways, piece[-1])
+                found = self._step(state, byte)
+            state, out = found
             if out:
                 written += out
         return written + (self._end(state, piece[-1]) if piece else ())
@@ -157,10 +172,16 @@ class Transducer:
         if byte in state:
             state, out = state[byte]
             return out + state[_REST]
-        for pending, last, node in state[_WAYS]:
-            rank = self.token[self.children[node].get(byte, 0)]
-            if rank >= 0 and (last < 0 or self.follows(last, rank)):
-                return (*pending, rank)
+        return self._last(state[_WAYS], byte)
+
+    def _last(self, ways: Iterable[tuple], byte: int) -> tuple[int, ...]:
+        children, tokens, pairs = self.children, self.token, self.pairs
+        for pending, last, node in ways:
+            rank = tokens[children[node].get(byte, 0)]
+            if rank >= 0:
+                apart = True if last < 0 else pairs.get(last << _RANK_BITS | rank)
+                if self.follows(last, rank) if apart is None else apart:
+                    return (*pending, rank)
         raise ValueError("the vocabulary lacks a byte")
 
 

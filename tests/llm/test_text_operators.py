@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from tallywise.llm import html, language, quality, tokens
+from tallywise.llm.batches import with_computed
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string"
@@ -27,6 +29,21 @@ def library():
     )
 
 
+def test_computed_columns_are_made_for_few_rows_at_a_time(spark):
+    docs = spark.range(5000).coalesce(1).select(F.col("id").alias("doc_id"))
+    sized = with_computed(docs, "rows int", lambda: lambda b: [pa.array([b.num_rows] * b.num_rows, pa.int32())])
+    found = sized.collect()
+    assert [r.doc_id for r in found] == list(range(5000)) and max(r.rows for r in found) <= 1024
+
+
+def test_rare_words_leave_few_states(library):
+    draw, coder = random.Random(12), tokens.Encoder(tokens.read_ranks(RANKS), public_tokenizers.PATTERN)
+    words = ["".join(draw.choice("abdeghilmnorstuäß") for _ in range(draw.randint(8, 30))) for _ in range(1500)]
+    words += ["".join(draw.choice("eé日") for _ in range(n)) for n in (63, 64, 65, 400)]
+    assert [coder.encode(w) for w in words] == [library.encode_ordinary(w) for w in words]
+    assert len(coder.transducer.states) < 8 * len(words)
+
+
 def test_tokens_equal_the_library_on_random_strings(coder, library):
     draw = random.Random(3)
     spelled = list(tokens.read_ranks(RANKS))
