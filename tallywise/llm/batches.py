@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -19,10 +21,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_computed(docs: DataFrame, fields: str, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def with_computed(
+    docs: DataFrame, fields: str, start: Callable[[], Callable[[pa.RecordBatch], list]], keeps: tuple[str, ...] = ()
+) -> DataFrame:
     """``docs`` with the columns of ``fields`` (DDL). ``start`` runs once a task and gives the function of a batch.
 
-    Columns of ``docs`` with the names of ``fields`` are replaced, all others pass unchanged. No shuffle.
+    Columns of ``docs`` with the names of ``fields`` are replaced, all others pass unchanged. No shuffle. Of what the
+    worker keeps from earlier tasks (``kept_by_worker``), kinds other than ``keeps`` are dropped.
     """
     added = T.StructType.fromDDL(fields)
     docs = docs.drop(*added.names)
@@ -30,6 +35,7 @@ def with_computed(docs: DataFrame, fields: str, start: Callable[[], Callable[[pa
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(*keeps)
         compute = start()
         for whole in batches:
             for low in range(0, whole.num_rows, _ROWS):
@@ -43,9 +49,23 @@ def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` returns, made once in each Python worker process and kept for its later tasks.
 
     Functions travel by value, so a module's own variables would start anew with every task. One value a kind (the
-    first part of ``key``) is kept.
+    first part of ``key``) is kept, until a task of another operator drops it.
     """
     kept = sys.modules.setdefault("_tallywise_worker", ModuleType("_tallywise_worker")).__dict__
     if kept.get(key[0], (None,))[0] != key:
         kept[key[0]] = (key, make())
     return kept[key[0]][1]
+
+
+def drop_kept(*but: str) -> None:
+    """Give back the memory of what this worker keeps, but for these kinds: workers live on when their stage has ended."""
+    kept = getattr(sys.modules.get("_tallywise_worker"), "__dict__", {})
+    gone = [kind for kind, value in kept.items() if isinstance(value, tuple) and kind not in but]
+    for kind in gone:
+        del kept[kind]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc: freed memory goes back to the system
+        if trim:
+            trim(0)

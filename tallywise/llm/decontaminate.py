@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.batches import with_computed
+from tallywise.llm.batches import drop_kept, with_computed
 from tallywise.operators.scratch import durable
 
 _WORD = re.compile(r"\w+")
@@ -58,6 +58,7 @@ def _joint_counts(texts: DataFrame, vocabulary: dict[str, int], passage: int) ->
     block = max(1, _PAIRS // passage**2)  # passages whose pairs are laid out at a time
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         found, vocabulary, waiting, held, pairs = np.zeros(n + 1, np.int64), shared.value, [], 0, 0
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:

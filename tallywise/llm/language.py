@@ -168,4 +168,4 @@ def identify_languages(
 
         return compute
 
-    return with_computed(docs, "lang_pred string, score double", start)
+    return with_computed(docs, "lang_pred string, score double", start, ("letters",))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.batches import with_computed
+from tallywise.llm.batches import drop_kept, with_computed
 
 #: Words, or runs of other signs.
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -94,6 +94,7 @@ def fit_quality(
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         hashes = _Hashes()
         for b in batches:
             idx = [features(t.as_py(), hashes, bits).astype(np.int32).tobytes() for t in b.column("text")]

@@ -252,7 +252,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
         coder = _encoder(ranks_path, pattern, ranks.value)
         return lambda b: [pa.array([coder.encode(t.as_py() or "") for t in b.column(text_col)], pa.list_(pa.int32()))]
 
-    return with_computed(docs, "ids array<int>", start)
+    return with_computed(docs, "ids array<int>", start, ("bpe",))
 
 
 def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -263,7 +263,7 @@ def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
         coder = _encoder(ranks_path, pattern, ranks.value)
         return lambda b: [pa.array(["".join(coder.decode(x.as_py() or ())) for x in b.column(ids_col)], pa.string())]
 
-    return with_computed(docs, f"`{into}` string", start)
+    return with_computed(docs, f"`{into}` string", start, ("bpe",))
 
 
 def round_trip(
@@ -296,4 +296,4 @@ def round_trip(
 
     kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return with_computed(docs, fields, start)
+    return with_computed(docs, fields, start, ("bpe",))
