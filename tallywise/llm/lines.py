@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.batches import quoted
+from tallywise.llm.batches import drop_kept, quoted
 from tallywise.llm.components import connected
 from tallywise.llm.membership import maybe_among
 from tallywise.operators.scratch import durable
@@ -27,6 +27,8 @@ _BUCKET = 24 << 20  # bytes of text whose keys a task compares
 _PACK = 1 << 20  # keys that a task sorts into buckets at a time
 _CROWD = 32  # lines of one key that are paired on the spot
 _CLASSES = 32  # of characters, for counts
+_SIDE = 1 << 19  # characters of lines that are compared at a time
+_NOWHERE = np.int32(-(1 << 30))
 _SEGMENT, _PROBE, _BAND = 0, 1, 2  # kinds of keys
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _BANDS * _DEEP, np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -74,6 +76,95 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+def all_within(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
+    """Whether each pair's edit distance is at most its limit: ``within`` for many pairs at once, in blocks of like limits."""
+    found = np.zeros(len(pairs), bool)
+    order = np.argsort(limits, kind="stable").tolist()
+    low = 0
+    while low < len(order):
+        high, chars, widest = low, 0, 2 * int(limits[order[low]]) + 8
+        while high < len(order) and limits[order[high]] <= widest and (chars < _SIDE or high == low):
+            chars += max(map(len, pairs[order[high]]))
+            high += 1
+        block = order[low:high]
+        found[block] = _all_within([min(pairs[i], key=len) for i in block], [max(pairs[i][::-1], key=len) for i in block], limits[block])
+        low = high
+    return found
+
+
+def _all_within(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
+    """``all_within`` for lines ``a`` no longer than ``b``, by furthest reaching points on the diagonals of the distance matrix.
+
+    After e edits a point on each diagonal is as far as e edits and then equal characters can lead; equal characters are
+    counted a word at a time. Diagonals from which the end can't be reached with the edits left are given up.
+    """
+    words_a, words_b, starts_a, starts_b, bits = _words(a, b)
+    size = np.fromiter(map(len, a), np.int64, len(a))
+    gap = np.fromiter(map(len, b), np.int64, len(b)) - size
+
+    def slide(row: np.ndarray, i: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """How far points go on along their diagonals without an edit."""
+        i, at_a, at_b, live = i.copy(), starts_a[row] + i, starts_b[row] + i + d, np.arange(len(i))
+        while len(live):
+            apart = words_a[at_a] ^ words_b[at_b]
+            same = (np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) // bits).astype(np.int64)
+            i[live] += same
+            on = same == 64 // bits
+            live, at_a, at_b = live[on], at_a[on] + 64 // bits, at_b[on] + 64 // bits
+        return i
+
+    near, most = np.zeros(len(a), bool), int(limits.max(initial=0))
+    rows = np.flatnonzero(gap <= limits)
+    reach = np.full((len(rows), 2 * most + 3), _NOWHERE, np.int32)
+    zero = most + 1  # the column of the diagonal through the beginning
+    reach[:, zero] = slide(rows, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64))
+    for e in range(most + 1):
+        if e:
+            left, n, far = (limits[rows] - e)[:, None], size[rows][:, None], gap[rows][:, None]
+            low, high = max(-e, int((far - left).min())), min(e, int((far + left).max()))
+            d = np.arange(low, high + 1)
+            at = slice(zero + low, zero + high + 1)
+            shift = lambda x: reach[:, zero + low + x : zero + high + 1 + x]
+            point = np.maximum(np.maximum(shift(-1), shift(0) + 1), shift(1) + 1)
+            point = np.minimum(np.minimum(point, n), n + far - d)
+            r, c = np.nonzero((point >= 0) & (np.abs(far - d) <= left))
+            reach[:, at] = _NOWHERE
+            reach[r, c + zero + low] = slide(rows[r], point[r, c].astype(np.int64), d[c])
+        ended = reach[np.arange(len(rows)), zero + gap[rows]] >= size[rows]
+        near[rows[ended]] = True
+        on = ~ended & (limits[rows] > e)
+        if not on.all():
+            rows, reach = rows[on], reach[on]
+        if not len(rows):
+            break
+    return near
+
+
+def _words(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The 64 bits that begin at each character, where each line begins, and the bits of a character.
+
+    Characters are numbered as they occur, with as few bits as that takes. Lines of ``a`` are followed by zeros and lines of
+    ``b`` by ones, which equal nothing.
+    """
+    sides = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)]
+    number = np.zeros(0x110000, np.uint32)
+    for side in sides:
+        number[side] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(2, len(used) + 2)
+    kind = np.uint8 if len(used) < 254 else np.uint16 if len(used) < 65534 else np.uint32
+    bits, words, starts = 8 * np.dtype(kind).itemsize, [], []
+    for end, (lines, side) in enumerate(zip((a, b), sides)):
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        place = np.arange(len(lines)) * (64 // bits)  # of sentinels before each line
+        buffer = np.full(len(side) + len(lines) * (64 // bits) + 64 // bits, end, kind)
+        buffer[np.arange(len(side)) + np.repeat(place, lengths)] = number[side]
+        many = len(buffer) - 64 // bits + 1
+        words.append(np.ndarray((many,), np.uint64, buffer.tobytes(), 0, (bits // 8,)).copy())
+        starts.append(np.cumsum(lengths) - lengths + place)
+    return *words, *starts, bits
+
+
 def _least_in_band(up: int, down: int, j: int, rows: int, most: int) -> int:
     """The least distance in rows j - most to j + most of column j."""
     low, high = max(0, j - most), min(rows, j + most)
@@ -223,6 +314,7 @@ def _packed_keys(texts: DataFrame, least: int, most: int, shortest: int | None,
     """Keys of all different lines, packed by bucket of the key: 15 bytes each, in one row a bucket and stretch of text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         kept, n = [], 0
         for lines, names in _blocks(batches, least):
             kept.append(Block(lines, names).packed(most, shortest))
@@ -345,9 +437,8 @@ def near_lines(texts: DataFrame, most: int, least: int, share: float = 0.0, span
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(x.as_py(), y.as_py()) for x, y in zip(b.column("text_a"), b.column("text_b"))]
-            limits = [allowed(max(len(x), len(y)), most, share) for x, y in pairs]
-            near = [_pairs_apart(x, y) <= 4 * n and within(x, y, n) for (x, y), n in zip(pairs, limits)]
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            limits = np.array([allowed(max(len(x), len(y)), most, share) for x, y in pairs], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(all_within(pairs, limits), pa.bool_()))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -415,15 +506,6 @@ def _texts_of(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return picked.join(wanted.distinct(), "line", "left_semi").dropDuplicates(["line"])
 
 
-def _pairs_apart(a: str, b: str) -> int:
-    """How far the counts of neighbouring characters, by class, are apart: at most four for each edit."""
-    counts = []
-    for text in (a, b):
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        counts.append(np.bincount((chars[:-1] * np.uint32(0x9E3779B1) + chars[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(23), minlength=512))
-    return int(np.abs(counts[0] - counts[1]).sum())
-
-
 def _counts(text: str) -> bytes:
     classes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % _CLASSES
     return np.bincount(classes, minlength=_CLASSES).astype(np.uint8).tobytes()

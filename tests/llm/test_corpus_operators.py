@@ -267,6 +267,22 @@ def test_edit_distance_bound_of_long_strings():
             assert lines.within(a, b, most) == (edits(a, b) <= most)
 
 
+def test_edit_distance_of_many_pairs():
+    draw = random.Random(16)
+    alphabets = ["abcdé", "".join(map(chr, range(0x100, 0x400))), "".join(map(chr, range(0x4E00, 0xD7FF)))]
+    pairs, limits = [("", ""), ("", "abc"), ("abc", "")], [0, 2, 3]
+    for alphabet in alphabets[:2]:
+        for _ in range(600):
+            a = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 70)))
+            pairs.append((a, mutate(draw, a, draw.randint(0, 14)) if draw.random() < 0.9 else "b" * draw.randint(0, 9)))
+            limits.append(draw.choice([0, 1, 2, 4, 7, 12]))
+    expected = [edits(*p) <= n for p, n in zip(pairs, limits)]
+    assert lines.all_within(pairs, np.array(limits)).tolist() == expected
+    wide = alphabets[2] + "".join(map(chr, range(0x10000, 0x1A000)))  # more characters than 16 bits number
+    assert lines.all_within([(wide, "x" + wide[1:] + "y"), (wide, wide[3:])], np.array([2, 2])).tolist() == [True, False]
+    assert lines.all_within([], np.zeros(0, np.int64)).tolist() == []
+
+
 def test_near_lines_with_a_changed_word(spark):
     draw = random.Random(12)
     texts = set()
